@@ -11,7 +11,7 @@ from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyloom.names import ROW_ID
+from tallyloom.names import ROW_ID, SOURCE_COLUMNS
 from tallyloom.operators import (
     browse,
     cleaning,
@@ -25,6 +25,7 @@ from tallyloom.operators import (
     segments,
     validation,
 )
+from tallyloom.plans.settings import CHOICES, EXPECTED, MIN_CLASS, MIN_DEPARTMENT, SWEEP
 from tallyloom.sources.coerce import coerce_types
 from tallyloom.sources.readers import load_reviews, write_clean_layer, write_raw_layer
 from tallyloom.sources.sinks import export
@@ -72,29 +73,6 @@ def result_only(function: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda t: function(t.clean)
 
 
-# Minimum reviews and selections used by the queries; the oracle states them as well.
-MIN_CLASS, MIN_DEPARTMENT = 600, 200
-CHOICES = {
-    "divisions": ["ASIA", "EUROPE", "AMERICA"],
-    "sentiments": ["Negative", "Positive"],
-    "recommendations": ["Recommended"],
-    "age_bands": ["30-39", "40-49", "60+"],
-    "ratings": [1, 2, 5],
-}
-SWEEP = [
-    scenario.Assumptions(0, 0, 0, 0, 0, "none"),
-    scenario.Assumptions(name="default"),
-    scenario.Assumptions(33, 67, 25, 40, 10, "careful"),
-    scenario.Assumptions(100, 100, 50, 50, 100, "all"),
-]
-EXPECTED = [
-    validation.Expectation("total_records", "Total Reviews", 15000),
-    validation.Expectation("average_rating", "Average Rating", 3.0, 0.05, "rating"),
-    validation.Expectation("recommendation_rate", "Recommendation Rate", 82.24, 0.15, "percent"),
-    validation.Expectation("negative_rate", "Negative Rate", 40.0, 1.0, "percent"),
-    validation.Expectation("median_age", "Median Age", 45),
-]
-
 
 @query
 def clean_reviews(t):
@@ -174,7 +152,6 @@ def scope_reviews(t):
     return chosen.select(ROW_ID, "department_name")
 
 
-KPI_QUERY = kpis.compute_kpis
 QUERIES["kpis"] = result_only(kpis.compute_kpis)
 
 
@@ -385,8 +362,6 @@ def shared_folder(spark: SparkSession, prefix: str) -> str:
 @query
 def csv_round_trip(t):
     """Write the raw reviews as CSV, load them again, and clean what came back."""
-    from tallyloom.names import SOURCE_COLUMNS
-
     spark = t.raw.sparkSession
     folder = f"{shared_folder(spark, 'reviews-')}/csv"
     headers = {name: header for header, name in SOURCE_COLUMNS.items()}
