@@ -40,7 +40,8 @@ def flag_duplicate_review_text(df: DataFrame, hot_texts: int = HOT_TEXTS) -> Dat
     return (
         keyed.join(F.broadcast(hot), F.col("_key") == F.col("_hot"), "left")
         .withColumn("_seek", F.when(open_rows, F.col("_key")).otherwise(own.cast("string").cast("binary")))
-        .join(cold, F.col("_seek") == F.col("_cold"), "left")
+        # Hashing the repeated digests of a partition saves sorting the rows with their texts.
+        .join(cold.hint("shuffle_hash"), F.col("_seek") == F.col("_cold"), "left")
         .withColumn(
             "is_duplicate_review_text",
             F.col("has_review_text") & (F.col("_hot").isNotNull() | F.col("_cold").isNotNull()),

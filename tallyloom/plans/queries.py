@@ -27,7 +27,8 @@ from tallyloom.operators import (
 )
 from tallyloom.plans.settings import CHOICES, EXPECTED, MIN_CLASS, MIN_DEPARTMENT, SWEEP
 from tallyloom.sources.coerce import coerce_types
-from tallyloom.sources.readers import load_reviews, write_clean_layer, write_raw_layer
+from tallyloom.sources.layers import read_clean_layer, write_clean_layer
+from tallyloom.sources.readers import load_reviews
 from tallyloom.sources.sinks import export
 from tallyloom.sources.tables import reviews_from_tables
 
@@ -53,10 +54,12 @@ class ReviewTables:
             known[folder] = ReviewTables(coerce_types(reviews_from_tables(spark, folder)))
         return known[folder]
 
-    def stored(self, folder: str) -> ReviewTables:
-        """Both tables written once as Parquet and read back from there."""
-        tables = ReviewTables(write_raw_layer(self.raw, f"{folder}/raw"))
-        tables.__dict__["clean"] = write_clean_layer(tables.clean, f"{folder}/clean")
+    def stored(self, path: str) -> ReviewTables:
+        """Both tables read back from a clean layer written once to ``path``."""
+        write_clean_layer(self.raw, path)
+        raw, clean = read_clean_layer(self.raw.sparkSession, path)
+        tables = ReviewTables(raw)
+        tables.__dict__["clean"] = clean
         return tables
 
 

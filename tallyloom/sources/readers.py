@@ -146,9 +146,3 @@ def write_raw_layer(raw: DataFrame, path: str) -> DataFrame:
     """
     raw.withColumn(TEXT_KEY, text_key("review_text")).write.mode("errorifexists").parquet(path)
     return raw.sparkSession.read.parquet(path)
-
-
-def write_clean_layer(clean: DataFrame, path: str) -> DataFrame:
-    """Store the clean table as Parquet: clean once, then let every view prune its columns."""
-    clean.write.mode("errorifexists").parquet(path)
-    return clean.sparkSession.read.parquet(path)

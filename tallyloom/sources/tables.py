@@ -47,7 +47,9 @@ def reviews_from_tables(spark: SparkSession, folder: str) -> DataFrame:
         .join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
         .join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
         .join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-        .join(texts, F.col("doc") == F.col("doc_id"), "left")
+        # Rows grow by their text here. A merge join spreads that over all shuffle partitions
+        # even where the texts are few enough to be broadcast to a handful of tasks.
+        .join(texts.hint("merge"), F.col("doc") == F.col("doc_id"), "left")
         .select(
             ROW_ID,
             F.col("part").alias("clothing_id"),
