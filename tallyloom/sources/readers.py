@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,6 +17,8 @@ from tallyloom.sources.workbook import read_workbooks
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 FORMATS = {".csv": "csv", ".xlsx": "xlsx", ".parquet": "parquet"}
+# Beyond this many files (some 20 MB of names) their ranks are not broadcast.
+MAX_BROADCAST_FILES = 100_000
 DEFAULT_FILE = "Womens Clothing E-Commerce Reviews.csv"
 
 
@@ -52,6 +56,11 @@ def find_default(spark: SparkSession, folder: str) -> str:
     return f"{folder.rstrip('/')}/{usable[0]}"
 
 
+def _without_scheme(path: str) -> str:
+    """Paths from listings and from rows differ in the slashes behind the scheme."""
+    return re.sub("^[a-z0-9]+:/+", "/", path)
+
+
 def files_not_utf8(spark: SparkSession, path: str) -> list[str]:
     """Files with a line that is not UTF-8. The list is bounded by the number of files."""
     lines = spark.read.option("pathGlobFilter", "*.csv").text(path)
@@ -76,27 +85,28 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> Dat
     bad = files_not_utf8(spark, path)
     if not bad:
         return _number(_read_csv_as(spark, [path], "UTF-8"))
-    every = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).inputFiles()
-    good = sorted(set(every) - set(bad))
+    known = {_without_scheme(p) for p in bad}
+    every = spark.read.option("pathGlobFilter", "*.csv").text(path).inputFiles()
+    good = sorted(p for p in every if _without_scheme(p) not in known)
     parts = [(good, "UTF-8"), (bad, "ISO-8859-1")]
-    frames = [_read_csv_as(spark, names, encoding) for names, encoding in parts if names]
+    # Listed paths are URL-encoded, paths to read are not.
+    frames = [_read_csv_as(spark, [unquote(p) for p in names], encoding) for names, encoding in parts if names]
     return _number(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames))
 
 
 def _number(df: DataFrame) -> DataFrame:
     """``row_id``: rank of the file by name, then place in the file.
 
-    The names come from file listing, so the rank table is metadata, one short row per file,
-    and joins like any other dimension.
+    The names come from the file listing the driver has made anyway. Up to ``MAX_BROADCAST_FILES``
+    of them are broadcast, more are joined like any other table.
     """
-    files = sorted(set(df.inputFiles()))
-    ranks = df.sparkSession.createDataFrame(list(zip(files, range(len(files)))), "_file string, _rank bigint")
-    # Both spellings of a path have to compare equal: take the part after the scheme.
-    bare = lambda c: F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:/+", "/")
-    ranks = ranks.select(bare(F.col("_file")).alias("_key"), "_rank")
-    numbered = df.withColumn("_key", bare(F.col("_file"))).join(ranks, "_key", "left")
+    files = sorted({_without_scheme(p) for p in df.inputFiles()}, key=unquote)
+    ranks = df.sparkSession.createDataFrame(list(enumerate(files)), "_rank bigint, _key string")
+    ranks = F.broadcast(ranks) if len(files) <= MAX_BROADCAST_FILES else ranks
+    bare = F.regexp_replace("_file", "^[a-z0-9]+:/+", "/")
+    numbered = df.withColumn("_key", bare).join(ranks, "_key", "left")
     return numbered.withColumn(
-        ROW_ID, F.shiftleft(F.coalesce("_rank", F.lit(0).cast("bigint")), 33) + F.col("_place")
+        ROW_ID, F.shiftleft("_rank", 33).bitwiseOR(F.col("_place"))
     ).drop("_key", "_rank", "_file", "_place")
 
 

@@ -13,12 +13,17 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tallyloom.sources.schema_check import DatasetError
 
 BATCH_ROWS = 10_000
+HEADER_SCHEMA = pa.schema([("at", pa.int32()), ("name", pa.string())])
+
+
+def _batch(records: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(records, schema=schema)
 
 
 def _tag(node) -> str:
@@ -104,39 +109,39 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "[!~]*.xlsx")
         .load(path)
-        .select("path", "content")
+        .select(F.col("_metadata.file_path").alias("path"), "content")
     )
 
     def headers(batches):
         for batch in batches:
-            for content in batch["content"]:
-                names = _review_sheet(content)[0]
-                yield pd.DataFrame({"at": list(names), "name": list(names.values())})
+            for content in batch.column("content"):
+                names = _review_sheet(content.as_py())[0]
+                yield _batch([{"at": at, "name": name} for at, name in names.items()], HEADER_SCHEMA)
 
     # One row per distinct column name: bounded by the width of the sheets.
-    found = files.mapInPandas(headers, "at int, name string")
-    names = [r["name"] for r in found.groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect()]
+    found = files.mapInArrow(headers, "at int, name string").groupBy("name").agg(F.min("at").alias("at"))
+    names = [r["name"] for r in found.orderBy("at", "name").collect()]
     if not names:
         raise DatasetError(f"No workbook with a header found in {path}.")
 
+    fields = [*((n, pa.string()) for n in names), ("_file", pa.string()), ("_row", pa.int64())]
+
     def rows(batches):
         for batch in batches:
-            for source, content in zip(batch["path"], batch["content"]):
-                header, cells = _review_sheet(content)
+            for source, content in zip(batch.column("path"), batch.column("content")):
+                header, cells = _review_sheet(content.as_py())
                 block: list[dict] = []
                 for number, row in enumerate(cells):
                     record = {header[at]: value for at, value in row.items() if at in header}
                     if any(v is not None for v in record.values()):
-                        block.append({**record, "_file": source, "_row": number})
+                        block.append({**record, "_file": source.as_py(), "_row": number})
                     if len(block) == BATCH_ROWS:
-                        yield pd.DataFrame(block, columns=[*names, "_file", "_row"])
+                        yield _batch(block, pa.schema(fields))
                         block = []
-                if block:
-                    yield pd.DataFrame(block, columns=[*names, "_file", "_row"])
+                yield _batch(block, pa.schema(fields))
 
     schema = T.StructType(
         [T.StructField(n, T.StringType()) for n in names]
         + [T.StructField("_file", T.StringType()), T.StructField("_row", T.LongType())]
     )
-    return files.mapInPandas(rows, schema)
-
+    return files.mapInArrow(rows, schema)
