@@ -654,6 +654,10 @@ def fact(position, insight, source, segment, metric, value, tone="'neutral'", ba
     )
 
 
+# When no segment has enough reviews.
+NOTHING = fact(1, "Too few reviews", "(select count(*) n from s) where n = 0", "null", "reviews", "null")
+
+
 def first(table: str, order: str) -> str:
     return f"(select * from {table} order by {order} limit 1) x, base"
 
@@ -671,8 +675,9 @@ add(
             fact(4, "Most recommended department", first("s", "recommendation_rate desc, department_name"),
                  "department_name", "recommendation_rate", "x.recommendation_rate", "'positive'",
                  "base.recommendation_rate", "reviews"),
-            fact(5, "Text coverage", "base", "null", "text_coverage_rate", "text_coverage_rate",
-                 reviews="records_with_text"),
+            fact(5, "Text coverage", "base where (select count(*) from s) > 0", "null", "text_coverage_rate",
+                 "text_coverage_rate", reviews="records_with_text"),
+            NOTHING,
         ]
     ),
     f"{BASELINE}, s as (select * from {segments('department_name')} where reviews >= {MIN_DEPARTMENT})",
@@ -695,6 +700,7 @@ add(
                  "order by negative_rate desc, class_name) names "
                  "from (select * from flagged order by negative_rate desc, class_name limit 5)) where n > 0",
                  "names", "flagged_classes", "n", "'negative'", reviews="negatives"),
+            NOTHING,
         ]
     ),
     f"""{BASELINE}, s as (select * from {segments('class_name')} where reviews >= {MIN_CLASS}),
