@@ -233,7 +233,11 @@ def customer_insights(df: DataFrame, min_reviews: int = 50) -> DataFrame:
 
 def scenario_insights(result: DataFrame, departments: DataFrame) -> DataFrame:
     """Rate changes of a one-row simulation result, and two departments to look at."""
-    columns = departments.columns
+    # Only what the sentences need: without the simulated rating, no review has to be ranked.
+    columns = (
+        "department", "reviews", "successful_negative_cases", "sim_negative_rate",
+        "remaining_negative_reviews", "priority",
+    )
     picks = departments.agg(
         *exprs(
             "count(1) AS found",

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
@@ -29,6 +29,7 @@ from tallyloom.plans.settings import CHOICES, EXPECTED, MIN_CLASS, MIN_DEPARTMEN
 from tallyloom.sources.coerce import coerce_types
 from tallyloom.sources.layers import read_clean_layer, write_clean_layer
 from tallyloom.sources.readers import load_reviews
+from tallyloom.sources.schema_check import DatasetError
 from tallyloom.sources.sinks import export
 from tallyloom.sources.tables import reviews_from_tables
 
@@ -354,12 +355,13 @@ def insights_scenario(t):
 
 
 def shared_folder(spark: SparkSession, prefix: str) -> str:
-    """A new folder below the cluster's checkpoint folder, or a local one where none is set."""
+    """A new folder name below the cluster's checkpoint folder; a temporary one in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return tempfile.mkdtemp(prefix=prefix)
-    unique = os.path.basename(tempfile.mktemp(prefix=prefix))
-    return f"{base.rstrip('/')}/{unique}"
+    if base:
+        return f"{base.rstrip('/')}/{prefix}{uuid.uuid4().hex}"
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise DatasetError("Set spark.checkpoint.dir to a folder all executors can reach.")
+    return tempfile.mkdtemp(prefix=prefix)
 
 
 @query
