@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyloom.functions.classify import share_label
 from tallyloom.functions.numeric import mean, rate
 from tallyloom.names import RATINGS, RECOMMENDATIONS, SENTIMENTS
-from tallyloom.operators.shapes import Text, as_value, exprs, record, unfold
+from tallyloom.operators.shapes import Text, exprs, record, unfold
 
 
 def _label_counts(df: DataFrame, column: str, labels) -> tuple[DataFrame, list[str], str]:
@@ -164,22 +164,20 @@ def numeric_summary(df: DataFrame) -> DataFrame:
     )
     values = df.selectExpr(f"inline(array({pairs}))").filter("v IS NOT NULL AND NOT isnan(v)")
     freq = frequencies(values, "measure", "v")
-    table = freq.groupBy("measure").agg(
-        *exprs(
-            "sum(n) AS count",
-            "sum(v * n) / sum(n) AS mean",
-            "percentile(v, array(0.25D, 0.5D, 0.75D), n) AS q",
-            "min(v) AS min",
-            "max(v) AS max",
-        )
-    )
-    # At most four rows, one per measure.
-    centre = F.broadcast(table.selectExpr("measure", "mean AS centre"))
-    spread = freq.join(centre, "measure").groupBy("measure").agg(
-        *exprs("sum(n * (v - centre) * (v - centre)) AS squares")
-    )
+    centre = "sum(v * n) OVER (PARTITION BY measure) / sum(n) OVER (PARTITION BY measure)"
     return (
-        table.join(F.broadcast(spread), "measure")
+        freq.selectExpr("*", f"{centre} AS centre")
+        .groupBy("measure")
+        .agg(
+            *exprs(
+                "sum(n) AS count",
+                "sum(v * n) / sum(n) AS mean",
+                "percentile(v, array(0.25D, 0.5D, 0.75D), n) AS q",
+                "sum(n * (v - centre) * (v - centre)) AS squares",
+                "min(v) AS min",
+                "max(v) AS max",
+            )
+        )
         .selectExpr(
             "measure", "count", "mean", "q[1] AS median",
             "coalesce(sqrt(try_divide(squares, count - 1)), 0D) AS std_dev",
@@ -192,21 +190,13 @@ def numeric_summary(df: DataFrame) -> DataFrame:
 def age_histogram(df: DataFrame, width: int = 5) -> DataFrame:
     """Reviews per age bin, counted from the smallest age; bins without reviews are absent."""
     freq = frequencies(age_distribution(df), "age")
-    marks = freq.agg(
-        *exprs(
-            "min(age) AS low",
-            "sum(age * n) / sum(n) AS mean",
-            "percentile(age, 0.5D, n) AS median",
-        )
-    )
     return (
-        freq.withColumn("m", as_value(marks))
-        .groupBy(F.expr(f"m.low + floor((age - m.low) / {width}) * {width}").alias("bin_start"))
-        .agg(
-            *exprs(
-                "sum(n) AS reviews", "any_value(m.mean) AS mean_age", "any_value(m.median) AS median_age"
-            )
+        freq.selectExpr(
+            "age", "n", "min(age) OVER () AS low", "sum(age * n) OVER () / sum(n) OVER () AS mean",
+            "percentile(age, 0.5D, n) OVER () AS median",
         )
+        .groupBy(F.expr(f"low + floor((age - low) / {width}) * {width}").alias("bin_start"))
+        .agg(*exprs("sum(n) AS reviews", "max(mean) AS mean_age", "max(median) AS median_age"))
         .selectExpr("bin_start", f"bin_start + {width} AS bin_end", "reviews", "mean_age", "median_age")
         .orderBy("bin_start")
     )
@@ -219,22 +209,21 @@ def review_length_box(df: DataFrame) -> DataFrame:
     """
     rows = df.filter(F.col("has_review_text") & F.col("sentiment").isin(*SENTIMENTS))
     freq = frequencies(rows, "sentiment", "double(review_length_words) AS v")
-    boxes = (
-        freq.groupBy("sentiment")
+    inside = "v BETWEEN q[0] - 1.5D * (q[2] - q[0]) AND q[2] + 1.5D * (q[2] - q[0])"
+    quartiles = "percentile(v, array(0.25D, 0.5D, 0.75D), n) OVER (PARTITION BY sentiment)"
+    return (
+        freq.selectExpr("*", f"{quartiles} AS q")
+        .groupBy("sentiment")
         .agg(
             *exprs(
                 "sum(n) AS reviews",
                 "sum(v * n) / sum(n) AS mean",
-                "percentile(v, array(0.25D, 0.5D, 0.75D), n) AS q",
+                "max(q[0]) AS q1",
+                "max(q[1]) AS median",
+                "max(q[2]) AS q3",
+                f"min(v) FILTER (WHERE {inside}) AS lower_fence",
+                f"max(v) FILTER (WHERE {inside}) AS upper_fence",
             )
         )
-        .selectExpr("sentiment", "reviews", "mean", "q[0] AS q1", "q[1] AS median", "q[2] AS q3")
-    )
-    # At most three rows, one per sentiment.
-    fences = (
-        freq.join(F.broadcast(boxes.select("sentiment", "q1", "q3")), "sentiment")
-        .filter("v BETWEEN q1 - 1.5D * (q3 - q1) AND q3 + 1.5D * (q3 - q1)")
-        .groupBy("sentiment")
-        .agg(*exprs("min(v) AS lower_fence", "max(v) AS upper_fence"))
+        .orderBy("sentiment")
     )
-    return boxes.join(F.broadcast(fences), "sentiment").orderBy("sentiment")

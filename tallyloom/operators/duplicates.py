@@ -28,7 +28,10 @@ def flag_duplicate_review_text(df: DataFrame, hot_texts: int = HOT_TEXTS) -> Dat
     else:
         key = text_key("review_text")
     keyed = df.withColumn("_key", key)
-    repeated = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    # A digest is never NULL. Saying so makes the two uses of the counts the same plan, which
+    # Spark then runs once.
+    counts = keyed.filter("_key IS NOT NULL").groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    repeated = counts.filter("_n > 1")
     hot = (
         repeated.orderBy(F.desc("_n"), "_key").limit(hot_texts)
         .groupBy(F.col("_key").alias("_hot")).agg(F.lit(True).alias("_is_hot"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from tallyloom.functions.numeric import mean, rate
 from tallyloom.operators.shapes import exprs
 
+# Names and order of the KPIs.
 KPI_COLUMNS = (
     "total_records", "records_with_text", "missing_review_text", "missing_title",
     "text_coverage_rate", "average_rating", "median_rating", "recommendation_rate",

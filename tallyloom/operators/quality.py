@@ -102,17 +102,12 @@ def data_quality_summary(raw: DataFrame, clean: DataFrame) -> DataFrame:
             "count_if(NOT valid_rating) AS invalid_ratings",
             "count_if(NOT valid_recommendation) AS invalid_recommendations",
             *unknown,
+            # Spellings count separately here, hence a digest of the text as it stands. All
+            # other texts fall into one group (NULL) before the shuffle.
+            "count(DISTINCT CASE WHEN is_duplicate_review_text THEN sha2(review_text, 256) END) AS texts",
         )
     )
-    # Spellings count separately here, hence a digest of the text as it stands.
-    texts = (
-        clean.filter("is_duplicate_review_text")
-        .selectExpr("sha2(review_text, 256) AS text")
-        .distinct()
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    cells = as_value(completeness_metrics(raw))
-    return counts.withColumns({"texts": texts.scalar(), "cells": cells}).selectExpr(
+    return counts.withColumn("cells", as_value(completeness_metrics(raw))).selectExpr(
         "total_rows",
         f"{len(source_columns(clean))} AS total_columns",
         f"{len(source_columns(raw))} AS source_columns",
