@@ -39,3 +39,47 @@ def op3_decontamination(spark, folder):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query
+def op4_simhash(spark, folder):
+    from tallyloom.llm.simhash import near_duplicates
+
+    return near_duplicates(_table(spark, folder, "documents")).drop("text_hash")
+
+
+@query
+def op10_toxicity(spark, folder):
+    from tallyloom.llm.toxicity import score_toxicity, train
+
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    model = train(docs, _table(spark, folder, "labels"))
+    return score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op7_line_dedup(spark, folder):
+    from tallyloom.llm.line_dedup import remove_passages
+
+    found = remove_passages(_table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "removed_lines", "removed_words",
+        F.length("text").cast("long").alias("n_chars_left"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
+@query
+def op5_sentencepiece(spark, folder):
+    from tallyloom.llm import pieces
+
+    proto = pieces.load_model(spark)
+    coded = pieces.encode(_table(spark, folder, "documents").select("doc_id", "text"), proto)
+    back = pieces.decode(coded, proto)
+    as_text = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.sha2(as_text, 256).alias("ids_sha256"),
+        (F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")).alias("round_trip"),
+    )
