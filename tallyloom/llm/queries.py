@@ -83,3 +83,15 @@ def op5_sentencepiece(spark, folder):
         F.sha2(as_text, 256).alias("ids_sha256"),
         (F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")).alias("round_trip"),
     )
+
+
+@query
+def op8_language_model(spark, folder):
+    from tallyloom.llm import pitman_yor as hpy
+
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    model = hpy.train(docs.filter(~hpy.held_out()))
+    return hpy.score(docs, model).select(
+        "doc_id", hpy.held_out().alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score",
+    )
