@@ -95,3 +95,10 @@ def op8_language_model(spark, folder):
         "doc_id", hpy.held_out().alias("held_out"), "n_tokens", "n_known",
         F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score",
     )
+
+
+@query
+def op1_html_text(spark, folder):
+    from tallyloom.llm.html_text import extract_main_text
+
+    return extract_main_text(_table(spark, folder, "pages")).drop("slots")
