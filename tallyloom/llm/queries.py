@@ -102,3 +102,23 @@ def op1_html_text(spark, folder):
     from tallyloom.llm.html_text import extract_main_text
 
     return extract_main_text(_table(spark, folder, "pages")).drop("slots")
+
+
+@query
+def op6_personal_data(spark, folder):
+    from tallyloom.llm import personal_data as pii
+
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(docs, pii.train(docs))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def digest(spans):
+        parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(parts, ",")
+
+    return found.select(
+        "doc_id",
+        *(F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE),
+        F.sha2(digest(base), 256).alias("base_sha256"),
+        digest("spans").alias("spans"),
+    )
