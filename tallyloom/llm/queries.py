@@ -122,3 +122,11 @@ def op6_personal_data(spark, folder):
         F.sha2(digest(base), 256).alias("base_sha256"),
         digest("spans").alias("spans"),
     )
+
+
+@query
+def op9_quality(spark, folder):
+    from tallyloom.llm.quality import score_quality, train
+
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    return score_quality(docs, labels, train(docs, labels))
