@@ -30,12 +30,14 @@ MIN_WORDS = 50
 #: A chunk ends where the rolling hash is not divisible by this number.
 DIVISOR = 4
 #: After the end of a sentence that a blank follows, and after a line end; lines keep their bytes.
-CUT = r"(?<=[.!?])(?=[ \t])|(?<=\n)"
+CUT = r"(?<=[.!?\n])(?=[ \t]|(?<=\n))"
+#: A chunk of a single line that is shorter than this says too little; its neighbours speak for it.
+SINGLE_BYTES = 40
 
 
 def _bare(text) -> Column:
     """A line or chunk without blanks at its ends; line ends count as blanks."""
-    return F.trim(F.translate(text, "\r\n\t", "   "))
+    return F.trim(text, F.lit(" \t\r\n"))
 
 
 def _cut(docs: DataFrame, divisor: int) -> DataFrame:
@@ -60,15 +62,19 @@ def _chunks(cut: DataFrame, with_text: bool) -> DataFrame:
     end = "coalesce(get(firsts, k + 1), size(hashes) + 1)"
     fields = f"f AS first, {end} - f AS n, xxhash64(slice(hashes, f, {end} - f)) AS chunk"
     if with_text:
-        before = "if(k = 0, array(), slice(hashes, get(firsts, k - 1), f - get(firsts, k - 1)))"
+        # Two chunks back, since where a passage's first line ends a chunk hangs on the line before it.
+        at = "get(firsts, greatest(k - 2, 0))"
+        before = f"if(k = 0, array(), slice(hashes, {at}, f - {at}))"
         after = (
             f"if({end} > size(hashes), array(), slice(hashes, {end}, "
             f"coalesce(get(firsts, k + 2), size(hashes) + 1) - {end}))"
         )
         fields += f", array_join(slice(lines, f, {end} - f), '') AS body, {before} AS before, {after} AS after"
-    return cut.select(
+    fields += ", octet_length(get(lines, f - 1)) AS size"
+    each = cut.select(
         "doc_id", "text_hash", F.expr(f"inline(transform(firsts, (f, k) -> struct({fields})))")
     )
+    return each.filter((F.col("n") > 1) | (F.col("size") >= SINGLE_BYTES)).drop("size")
 
 
 def _common(own: str, other: str) -> Column:
