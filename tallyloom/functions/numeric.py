@@ -10,6 +10,11 @@ def double(value: float) -> str:
     return f"{float(value)!r}D"
 
 
+def identifier(name: str) -> str:
+    """A column name as SQL, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def quoted(value: str) -> str:
     """A STRING literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -1,10 +1,12 @@
 """What-if scenarios: move a part of the negative and neutral reviews and recompute the rates.
 
 The simulated rating needs the first K reviews of a class in ``row_id`` order. A global row
-number would pull all reviews of a segment into one task, so reviews are summed up per bucket
-of ``row_id`` instead: one scan gives this *ledger*, running counts over it tell which buckets
-lie wholly on one side of the K-th review, and only reviews of the buckets that K cuts through
-are ranked, each bucket by itself. Baselines are sums of the same ledger.
+number would pull all reviews of a segment into one task, so reviews are summed up per range of
+``row_id`` instead: one scan gives this *ledger*, running counts over it tell which ranges lie
+wholly on one side of the K-th review, and only reviews of the ranges that K cuts through are
+ranked, each range by itself. The ranges end at quantiles of the ids, so there is a fixed number of
+them and each holds a like share of the reviews, however the ids are spread. Baselines are sums
+of the same ledger. Scenarios are told apart by their place in the list; names are labels.
 """
 
 from __future__ import annotations
@@ -12,21 +14,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyloom.functions import classify
-from tallyloom.functions.numeric import double, mean, rate, share_of
+from tallyloom.functions.numeric import double, identifier, mean, quoted, rate, share_of
 from tallyloom.names import PRIORITIES, ROW_ID
 from tallyloom.operators.segments import SUMS
-from tallyloom.operators.shapes import Text, exprs, position, record, unfold
+from tallyloom.operators.shapes import Text, as_value, exprs, position, record, unfold
 
-# Ids per bucket. Row ids are unique, so no bucket holds more reviews than this.
-BUCKET_SPAN = 1 << 20
+# A range of ids is found in three steps, one of WAYS parts each: WAYS ** 3 ranges in all.
+WAYS = 16
+# The name that the segment column has while a simulation runs.
+SEGMENT = "_segment"
 
 
 @dataclass(frozen=True)
 class Assumptions:
-    """Intervention rates in percent; ``name`` tells the scenarios of a sweep apart."""
+    """Intervention rates in percent; ``name`` labels a scenario of a sweep."""
 
     negative_reached: float = 60.0
     intervention_success: float = 50.0
@@ -35,8 +39,9 @@ class Assumptions:
     advocacy_conversion: float = 25.0
     name: str = "default"
 
-    def as_record(self) -> str:
+    def as_record(self, place: int) -> str:
         return record(
+            place=place,
             scenario=Text(self.name),
             reached=double(self.negative_reached / 100.0),
             success=double(self.intervention_success / 100.0),
@@ -79,13 +84,48 @@ def _listed(assumptions: Assumptions | Sequence[Assumptions]) -> list[Assumption
     return [assumptions] if isinstance(assumptions, Assumptions) else list(assumptions)
 
 
-def _bucketed(df: DataFrame, span: int) -> DataFrame:
-    """Add the bucket of negative and neutral reviews; all others share the bucket NULL."""
-    moves = "sentiment IN ('Negative', 'Neutral')"
-    return df.withColumn("bucket", F.expr(f"CASE WHEN {moves} THEN {ROW_ID} DIV {span} END"))
+def _cut_points(df: DataFrame, ways: int):
+    """Quantiles of the ids of negative and neutral reviews, as one value with three levels.
+
+    ``top`` divides the ids into ``ways`` parts, ``middle`` each of these, ``low`` each of those.
+    """
+    parts = ways**3
+    shares = [i / parts for i in range(1, parts)]
+    points = df.filter("sentiment IN ('Negative', 'Neutral')").agg(
+        F.percentile_approx(ROW_ID, shares, 100 * parts).alias("p")
+    )
+
+    def level(step: int) -> str:
+        inner = f"transform(sequence(1, {ways - 1}), j -> p[i * {step * ways} + j * {step} - 1])"
+        return f"transform(sequence(0, {parts // (step * ways) - 1}), i -> {inner})"
+
+    return as_value(points.selectExpr(f"{level(ways * ways)} AS top", f"{level(ways)} AS middle", f"{level(1)} AS low"))
+
+
+def _bucketed(df: DataFrame, cuts, ways: int) -> DataFrame:
+    """Add the range of ids of negative and neutral reviews; all others share the bucket NULL."""
+    columns = df.columns
+    moves = F.expr("sentiment IN ('Negative', 'Neutral')")
+    part = F.lit(0)
+    for level in ("top", "middle", "low"):
+        below = F.size(F.filter(F.get(F.col(f"_cuts.{level}"), part), lambda c: c <= F.col(ROW_ID)))
+        part = part * ways + below
+    return df.withColumn("_cuts", cuts).select(*[F.col(identifier(c)) for c in columns], F.when(moves, part).alias("bucket"))
 
 
-def movements(df: DataFrame, by: list[str], assumptions: Sequence[Assumptions], span: int) -> DataFrame:
+def _same(keys: list[str]) -> Column:
+    """Equality of columns with those of the same name and an underscore; NULL equals NULL."""
+    condition = F.lit(True)
+    for key in keys:
+        condition = condition & F.col(key).eqNullSafe(F.col(f"{key}_"))
+    return condition
+
+
+def _other(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({key: f"{key}_" for key in keys})
+
+
+def movements(df: DataFrame, by: list[str], assumptions: Sequence[Assumptions]) -> DataFrame:
     """One row per bucket and scenario: the segment's baseline and movements, the bucket's place
     among the reviews of its sentiment, and what the bucket adds to the sum of ratings.
 
@@ -93,25 +133,28 @@ def movements(df: DataFrame, by: list[str], assumptions: Sequence[Assumptions],
     segment: reviews without a sentiment count as positive, those without a known flag as
     recommended, provided any flag is known.
     """
-    ledger = _bucketed(df, span).groupBy(*by, "sentiment", "bucket").agg(
+    ledger = df.groupBy(*by, "sentiment", "bucket").agg(
         *exprs(*[f"{total} AS {name}" for name, total in SUMS.items()])
     )
-    segment = ", ".join(by)
-    within = f"PARTITION BY {segment}" if by else ""
     earlier = (
         f"PARTITION BY {', '.join([*by, 'sentiment'])} ORDER BY bucket "
         "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     )
-    totals = ", ".join(f"'{c}', sum({c}) OVER ({within})" for c in SUMS)
+    if by:
+        totals = ", ".join(f"'{c}', sum({c}) OVER (PARTITION BY {', '.join(by)})" for c in SUMS)
+        ledger = ledger.selectExpr("*", f"named_struct({totals}) AS t")
+    else:
+        ledger = ledger.withColumn("t", as_value(ledger.agg(*exprs(*[f"sum({c}) AS {c}" for c in SUMS]))))
+    records = [a.as_record(place) for place, a in enumerate(assumptions)]
     return (
         ledger.selectExpr(
             *by, "sentiment", "bucket", "reviews AS size", "rating_sum AS stars",
             f"coalesce(sum(reviews) OVER ({earlier}), 0L) AS first",
-            f"named_struct({totals}) AS t",
+            "t",
         )
-        .selectExpr("*", f"explode(array({', '.join(a.as_record() for a in assumptions)})) AS a")
+        .selectExpr("*", f"explode(array({', '.join(records)})) AS a")
         .selectExpr(
-            *by, "a", "a.scenario AS scenario", "sentiment", "bucket", "size", "stars", "first",
+            *by, "a", "a.place AS place", "a.scenario AS scenario", "sentiment", "bucket", "size", "stars", "first",
             "first + size AS end",
             "t.reviews AS n",
             "t.negative AS neg",
@@ -137,32 +180,35 @@ def movements(df: DataFrame, by: list[str], assumptions: Sequence[Assumptions],
     )
 
 
-def _simulate(df: DataFrame, by: list[str], assumptions: Sequence[Assumptions], span: int) -> DataFrame:
+def _simulate(df: DataFrame, by: str | None, assumptions: Sequence[Assumptions], ways: int) -> DataFrame:
     """Counts, movements and the change of the sum of ratings per segment and scenario."""
-    moved = movements(df, by, assumptions, span)
+    cuts = _cut_points(df, ways)
+    segments = [F.col(identifier(by)).alias(SEGMENT)] if by else []
+    measured = ("rating", "recommended_ind", "positive_feedback_count", "has_review_text", "sentiment", "recommendation_label", "valid_recommendation")
+    needed = [c for c in df.columns if c in (ROW_ID, *measured)]
+    ranged = _bucketed(df.select(*segments, *needed), cuts, ways)
+    by = [SEGMENT] if by else []
+    moved = movements(ranged, by, assumptions)
     keys = [*by, "sentiment", "bucket"]
-    # At most three buckets are cut per segment and scenario; without segments that is a few
-    # rows to broadcast, else the reviews are shuffled by bucket, which is free of skew.
-    cut = moved.filter("change IS NULL").select(*keys, "scenario", "first", "to_four", "to_three")
-    cut = cut.hint("shuffle_hash") if by else F.broadcast(cut)
-    in_bucket = f"PARTITION BY scenario, {', '.join(keys)} ORDER BY {ROW_ID}"
+    # At most three buckets are cut per segment and scenario; Spark decides how to join them.
+    cut = moved.filter("change IS NULL").select(*keys, "place", "first", "to_four", "to_three")
+    in_bucket = f"PARTITION BY place, {', '.join(keys)} ORDER BY {ROW_ID}"
     ranked = (
-        _bucketed(df, span)
-        .filter("bucket IS NOT NULL")
+        ranged.filter("bucket IS NOT NULL")
         .select(*keys, ROW_ID, "rating")
-        .join(cut, keys)
+        .join(_other(cut, keys), _same(keys))
         .selectExpr("*", f"first + row_number() OVER ({in_bucket}) - 1 AS rank")
     )
     within = (
         ranked.filter("rank < to_three")
-        .groupBy(*by, "scenario")
+        .groupBy(*by, "place")
         .agg(*exprs("sum(CASE WHEN rank < to_four THEN 4D ELSE 3D END - rating) AS cut_change"))
     )
-    segment = [*by, "scenario", "a", *COUNTS, "avg_rating", "rating_sum"]
+    segment = [*by, "place", "scenario", "a", *COUNTS, "avg_rating", "rating_sum"]
     return (
         moved.groupBy(*segment)
         .agg(F.sum("change").alias("whole_change"))
-        .join(within, [*by, "scenario"], "left")
+        .join(_other(within, [*by, "place"]), _same([*by, "place"]), "left")
         .selectExpr(*segment, "coalesce(whole_change, 0D) + coalesce(cut_change, 0D) AS change")
     )
 
@@ -171,7 +217,7 @@ def run_simulation(
     df: DataFrame,
     assumptions: Assumptions | Sequence[Assumptions] = DEFAULT,
     by: str | None = None,
-    span: int = BUCKET_SPAN,
+    ways: int = WAYS,
 ) -> DataFrame:
     """Baseline, movements and simulated figures: one row per scenario (and value of ``by``).
 
@@ -180,12 +226,11 @@ def run_simulation(
     several = _listed(assumptions)
     result = [f"{how} AS {name}" for name, how in RESULT.items()]
     if by:
-        return _simulate(df, [by], several, span).selectExpr("scenario", by, *result)
-    scenarios = df.sparkSession.range(1).selectExpr(
-        f"explode(array({', '.join(repr(a.name) for a in several)})) AS scenario"
-    )
-    found = scenarios.join(F.broadcast(_simulate(df, [], several, span)), "scenario", "left")
-    return found.na.fill(0).selectExpr("scenario", *result)
+        return _simulate(df, by, several, ways).selectExpr("scenario", f"{SEGMENT} AS {identifier(by)}", *result)
+    names = ", ".join(quoted(a.name) for a in several)
+    scenarios = df.sparkSession.range(1).selectExpr(f"posexplode(array({names})) AS (place_, label)")
+    found = scenarios.join(_simulate(df, None, several, ways), F.col("place") == F.col("place_"), "left")
+    return found.na.fill(0).selectExpr("label AS scenario", *result)
 
 
 def finite_kpis(result: DataFrame) -> DataFrame:
@@ -203,7 +248,7 @@ def department_simulation(
     assumptions: Assumptions | Sequence[Assumptions] = DEFAULT,
     min_reviews: int = 0,
     by: str = "department_name",
-    span: int = BUCKET_SPAN,
+    ways: int = WAYS,
 ) -> DataFrame:
     """One simulation per department, most urgent first.
 
@@ -214,16 +259,17 @@ def department_simulation(
     overall = rate(f"all_neg - {improved}", "all_n")
     share = rate("n", "all_n")
     table = (
-        _simulate(df, [by], _listed(assumptions), span)
+        _simulate(df, by, _listed(assumptions), ways)
         .selectExpr(
             "*",
-            "sum(n) OVER (PARTITION BY scenario) AS all_n",
-            "sum(neg) OVER (PARTITION BY scenario) AS all_neg",
+            "sum(n) OVER (PARTITION BY place) AS all_n",
+            "sum(neg) OVER (PARTITION BY place) AS all_neg",
         )
         .filter(f"n >= {min_reviews}")
         .selectExpr(
+            "place",
             "scenario",
-            f"{by} AS department",
+            f"{SEGMENT} AS department",
             "n AS reviews",
             "avg_rating AS baseline_avg_rating",
             *[
@@ -243,18 +289,19 @@ def department_simulation(
     )
     return table.orderBy(
         "scenario",
+        "place",
         position("priority", PRIORITIES),
         F.desc("remaining_negative_reviews"),
         F.desc("reviews"),
         "department",
-    )
+    ).drop("place")
 
 
 def department_impact(
-    df: DataFrame, assumptions: Assumptions = DEFAULT, min_reviews: int = 50, span: int = BUCKET_SPAN
+    df: DataFrame, assumptions: Assumptions = DEFAULT, min_reviews: int = 50, ways: int = WAYS
 ) -> DataFrame:
     """Departments by the number of negative reviews the scenario removes."""
-    table = department_simulation(df, assumptions, min_reviews, span=span)
+    table = department_simulation(df, assumptions, min_reviews, ways=ways)
     return table.selectExpr("*", "successful_negative_cases AS negative_reduction").orderBy(
         F.desc("negative_reduction"), "department"
     )

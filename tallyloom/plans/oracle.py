@@ -7,7 +7,7 @@ frequencies. The dialect is DuckDB's.
 
 from __future__ import annotations
 
-from tallyloom.plans.settings import CHOICES, EXPECTED, MIN_CLASS, MIN_DEPARTMENT, SWEEP
+from tallyloom.plans.settings import CHOICES, EXPECTED, MIN_CLASS, MIN_DEPARTMENT, SAME_NAMES, SWEEP
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -528,14 +528,14 @@ add(
 def scenario(assumptions, by: str | None, source: str = "clean") -> str:
     """CTE ``result``: one row per scenario and segment, with plain row numbers for the ratings."""
     values = ", ".join(
-        f"('{a.name}', {a.negative_reached / 100.0!r}::double, {a.intervention_success / 100.0!r}::double, "
+        f"({place}, '{a.name}', {a.negative_reached / 100.0!r}::double, {a.intervention_success / 100.0!r}::double, "
         f"{a.success_to_positive / 100.0!r}::double, {a.neutral_to_positive / 100.0!r}::double, "
         f"{a.advocacy_conversion / 100.0!r}::double)"
-        for a in assumptions
+        for place, a in enumerate(assumptions)
     )
     part = lambda count, fraction: f"least(cast(round_even({count} * {fraction}, 0) as bigint), {count})"
     seg = by or "'all'"
-    return f"""assumed(scenario, reached, success, topos, neutral, advocacy) as (values {values}),
+    return f"""assumed(place, scenario, reached, success, topos, neutral, advocacy) as (values {values}),
 rows_ as (select {seg} as seg, row_id, sentiment, rating, recommended_ind,
   row_number() over (partition by {seg}, sentiment order by row_id) as rn from {source}),
 b0 as (select seg, count(*) n, count(*) filter (sentiment = 'Negative') neg, count(*) filter (sentiment = 'Neutral') neu,
@@ -548,16 +548,16 @@ m1 as (select *, {part('neg', 'reached')} as reached_neg, {part('neu', 'neutral'
 m2 as (select *, {part('reached_neg', 'success')} as successful_neg from m1),
 m3 as (select *, {part('successful_neg', 'topos')} as neg_to_pos from m2),
 m4 as (select *, successful_neg - neg_to_pos as neg_to_neu from m3),
-change as (select m4.scenario, m4.seg, sum(case when sentiment = 'Negative' and rn <= neg_to_pos then 4 - rating
+change as (select m4.place, m4.seg, sum(case when sentiment = 'Negative' and rn <= neg_to_pos then 4 - rating
     when sentiment = 'Negative' and rn <= successful_neg then 3 - rating
     when sentiment = 'Neutral' and rn <= neu_to_pos then 4 - rating else 0 end) as d
-  from m4 join rows_ using (seg) group by all),
-m5 as (select m4.*, rating_sum + coalesce(d, 0) as sim_rating_sum from m4 join change using (scenario, seg)),
+  from m4 join rows_ on m4.seg is not distinct from rows_.seg group by all),
+m5 as (select m4.*, rating_sum + coalesce(d, 0) as sim_rating_sum from m4 join change c on m4.place = c.place and m4.seg is not distinct from c.seg),
 m6 as (select *, neg - successful_neg as sim_neg, neu + neg_to_neu - neu_to_pos as sim_neu,
   pos + neg_to_pos + neu_to_pos as sim_pos, recommended + advocacy_conversions as sim_recommended,
   not_recommended - advocacy_conversions as sim_not_recommended,
   sim_rating_sum / n as sim_avg_rating, successful_neg + neu_to_pos as successfully_improved_reviews from m5),
-result as (select scenario, seg, n, neg, neu, pos, recommended, not_recommended, avg_rating, rating_sum, reached_neg,
+result as (select place, scenario, seg, n, neg, neu, pos, recommended, not_recommended, avg_rating, rating_sum, reached_neg,
   successful_neg, neg_to_pos, neg_to_neu, neu_to_pos, advocacy_conversions, sim_neg, sim_neu, sim_pos,
   sim_recommended, sim_not_recommended, sim_avg_rating, sim_rating_sum, successfully_improved_reviews,
   {rate('pos', 'n')} as baseline_positive_rate, {rate('neu', 'n')} as baseline_neutral_rate,
@@ -567,14 +567,17 @@ result as (select scenario, seg, n, neg, neu, pos, recommended, not_recommended,
 
 
 DEFAULT_ONLY = [a for a in SWEEP if a.name == "default"]
-add("scenario_overall", "select * exclude (seg) from result", scenario(SWEEP, None))
+add("scenario_overall", "select * exclude (place, seg) from result", scenario(SWEEP, None))
 add(
     "scenario_scoped",
-    "select * exclude (seg), true as finite from result",
+    "select * exclude (place, seg), true as finite from result",
     "scoped as (select * from clean where division_name in ('ASIA', 'EUROPE')),\n"
     + scenario(DEFAULT_ONLY, None, "scoped"),
 )
-add("scenario_by_class", "select * rename (seg as class_name) from result", scenario(SWEEP, "class_name"))
+add("scenario_by_class", "select * exclude (place) rename (seg as class_name) from result", scenario(SWEEP, "class_name"))
+
+add("scenario_by_product", "select * exclude (place) rename (seg as clothing_id) from result", scenario(DEFAULT_ONLY, "clothing_id"))
+add("scenario_same_names", "select * exclude (place, seg) from result", scenario(SAME_NAMES, None))
 
 
 def departments(assumptions, min_reviews: int) -> str:

@@ -25,7 +25,7 @@ from tallyloom.operators import (
     segments,
     validation,
 )
-from tallyloom.plans.settings import CHOICES, EXPECTED, MIN_CLASS, MIN_DEPARTMENT, SWEEP
+from tallyloom.plans.settings import CHOICES, EXPECTED, MIN_CLASS, MIN_DEPARTMENT, SAME_NAMES, SWEEP
 from tallyloom.sources.coerce import coerce_types
 from tallyloom.sources.layers import read_clean_layer, write_clean_layer
 from tallyloom.sources.readers import load_reviews
@@ -304,7 +304,19 @@ def scenario_scoped(t):
 @query
 def scenario_by_class(t):
     # A narrow bucket makes sure that ranges are cut inside buckets at this size, too.
-    return scenario.run_simulation(t.clean, SWEEP, by="class_name", span=4096)
+    return scenario.run_simulation(t.clean, SWEEP, by="class_name")
+
+
+@query
+def scenario_by_product(t):
+    """Products without an id are a segment too."""
+    return scenario.run_simulation(t.clean, SWEEP[1:2], by="clothing_id")
+
+
+@query
+def scenario_same_names(t):
+    """Scenarios of one name stay apart; rows are told apart by their figures."""
+    return scenario.run_simulation(t.clean, SAME_NAMES)
 
 
 @query

@@ -20,6 +20,7 @@ SWEEP = [
     Assumptions(33, 67, 25, 40, 10, "careful"),
     Assumptions(100, 100, 50, 50, 100, "all"),
 ]
+SAME_NAMES = [Assumptions(negative_reached=50), Assumptions(negative_reached=100)]
 EXPECTED = [
     Expectation("total_records", "Total Reviews", 15000),
     Expectation("average_rating", "Average Rating", 3.0, 0.05, "rating"),

@@ -78,7 +78,7 @@ def test_results_do_not_depend_on_the_layout(tables, parts):
     for build in (
         kpis.compute_kpis,
         segments.class_performance_matrix,
-        lambda df: scenario.department_simulation(df, span=64),
+        lambda df: scenario.department_simulation(df),
         lambda df: distributions.numeric_summary(df).withColumn("std_dev", F.round("std_dev", 6)),
     ):
         assert build(moved).collect() == build(tables.clean).collect()

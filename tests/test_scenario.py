@@ -57,20 +57,20 @@ def check(found, expected):
         assert found.sim_recommended + found.sim_not_recommended == found.n
 
 
-@pytest.mark.parametrize("span", [1, 7, 1 << 20])
-def test_overall_scenarios(clean, span):
+@pytest.mark.parametrize("ways", [2, 3, 16])
+def test_overall_scenarios(clean, ways):
     rows = random_rows(1)
     ordered = [(r["rating"], r["recommended_ind"]) for r in sorted(rows, key=lambda r: r["row_id"])]
-    found = {r.scenario: r for r in scenario.run_simulation(clean(*rows), SETS, span=span).collect()}
+    found = {r.scenario: r for r in scenario.run_simulation(clean(*rows), SETS, ways=ways).collect()}
     assert len(found) == len(SETS)
     for a in SETS:
         check(found[a.name], model(ordered, a))
 
 
-@pytest.mark.parametrize("span", [5, 64])
-def test_scenarios_per_department(clean, span):
+@pytest.mark.parametrize("ways", [2, 16])
+def test_scenarios_per_department(clean, ways):
     rows = random_rows(2)
-    found = scenario.run_simulation(clean(*rows), SETS, by="department_name", span=span).collect()
+    found = scenario.run_simulation(clean(*rows), SETS, by="department_name", ways=ways).collect()
     assert len(found) == 3 * len(SETS)
     for r in found:
         mine = sorted((x for x in rows if x["department_name"] == r.department_name), key=lambda x: x["row_id"])
@@ -127,3 +127,35 @@ def test_long_tables(clean):
     assert changes["Recommendation Rate"].direction == "unchanged"
     assert scenario.kpi_improvement(result).count() == 4
     assert [r.reviews for r in scenario.movement_steps(result).collect()] == [1, 0, 1, 1]
+
+
+def test_scenarios_of_one_name_stay_apart(clean):
+    table = clean(*random_rows(3))
+    ordered = [(r["rating"], r["recommended_ind"]) for r in sorted(random_rows(3), key=lambda r: r["row_id"])]
+    pair = [Assumptions(negative_reached=50), Assumptions(negative_reached=100)]
+    found = sorted(scenario.run_simulation(table, pair).collect(), key=lambda r: r.reached_neg)
+    assert len(found) == 2
+    for row, a in zip(found, pair):
+        check(row, model(ordered, a))
+    assert scenario.department_simulation(table, pair).count() == 6
+
+
+def test_null_and_oddly_named_segments(clean):
+    rows = [r | {"clothing_id": float(i % 3) if i % 4 else None} for i, r in enumerate(random_rows(4))]
+    table = clean(*rows).withColumnRenamed("clothing_id", "Shop `x` name")
+    found = scenario.run_simulation(table, SETS[2], by="Shop `x` name").collect()
+    assert len(found) == 4
+    for r in found:
+        mine = sorted((x for x in rows if x["clothing_id"] == r["Shop `x` name"]), key=lambda x: x["row_id"])
+        check(r, model([(x["rating"], x["recommended_ind"]) for x in mine], SETS[2]))
+
+
+def test_ledger_is_bounded_whatever_the_ids(clean):
+    rng = random.Random(6)
+    rows = [r | {"row_id": rng.getrandbits(62)} for r in random_rows(5)]
+    table = clean(*rows)
+    ordered = [(r["rating"], r["recommended_ind"]) for r in sorted(rows, key=lambda r: r["row_id"])]
+    (found,) = scenario.run_simulation(table, SETS[2], ways=2).collect()
+    check(found, model(ordered, SETS[2]))
+    ranged = scenario._bucketed(table, scenario._cut_points(table, 2), 2)
+    assert ranged.filter("bucket IS NOT NULL").select("bucket").distinct().count() <= 8
