@@ -47,20 +47,20 @@ class Model:
     base: float = 0.0
     terms: dict[str, int] = field(default_factory=dict)
     strong: frozenset[str] = frozenset()
+    #: First four letters of all terms; a word without such a beginning can match none.
+    roots: frozenset[str] = frozenset()
     weights: np.ndarray | None = None
     bias: float = 0.0
     firing: np.ndarray | None = None
     discount: np.ndarray | None = None
 
 
-def terms_of(text: str) -> tuple[set[str], int]:
-    """Words and word beginnings (marked by their length) of a text, and its number of words."""
-    words = WORD.findall(text.lower())
-    found = set(words)
-    terms = set(found)
+def terms_of(words) -> set[str]:
+    """Words and word beginnings, these marked by their length."""
+    terms = set(words)
     for n in BEGINNINGS:
-        terms.update([f"{n}{w[:n]}" for w in found if len(w) > n])
-    return terms, len(words)
+        terms.update([f"{n}{w[:n]}" for w in words if len(w) > n])
+    return terms
 
 
 def _kind(term: str) -> str:
@@ -73,19 +73,20 @@ def _kind(term: str) -> str:
 def matches(text: str | None, model: Model) -> tuple[list[int], int]:
     """Numbers of the lexicon terms in a text and its votes, one bit per voter."""
     text = text or ""
-    terms, n_words = terms_of(text)
-    found = terms & model.terms.keys()
+    words = WORD.findall(text.lower())
+    near = [w for w in set(words) if w[:4] in model.roots]
+    found = terms_of(near) & model.terms.keys() if near else set()
     strong = found & model.strong
     kinds = {_kind(t) for t in found} | {f"strong_{_kind(t)}" for t in strong}
     hits = sum(
         w in found or any(f"{n}{w[:n]}" in found for n in BEGINNINGS if len(w) > n)
-        for w in terms if not w[0].isdigit()
+        for w in near
     ) if found else 0
     if hits > 1:
         kinds.add("two_words")
     if hits > 2:
         kinds.add("three_words")
-    if 50 * hits > n_words:
+    if 50 * hits > len(words):
         kinds.add("dense")
     for name, pattern in (("shout", SHOUT), ("bangs", BANGS), ("masked", MASKED), ("addressed", ADDRESSED)):
         if pattern.search(text):
@@ -128,7 +129,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                for term in terms_of(text or "")[0]:
+                for term in terms_of(set(WORD.findall((text or "").lower()))):
                     counts.setdefault(term, [0, 0])[toxic == 1] += 1
                 if len(counts) > MAX_COUNTED:
                     yield flush()
@@ -231,6 +232,7 @@ def train(
         base=toxic / (toxic + clean),
         terms={r.term: i for i, r in enumerate(chosen)},
         strong=frozenset(r.term for r in chosen if r.gain >= STRONG),
+        roots=frozenset((r.term[1:] if r.term[0].isdigit() else r.term)[:4] for r in chosen),
     )
 
     def read_votes(columns):
@@ -242,6 +244,8 @@ def train(
 
     counted = by_batches(plain.select("text"), read_votes, "votes long").groupBy("votes").count().collect()
     rows = by_batches(sample, read_sample, "found array<int>, votes long, toxic int").collect()
+    if not rows:
+        return Model(base=model.base)
     fixed = Counter((r.votes, int(r.toxic == 1)) for r in rows)
     firing, discount, prior = label_model({r.votes: r["count"] for r in counted}, fixed)
     bits = np.array([[r.votes >> i & 1 for i in range(len(VOTERS))] for r in rows], dtype=float)
