@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most rows and about most bytes of a slice of a batch.
+SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -55,7 +57,10 @@ def remainder(doc_id: Column | str, modulus: int) -> Column:
 
 
 def by_batches(df: DataFrame, function, schema: str) -> DataFrame:
-    """Apply a function from a dict of Arrow columns to a dict of lists to every batch."""
+    """Apply a function from a dict of Arrow columns to a dict of lists to all rows.
+
+    Rows come in slices of bounded size, so that what Python makes of them stays small.
+    """
     spark_schema = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -63,9 +68,12 @@ def by_batches(df: DataFrame, function, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = function(dict(zip(batch.schema.names, batch.columns)))
-            arrays = [pa.array(columns[f.name], type=f.type) for f in arrow]
-            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+            rows = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                columns = function(dict(zip(part.schema.names, part.columns)))
+                arrays = [pa.array(columns[f.name], type=f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return df.mapInArrow(run, spark_schema)
 
