@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyloom.functions.classify import share_label
 from tallyloom.functions.numeric import mean, rate
 from tallyloom.names import RATINGS, RECOMMENDATIONS, SENTIMENTS
-from tallyloom.operators.shapes import Text, exprs, record, unfold
+from tallyloom.operators.shapes import Text, as_value, exprs, record, unfold
 
 
 def _label_counts(df: DataFrame, column: str, labels) -> tuple[DataFrame, list[str], str]:
@@ -190,13 +190,11 @@ def numeric_summary(df: DataFrame) -> DataFrame:
 def age_histogram(df: DataFrame, width: int = 5) -> DataFrame:
     """Reviews per age bin, counted from the smallest age; bins without reviews are absent."""
     freq = frequencies(age_distribution(df), "age")
+    whole = freq.agg(*exprs("min(age) AS low", "sum(age * n) / sum(n) AS mean", "percentile(age, 0.5D, n) AS median"))
     return (
-        freq.selectExpr(
-            "age", "n", "min(age) OVER () AS low", "sum(age * n) OVER () / sum(n) OVER () AS mean",
-            "percentile(age, 0.5D, n) OVER () AS median",
-        )
-        .groupBy(F.expr(f"low + floor((age - low) / {width}) * {width}").alias("bin_start"))
-        .agg(*exprs("sum(n) AS reviews", "max(mean) AS mean_age", "max(median) AS median_age"))
+        freq.withColumn("whole", as_value(whole))
+        .groupBy(F.expr(f"whole.low + floor((age - whole.low) / {width}) * {width}").alias("bin_start"))
+        .agg(*exprs("sum(n) AS reviews", "max(whole.mean) AS mean_age", "max(whole.median) AS median_age"))
         .selectExpr("bin_start", f"bin_start + {width} AS bin_end", "reviews", "mean_age", "median_age")
         .orderBy("bin_start")
     )

@@ -4,50 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tallyloom.functions.numeric import identifier
 from tallyloom.functions.text import text_key
 from tallyloom.names import ROW_ID, TEXT_KEY, TEXT_PLACEHOLDER
 
-# How many of the most frequent texts are looked up by broadcast: a fixed bound of 32 bytes
-# each, whatever the size of the table. Any text that is not among them makes up less than
-# 1/HOT_TEXTS of all rows, which is no more than an even share of a shuffle partition.
-HOT_TEXTS = 2048
+FLAG = "is_duplicate_review_text"
 
 
-def flag_duplicate_review_text(df: DataFrame, hot_texts: int = HOT_TEXTS) -> DataFrame:
-    """Add ``is_duplicate_review_text``; the placeholder counts as a text but is never flagged.
+def repeated_review_rows(df: DataFrame) -> DataFrame:
+    """``row_id`` of the reviews with a text that another review has too, each id once.
 
-    Occurrences are counted per digest, with partial counts before the shuffle. Going back to
-    the rows is skew-free: the most frequent texts come by broadcast, rows that need no further
-    search get a key of their own, and only the rest is joined by digest. When the flag is not
-    selected, Spark drops both joins because their keys are unique.
+    Occurrences are counted per digest, with partial counts before the shuffle. Only ids and
+    digests go back to the rows. A digest with more rows than an even share of a shuffle partition
+    is looked up by broadcast; there are fewer of those than the session has shuffle partitions.
+    All others are joined by digest, so no task gets much more than its share.
     """
-    columns = df.columns
-    if TEXT_KEY in columns:
+    if TEXT_KEY in df.columns:
         # A stored digest is NULL where there was no text; that stands for the placeholder.
         key = F.coalesce(TEXT_KEY, text_key(F.lit(TEXT_PLACEHOLDER)))
     else:
         key = text_key("review_text")
-    keyed = df.withColumn("_key", key)
-    # A digest is never NULL. Saying so makes the two uses of the counts the same plan, which
-    # Spark then runs once.
-    counts = keyed.filter("_key IS NOT NULL").groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    # A digest is never NULL. Saying so makes the uses of the counts the same plan, run once.
+    keyed = df.select(ROW_ID, "has_review_text", key.alias("_key")).filter("_key IS NOT NULL")
+    counts = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
     repeated = counts.filter("_n > 1")
-    hot = (
-        repeated.orderBy(F.desc("_n"), "_key").limit(hot_texts)
-        .groupBy(F.col("_key").alias("_hot")).agg(F.lit(True).alias("_is_hot"))
-    )
+    share = counts.agg(F.sum("_n").alias("rows")).scalar()
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = repeated.filter(F.col("_n") * parts > share).select(F.col("_key").alias("_hot"))
     cold = repeated.select(F.col("_key").alias("_cold"))
-
-    own = F.col(ROW_ID) if ROW_ID in columns else F.xxhash64(*[F.col(f"`{c}`") for c in columns])
-    open_rows = F.col("has_review_text") & F.col("_hot").isNull()
+    own = F.col(ROW_ID).cast("string").cast("binary")
     return (
-        keyed.join(F.broadcast(hot), F.col("_key") == F.col("_hot"), "left")
-        .withColumn("_seek", F.when(open_rows, F.col("_key")).otherwise(own.cast("string").cast("binary")))
-        # Hashing the repeated digests of a partition saves sorting the rows with their texts.
-        .join(cold.hint("shuffle_hash"), F.col("_seek") == F.col("_cold"), "left")
-        .withColumn(
-            "is_duplicate_review_text",
-            F.col("has_review_text") & (F.col("_hot").isNotNull() | F.col("_cold").isNotNull()),
-        )
-        .select(*[F.col(f"`{c}`") for c in columns], "is_duplicate_review_text")
+        keyed.filter("has_review_text")
+        .join(F.broadcast(hot), F.col("_key") == F.col("_hot"), "left")
+        .withColumn("_seek", F.when(F.col("_hot").isNull(), F.col("_key")).otherwise(own))
+        .join(cold, F.col("_seek") == F.col("_cold"), "left")
+        .filter("_hot IS NOT NULL OR _cold IS NOT NULL")
+        .groupBy(F.col(ROW_ID).alias("_row")).agg(F.lit(True).alias("_flag"))
     )
+
+
+def add_flag(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """Add the flag from a table of flagged rows with unique ids (``_row``, ``_flag``).
+
+    A query that doesn't use the flag doesn't join: the ids are known to be unique. One that does
+    joins those of its columns that it reads.
+    """
+    return df.join(rows, F.col(ROW_ID) == F.col("_row"), "left").select(
+        *[F.col(identifier(c)) for c in df.columns], F.coalesce("_flag", F.lit(False)).alias(FLAG)
+    )
+
+
+def flag_duplicate_review_text(df: DataFrame) -> DataFrame:
+    """Add ``is_duplicate_review_text``; the placeholder counts as a text but is never flagged."""
+    return add_flag(df, repeated_review_rows(df))

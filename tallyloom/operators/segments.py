@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tallyloom.functions import classify
-from tallyloom.functions.numeric import mean, rate
-from tallyloom.names import AGE_BANDS, TAXONOMY_COLUMNS, UNKNOWN
+from tallyloom.functions.numeric import identifier, mean, rate
+from tallyloom.names import AGE_BANDS, UNKNOWN
 from tallyloom.operators.shapes import as_value, empty, exprs, position
 
 SUMS = {
@@ -56,25 +56,21 @@ BASELINES = {
     "recommendation_rate": rate("whole.recommended", "whole.recommended + whole.not_recommended"),
 }
 # Columns that hold labels: the product taxonomy and what cleaning derives.
-LABELS = (*TAXONOMY_COLUMNS, "age_band", "sentiment", "recommendation_label")
 DIMENSIONS = ("division_name", "department_name", "class_name", "age_band")
 BAND_ORDER = (*AGE_BANDS, UNKNOWN)
 
 
 def segment_sums(df: DataFrame, *by: str) -> DataFrame:
     """Additive measures per combination of ``by`` (one row for none)."""
-    return df.groupBy(*by).agg(*exprs(*[f"{total} AS {name}" for name, total in SUMS.items()]))
+    keys = [F.col(identifier(c)).alias(c) for c in by]
+    return df.groupBy(*keys).agg(*exprs(*[f"{total} AS {name}" for name, total in SUMS.items()]))
 
 
-def with_whole(sums: DataFrame, *by: str) -> DataFrame:
+def with_whole(sums: DataFrame) -> DataFrame:
     """Add the sums of all segments as the struct ``whole``, before any segment is left out.
 
-    Label columns have few values, so their segment table is summed up in place by a window;
-    for any other column (a product id, say) the total is a distributed aggregate of its own.
+    The total is a distributed aggregate of the segment table, whatever the column.
     """
-    if set(by) <= set(LABELS):
-        totals = [f"'{c}', coalesce(sum({c}) OVER (), 0)" for c in SUMS]
-        return sums.selectExpr("*", f"named_struct({', '.join(totals)}) AS whole")
     totals = sums.agg(*exprs(*[f"coalesce(sum({c}), 0) AS {c}" for c in SUMS]))
     return sums.withColumn("whole", as_value(totals))
 
@@ -82,7 +78,7 @@ def with_whole(sums: DataFrame, *by: str) -> DataFrame:
 def with_measures(sums: DataFrame, *by: str) -> DataFrame:
     """Segment table with the ``whole`` struct kept for baselines."""
     measures = [f"{how} AS {name}" for name, (_, how) in MEASURES.items()]
-    return with_whole(sums, *by).selectExpr(*by, *measures, "whole")
+    return with_whole(sums).selectExpr(*[identifier(c) for c in by], *measures, "whole")
 
 
 def segment_table(df: DataFrame, by: str, min_reviews: int = 0) -> DataFrame:
@@ -100,13 +96,13 @@ def segment_performance(
 ) -> DataFrame:
     """15 measures per value of ``by``, in a given label order or by a measure, descending."""
     if by not in df.columns:
-        columns = {by: "string"} | {name: kind for name, (kind, _) in MEASURES.items()}
+        columns = {identifier(by): "string"} | {name: kind for name, (kind, _) in MEASURES.items()}
         return empty(df, ", ".join(f"{c} {kind}" for c, kind in columns.items()))
     table = segment_table(df, by, min_reviews).drop("whole")
     if order is not None:
-        return table.orderBy(position(by, order), by)
+        return table.orderBy(position(identifier(by), order), F.col(identifier(by)))
     if sort_by in MEASURES:
-        return table.orderBy(F.desc(sort_by), by)
+        return table.orderBy(F.desc(sort_by), F.col(identifier(by)))
     return table
 
 

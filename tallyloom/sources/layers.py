@@ -2,30 +2,44 @@
 
 One stored table serves both sides. It has the columns of the clean table plus a marker per
 taxonomy column that was filled, so that the raw table is a projection of it and no text is
-stored twice.
+stored twice. The ids of reviews with a repeated text are a narrow table beside it, joined only by
+views that use the flag: texts are written where they are read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyloom.names import DERIVED_COLUMNS, TAXONOMY_COLUMNS
-from tallyloom.operators.cleaning import clean_reviews
+from tallyloom.functions.numeric import identifier
+from tallyloom.names import DERIVED_COLUMNS, TAXONOMY_COLUMNS, TEXT_KEY
+from tallyloom.operators.cleaning import clean_rows
+from tallyloom.operators.duplicates import add_flag, repeated_review_rows
 
 MARKER = "was_missing_"
 
 
-def write_clean_layer(raw: DataFrame, path: str) -> None:
-    """Clean ``raw`` and store it in a new folder (on a cluster, a shared one)."""
+def write_clean_layer(raw: DataFrame, path: str, cluster_by: list[str] | None = None) -> None:
+    """Clean ``raw`` and store it in a new folder (on a cluster, a shared one).
+
+    ``cluster_by`` names columns by which each task sorts its rows, so that filters on them skip
+    row groups; rows stay in their task.
+    """
     markers = {
         f"{MARKER}{c}": F.col(c).isNull() for c in TAXONOMY_COLUMNS if c in raw.columns
     }
-    clean_reviews(raw.withColumns(markers)).write.mode("errorifexists").parquet(path)
+    cleaned = clean_rows(raw.withColumns(markers))
+    rows = cleaned.drop(TEXT_KEY)
+    if cluster_by:
+        rows = rows.sortWithinPartitions(*[F.col(identifier(c)) for c in cluster_by])
+    rows.write.mode("errorifexists").parquet(f"{path}/reviews")
+    repeated_review_rows(cleaned).select("_row").write.mode("errorifexists").parquet(f"{path}/repeated")
 
 
 def read_clean_layer(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The raw and the clean table of a stored layer."""
-    layer = spark.read.parquet(path)
+    layer = spark.read.parquet(f"{path}/reviews")
+    # The ids are unique as written; grouping them says so, and lets Spark leave the join out.
+    repeated = spark.read.parquet(f"{path}/repeated").groupBy("_row").agg(F.lit(True).alias("_flag"))
     source = [c for c in layer.columns if not c.startswith(MARKER)]
     present = {"title": "has_title", "review_text": "has_review_text"}
     present |= {c: f"NOT {MARKER}{c}" for c in TAXONOMY_COLUMNS if c in source}
@@ -36,4 +50,4 @@ def read_clean_layer(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
             if c not in DERIVED_COLUMNS
         ]
     )
-    return raw, layer.select(*[f"`{c}`" for c in source])
+    return raw, add_flag(layer.select(*[identifier(c) for c in source]), repeated)

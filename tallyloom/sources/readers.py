@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-import re
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tallyloom.functions.numeric import identifier
 from tallyloom.functions.text import text_key
 from tallyloom.names import ROW_ID, TEXT_KEY
 from tallyloom.sources.coerce import coerce_types, null_missing_tokens, rename_source_columns
@@ -17,13 +17,24 @@ from tallyloom.sources.workbook import read_workbooks
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 FORMATS = {".csv": "csv", ".xlsx": "xlsx", ".parquet": "parquet"}
-# Beyond this many files (some 20 MB of names) their ranks are not broadcast.
-MAX_BROADCAST_FILES = 100_000
+# Compressions Spark reads by the ending of the name, which has to be in small letters.
+COMPRESSIONS = (".gz", ".bz2", ".zst", ".deflate", ".lz4", ".snappy")
 DEFAULT_FILE = "Womens Clothing E-Commerce Reviews.csv"
 
 
+def _extension(name: str) -> str:
+    """The ending of a name in small letters, without that of a compression."""
+    stem, extension = os.path.splitext(name.rstrip("/"))
+    if extension.lower() in COMPRESSIONS:
+        if extension not in COMPRESSIONS:
+            raise DatasetError(f"'{name}' can't be unpacked; write '{extension.lower()}' in small letters.")
+        extension = os.path.splitext(stem)[1]
+    return extension.lower()
+
+
 def format_of(name: str) -> str:
-    extension = os.path.splitext(name.rstrip("/"))[1].lower()
+    """The format a name stands for, in any spelling and with or without a compression."""
+    extension = _extension(name)
     if extension not in FORMATS:
         raise DatasetError(
             f"Cannot read '{extension or name}' files; known are {', '.join(sorted(FORMATS))}."
@@ -48,7 +59,7 @@ def find_default(spark: SparkSession, folder: str) -> str:
     require_path(spark, folder)
     files, target = _hadoop_path(spark, folder)
     names = sorted(status.getPath().getName() for status in files.listStatus(target))
-    usable = [n for n in names if os.path.splitext(n)[1].lower() in FORMATS and not n.startswith("~$")]
+    usable = [n for n in names if _extension(n) in FORMATS and not n.startswith(("~$", ".", "_"))]
     if DEFAULT_FILE in usable:
         return f"{folder.rstrip('/')}/{DEFAULT_FILE}"
     if not usable:
@@ -56,68 +67,93 @@ def find_default(spark: SparkSession, folder: str) -> str:
     return f"{folder.rstrip('/')}/{usable[0]}"
 
 
-def _without_scheme(path: str) -> str:
-    """Paths from listings and from rows differ in the slashes behind the scheme."""
-    return re.sub("^[a-z0-9]+:/+", "/", path)
-
+def csv_files(spark: SparkSession, path: str) -> DataFrame:
+    """One row per CSV file: file, header (its first line) and utf8 (whether all of it is).
 
-def files_not_utf8(spark: SparkSession, path: str) -> list[str]:
-    """Files with a line that is not UTF-8. The list is bounded by the number of files."""
-    lines = spark.read.option("pathGlobFilter", "*.csv").text(path)
-    bad = lines.filter(~F.is_valid_utf8("value")).select(F.col("_metadata.file_path").alias("file"))
-    return sorted(r["file"] for r in bad.distinct().collect())
+    One pass over the bytes, in splits; per file one row is left.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id")).alias("place"),
+        "value",
+    )
+    return lines.groupBy("file").agg(
+        F.min_by(F.rtrim("value"), "place").alias("header"), F.every(F.is_valid_utf8("value")).alias("utf8")
+    )
 
 
 def _read_csv_as(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
-    reader = spark.read.options(**CSV_OPTIONS).option("encoding", encoding)
-    frame = reader.option("pathGlobFilter", "*.csv").csv(paths)
+    frame = spark.read.options(**CSV_OPTIONS).option("encoding", encoding).csv(paths)
     # A multi-line file is read by one task from start to end, so the low 33 bits of the
     # generated id grow with the place of the record in its file.
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return frame.select("*", F.col("_metadata.file_path").alias("_file"), place.alias("_place"))
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """CSV with quoted newlines. Files that are not UTF-8 are read as Latin-1, file by file;
-    naming the ``encoding`` saves the pass over the bytes that finds them."""
-    if encoding is not None:
-        return _number(_read_csv_as(spark, [path], encoding))
-    bad = files_not_utf8(spark, path)
-    if not bad:
-        return _number(_read_csv_as(spark, [path], "UTF-8"))
-    known = {_without_scheme(p) for p in bad}
-    every = spark.read.option("pathGlobFilter", "*.csv").text(path).inputFiles()
-    good = sorted(p for p in every if _without_scheme(p) not in known)
-    parts = [(good, "UTF-8"), (bad, "ISO-8859-1")]
-    # Listed paths are URL-encoded, paths to read are not.
-    frames = [_read_csv_as(spark, [unquote(p) for p in names], encoding) for names, encoding in parts if names]
-    return _number(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames))
+def _by_name(frames: list[DataFrame]) -> DataFrame:
+    """Rows of several frames by column name; one that shares no column with the first is refused."""
+    first = set(frames[0].columns) - {"_file", "_place"}
+    for frame in frames[1:]:
+        if not first & set(frame.columns):
+            example = frame.select("_file").first()
+            raise DatasetError(
+                f"{example[0] if example else 'A file'} has none of the columns {', '.join(sorted(first))}."
+            )
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, numbered: bool = True) -> DataFrame:
+    """CSV with quoted newlines; every data file below ``path`` is read, whatever its name.
+
+    Files are read in groups of equal headers and put together by column name. Files that are not
+    UTF-8 are read as Latin-1, file by file, unless an ``encoding`` is named. If all files are
+    alike, the folder is read as such; else each group's paths are listed, as Spark's reader takes
+    them. ``numbered`` adds ``row_id``.
+    """
+    files = csv_files(spark, path)
+    latin = F.lit(False) if encoding is not None else ~F.col("utf8")
+    # One row per header and encoding, of which there are few.
+    groups = files.groupBy("header", latin.alias("latin")).count().orderBy(F.desc("count"), "header", "latin").collect()
+    if len(groups) <= 1:
+        latin_only = bool(groups) and groups[0]["latin"]
+        frame = _read_csv_as(spark, [path], encoding or ("ISO-8859-1" if latin_only else "UTF-8"))
+        return _number(frame) if numbered else frame.drop("_file", "_place")
+    frames = []
+    for group in groups:
+        own = files.filter(F.col("header").eqNullSafe(F.lit(group["header"])) & (latin == group["latin"]))
+        # Listed paths are URL-encoded, paths to read are not.
+        paths = [unquote(r["file"]) for r in own.select("file").orderBy("file").collect()]
+        frames.append(_read_csv_as(spark, paths, encoding or ("ISO-8859-1" if group["latin"] else "UTF-8")))
+    frame = _by_name(frames)
+    return _number(frame) if numbered else frame.drop("_file", "_place")
 
 
 def _number(df: DataFrame) -> DataFrame:
     """``row_id``: rank of the file by name, then place in the file.
 
-    The names come from the file listing the driver has made anyway. Up to ``MAX_BROADCAST_FILES``
-    of them are broadcast, more are joined like any other table.
+    Names are ranked as a table of one row per file; how it is joined is left to Spark.
     """
-    files = sorted({_without_scheme(p) for p in df.inputFiles()}, key=unquote)
-    ranks = df.sparkSession.createDataFrame(list(enumerate(files)), "_rank bigint, _key string")
-    ranks = F.broadcast(ranks) if len(files) <= MAX_BROADCAST_FILES else ranks
-    bare = F.regexp_replace("_file", "^[a-z0-9]+:/+", "/")
-    numbered = df.withColumn("_key", bare).join(ranks, "_key", "left")
-    return numbered.withColumn(
+    names = df.groupBy(F.col("_file").alias("_name")).agg(F.lit(True).alias("_any"))
+    ranks = names.select("_name", (F.row_number().over(Window.orderBy("_name")) - 1).cast("long").alias("_rank"))
+    return df.join(ranks, F.col("_file") == F.col("_name"), "left").withColumn(
         ROW_ID, F.shiftleft("_rank", 33).bitwiseOR(F.col("_place"))
-    ).drop("_key", "_rank", "_file", "_place")
+    ).drop("_name", "_rank", "_file", "_place")
+
 
+def read_any(
+    spark: SparkSession, path: str, fmt: str | None = None, encoding: str | None = None, numbered: bool = True
+) -> DataFrame:
+    """Cells as read: text for CSV and workbooks, stored types for Parquet.
 
-def read_any(spark: SparkSession, path: str, fmt: str | None = None, encoding: str | None = None) -> DataFrame:
-    """Cells as read: text for CSV and workbooks, stored types for Parquet."""
+    A named format reads every data file below ``path``; else the name of ``path`` tells it.
+    """
     require_path(spark, path)
     fmt = fmt or format_of(path)
     if fmt == "csv":
-        return read_csv(spark, path, encoding)
+        return read_csv(spark, path, encoding, numbered)
     if fmt == "xlsx":
-        return _number(read_workbooks(spark, path).withColumnRenamed("_row", "_place"))
+        rows = read_workbooks(spark, path).withColumnRenamed("_row", "_place")
+        return _number(rows) if numbered else rows.drop("_file", "_place")
     if fmt == "parquet":
         return spark.read.parquet(path)
     raise DatasetError(f"Cannot read format '{fmt}'.")
@@ -133,12 +169,17 @@ def load_reviews(
     """Typed raw review table with a unique ``row_id``.
 
     ``key`` names a unique integer column to use as the row's identity; Parquet tables without
-    a ``row_id`` need it, because their rows have no order of their own.
+    a ``row_id`` need it, because their rows have no order of their own. Cells that spell a
+    missing value are a matter of text files; Parquet tables keep what they store.
     """
-    frame = rename_source_columns(null_missing_tokens(read_any(spark, path, fmt, encoding)))
+    fmt = fmt or format_of(path)
+    frame = read_any(spark, path, fmt, encoding, numbered=key is None)
+    if fmt != "parquet":
+        frame = null_missing_tokens(frame)
     if key is not None:
-        frame = frame.withColumn(ROW_ID, F.col(f"`{key}`").cast("bigint"))
-    elif ROW_ID not in frame.columns:
+        frame = frame.withColumn(ROW_ID, F.col(identifier(key)).cast("bigint"))
+    frame = rename_source_columns(frame)
+    if ROW_ID not in frame.columns:
         raise DatasetError("Name a unique integer column as the key of this table.")
     return coerce_types(frame)
 

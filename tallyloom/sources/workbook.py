@@ -104,10 +104,13 @@ def _review_sheet(content: bytes) -> tuple[dict[int, str], Iterator[dict[int, st
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """All workbooks under ``path`` with the union of their columns, as text."""
+    """All workbooks under ``path`` with the union of their columns, as text.
+
+    Every file is taken for one, but for the lock files of open workbooks.
+    """
     files = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", "[!~]*.xlsx")
+        .option("pathGlobFilter", "[!~]*")
         .load(path)
         .select(F.col("_metadata.file_path").alias("path"), "content")
     )

@@ -26,11 +26,14 @@ def test_rows_are_kept_and_gaps_filled(raw, clean):
     assert set(DERIVED_COLUMNS) <= set(found[0].asDict())
 
 
-@pytest.mark.parametrize("hot_texts", [0, 1, 2048])
-def test_duplicates_by_trimmed_lower_text(raw, hot_texts):
+@pytest.mark.parametrize("partitions", [1, 4, 2000])
+def test_duplicates_by_trimmed_lower_text(spark, raw, partitions):
     texts = ["Same text", "same TEXT ", "Unique text", "Another", "b", "b", "b", None, None]
     rows = cleaning.clean_rows(raw(*[{"review_text": t} for t in texts]))
-    flagged = duplicates.flag_duplicate_review_text(rows, hot_texts)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    flagged = duplicates.flag_duplicate_review_text(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     assert column(flagged, "is_duplicate_review_text") == [True, True, False, False, True, True, True, False, False]
 
 

@@ -172,3 +172,38 @@ def test_workbook_without_review_sheet_gives_its_first_sheet(spark, tmp_path):
     found = readers.read_any(spark, str(tmp_path / "w.xlsx"))
     assert {"A", "C"} <= set(found.columns) and "B" not in found.columns
     assert found.select("A", "C").first() == ("x", "1.5")
+
+
+def rows_of(df):
+    return sorted((r.clothing_id, r.rating) for r in df.select("clothing_id", "rating").collect())
+
+
+def test_no_file_of_a_folder_is_lost(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.csv").write_text("Clothing ID,Rating\n1,5\n")
+    (tmp_path / "b.CSV").write_text("Rating,Clothing ID\n4,2\n")
+    (tmp_path / "c.csv.gz").write_bytes(gzip.compress(b"Clothing ID,Rating,Title\n3,3,x\n"))
+    (tmp_path / "d.txt").write_bytes("Clothing ID,Rating,Title\n4,2,café\n".encode("latin-1"))
+    loaded = readers.load_reviews(spark, str(tmp_path), "csv")
+    assert rows_of(loaded) == [(1, 5), (2, 4), (3, 3), (4, 2)]
+    assert {r.title for r in loaded.collect()} == {None, "x", "café"}
+    assert [r.clothing_id for r in loaded.orderBy("row_id").collect()] == [1, 2, 3, 4]
+    assert rows_of(readers.load_reviews(spark, str(tmp_path), "csv", key="Clothing ID")) == rows_of(loaded)
+
+
+def test_one_file_in_capitals(spark, tmp_path):
+    (tmp_path / "r.CSV").write_text("Clothing ID,Rating\n1,5\n")
+    assert rows_of(readers.load_reviews(spark, str(tmp_path / "r.CSV"))) == [(1, 5)]
+
+
+def test_files_without_common_columns_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Clothing ID,Rating\n1,5\n2,4\n")
+    (tmp_path / "b.csv").write_text("x,y\n1,2\n")
+    with pytest.raises(DatasetError, match="none of the columns"):
+        readers.load_reviews(spark, str(tmp_path), "csv")
+
+
+def test_parquet_keeps_texts_that_spell_missing_values(spark, tmp_path):
+    spark.createDataFrame([(1, "None", 5.0)], "row_id long, title string, rating double").write.parquet(str(tmp_path / "t"))
+    assert readers.load_reviews(spark, str(tmp_path / "t"), "parquet").first().title == "None"
