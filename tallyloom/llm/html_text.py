@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import stored
+from tallyloom.llm.shared import slices, stored
 
 #: A class needs this share of the host's pages, this many pages and this many tokens.
 SUPPORT, MIN_PAGES, MIN_TOKENS = 0.5, 3, 3
@@ -257,7 +257,7 @@ def _count(pages: DataFrame) -> DataFrame:
                 names=names,
             )
 
-        for batch in batches:
+        for batch in slices(batches):
             for page_id, host, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 tokens, cleared, _ = read(page)
                 own: dict[tuple[str, int, int], int] = {}
@@ -371,7 +371,7 @@ def templates(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         seen: dict[tuple[str, int], list[int]] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for host, page, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 classes = {x["token"]: x["class"] for x in own or ()}
                 tokens, cleared, has_main = read(page)
@@ -450,7 +450,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     slots_type = pa.list_(pa.struct([("slot", pa.int64()), ("text", pa.string())]))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts, slots = [], []
             for page, own, container, use_text in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
                 found = main_text(page, set(own or ()), container, bool(use_text))

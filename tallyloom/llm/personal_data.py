@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import by_batches
+from tallyloom.llm.shared import by_batches, slices
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "name", "secret", "ssn")
@@ -252,7 +252,7 @@ def train(docs: DataFrame) -> Model:
 
     def run(batches):
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 for span in _candidates(text or ""):
                     counts[_key(text, *span)] += 1

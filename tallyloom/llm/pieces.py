@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece.sentencepiece_model_pb2 import ModelProto
 
-from tallyloom.llm.shared import by_batches, stored, whole_text
+from tallyloom.llm.shared import by_batches, slices, stored, whole_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 15
@@ -218,7 +218,7 @@ def _cut(giants: DataFrame, chunk: int, reach: int) -> DataFrame:
 
     def run(batches):
         names = ["own_id", "own_hash", "number", "before", "body", "after"]
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, own_hash, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for number, at in enumerate(range(0, len(text), chunk)):
                     end = min(at + chunk, len(text))

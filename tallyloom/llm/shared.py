@@ -56,24 +56,26 @@ def remainder(doc_id: Column | str, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % modulus
 
 
-def by_batches(df: DataFrame, function, schema: str) -> DataFrame:
-    """Apply a function from a dict of Arrow columns to a dict of lists to all rows.
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of batches in slices of bounded size, so that what Python makes of them stays small."""
+    for batch in batches:
+        rows = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
-    Rows come in slices of bounded size, so that what Python makes of them stays small.
-    """
+
+def by_batches(df: DataFrame, function, schema: str) -> DataFrame:
+    """Apply a function from a dict of Arrow columns to a dict of lists to all rows."""
     spark_schema = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(spark_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
-            for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
-                columns = function(dict(zip(part.schema.names, part.columns)))
-                arrays = [pa.array(columns[f.name], type=f.type) for f in arrow]
-                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        for part in slices(batches):
+            columns = function(dict(zip(part.schema.names, part.columns)))
+            arrays = [pa.array(columns[f.name], type=f.type) for f in arrow]
+            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return df.mapInArrow(run, spark_schema)
 

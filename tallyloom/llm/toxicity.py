@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import by_batches, remainder, stored
+from tallyloom.llm.shared import by_batches, remainder, slices, stored
 
 #: Bounds of the labelled sample, of the lexicon, and of the terms counted at a time in a task.
 MAX_TOXIC, MAX_CLEAN, MAX_TERMS, MAX_COUNTED = 12_000, 24_000, 2_000, 400_000
@@ -127,7 +127,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
             counts.clear()
             return out
 
-        for batch in batches:
+        for batch in slices(batches):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 for term in terms_of(set(WORD.findall((text or "").lower()))):
                     counts.setdefault(term, [0, 0])[toxic == 1] += 1
