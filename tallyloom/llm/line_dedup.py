@@ -84,6 +84,15 @@ def _common(own: str, other: str) -> Column:
     return F.expr(f"if({shorter} = 0, 0, coalesce(get({differs}, 0), {shorter}))")
 
 
+def _once(**columns: Column) -> Column:
+    """Columns that are worked out once per row, however often later expressions refer to them.
+
+    The optimizer puts expressions in place of references, even inside functions that run for
+    every element of an array, but does not do so across a generator.
+    """
+    return F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items()))))
+
+
 def repeated_lines(docs: DataFrame, divisor: int = DIVISOR, bits: int = BITS) -> DataFrame:
     """doc_id, text_hash, first and n: ranges of lines (from 1) that repeat an earlier occurrence."""
     cut = _cut(docs, divisor)
@@ -148,27 +157,29 @@ def remove_passages(
         "'b', greatest(element_at(acc, -1).b, r.first + r.n - 1)))), "
         "concat(acc, array(named_struct('a', r.first, 'b', r.first + r.n - 1)))))"
     )
+
     def with_words(run):
         text = F.array_join(F.slice("__lines", run["a"], run["b"] - run["a"] + 1), "")
         words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
         return F.struct(run["a"].alias("a"), run["b"].alias("b"), F.size(words).alias("w"))
 
-    lines = F.split("text", CUT)
-    changed = (
-        joined.withColumn("__lines", F.when(F.col("ranges").isNotNull(), lines))
-        .withColumn("__runs", F.when(F.col("ranges").isNotNull(), runs))
-        .withColumn("__runs", F.transform("__runs", with_words))
-        .withColumn("__runs", F.filter("__runs", lambda r: (r["b"] > r["a"]) & (r["w"] >= min_words)))
-    )
+    some = F.col("ranges").isNotNull()
+    changed = joined.select(*kept, _once(__lines=F.when(some, F.split("text", CUT)), __runs=F.when(some, runs)))
+    passages = F.filter(F.transform("__runs", with_words), lambda r: (r["b"] > r["a"]) & (r["w"] >= min_words))
+    changed = changed.select(*kept, "__lines", _once(__passages=passages))
+    # What stands between the passages, in order.
     stay = (
-        "array_join(filter(__lines, (x, i) -> NOT exists(__runs, r -> i + 1 BETWEEN r.a AND r.b)), '')"
-    )
-    touched = F.size("__runs") > 0
-    columns = [
-        F.when(touched, F.expr(stay)).otherwise(F.col(c)).alias(c) if c == "text" else F.col(c) for c in kept
-    ]
-    return changed.select(
-        *columns,
-        F.when(touched, F.expr("aggregate(__runs, 0L, (s, r) -> s + r.b - r.a + 1)")).otherwise(0).alias("removed_lines"),
-        F.when(touched, F.expr("aggregate(__runs, 0L, (s, r) -> s + r.w)")).otherwise(0).alias("removed_words"),
+        "aggregate(__passages, named_struct('parts', cast(array() as array<string>), 'next', 1), (acc, r) -> "
+        "named_struct('parts', concat(acc.parts, array(array_join(slice(__lines, acc.next, r.a - acc.next), ''))), "
+        "'next', r.b + 1), acc -> concat(array_join(acc.parts, ''), "
+        "array_join(slice(__lines, acc.next, size(__lines)), '')))"
     )
+    touched = F.size("__passages") > 0
+    result = F.when(touched, F.expr(stay)).otherwise(F.col("text"))
+    rest = [c for c in kept if c != "text"]
+    counted = {
+        "removed_lines": F.when(touched, F.expr("aggregate(__passages, 0L, (s, r) -> s + r.b - r.a + 1)")).otherwise(0),
+        "removed_words": F.when(touched, F.expr("aggregate(__passages, 0L, (s, r) -> s + r.w)")).otherwise(0),
+    }
+    done = changed.select(*rest, _once(text=result, **counted))
+    return done.select(*kept, *counted)
