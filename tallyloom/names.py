@@ -65,7 +65,7 @@ MISSING_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-# Columns of a review list, with the shorter names used for display.
+# Columns of a review list, with the shorter names used for display.
 REVIEW_LIST = {
     "clothing_id": "clothing_id",
     "age": "age",

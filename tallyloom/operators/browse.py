@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 from tallyloom.names import REVIEW_LIST, ROW_ID
 from tallyloom.operators.filters import min_helpful_votes, negative_only as only_negative, search_reviews
 
-# Sort choices of the review browser: column and direction.
+# Sort choices of the review browser, column and direction.
 SORTS = {
     "Helpful votes (high to low)": ("positive_feedback_count", False),
     "Rating (low to high)": ("rating", True),

@@ -157,12 +157,34 @@ def helpful_votes_by_sentiment(df: DataFrame) -> DataFrame:
 NUMERIC_MEASURES = ("age", "rating", "positive_feedback_count", "review_length_words")
 
 
-def numeric_summary(df: DataFrame) -> DataFrame:
-    """Count, mean, quartiles, deviation and range of the numeric columns that have values."""
+# Accuracy of approximate percentiles: a rank is off by at most one part in so many.
+ACCURACY = 10_000
+
+
+def numeric_summary(df: DataFrame, exact: bool = True) -> DataFrame:
+    """Count, mean, quartiles, deviation and range of the numeric columns that have values.
+
+    ``exact=False`` takes the quartiles from a sketch of bounded size instead of all distinct
+    values, for measures with very many of them; ranks are off by 1/ACCURACY at most.
+    """
     pairs = ", ".join(
         f"named_struct('measure', '{c}', 'v', double({c}))" for c in NUMERIC_MEASURES if c in df.columns
     )
     values = df.selectExpr(f"inline(array({pairs}))").filter("v IS NOT NULL AND NOT isnan(v)")
+    if not exact:
+        return (
+            values.groupBy("measure")
+            .agg(
+                *exprs(
+                    "count(1) AS count", "avg(v) AS mean", "coalesce(stddev_samp(v), 0D) AS std_dev",
+                    f"percentile_approx(v, array(0.25D, 0.5D, 0.75D), {ACCURACY}) AS q", "min(v) AS min", "max(v) AS max",
+                )
+            )
+            .selectExpr(
+                "measure", "count", "mean", "q[1] AS median", "std_dev", "min", "q[0] AS p25", "q[2] AS p75", "max"
+            )
+            .orderBy("measure")
+        )
     freq = frequencies(values, "measure", "v")
     centre = "sum(v * n) OVER (PARTITION BY measure) / sum(n) OVER (PARTITION BY measure)"
     return (
@@ -187,10 +209,17 @@ def numeric_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def age_histogram(df: DataFrame, width: int = 5) -> DataFrame:
-    """Reviews per age bin, counted from the smallest age; bins without reviews are absent."""
+def age_histogram(df: DataFrame, width: int = 5, exact: bool = True) -> DataFrame:
+    """Reviews per age bin, counted from the smallest age; bins without reviews are absent.
+
+    ``exact=False`` estimates the median to a rank off by 1/ACCURACY at most.
+    """
     freq = frequencies(age_distribution(df), "age")
-    whole = freq.agg(*exprs("min(age) AS low", "sum(age * n) / sum(n) AS mean", "percentile(age, 0.5D, n) AS median"))
+    median = "percentile(age, 0.5D, n)"
+    if not exact:
+        rough = age_distribution(df).agg(*exprs(f"percentile_approx(age, 0.5D, {ACCURACY}) AS m"))
+        freq, median = freq.withColumn("rough", as_value(rough)), "max(rough.m)"
+    whole = freq.agg(*exprs("min(age) AS low", "sum(age * n) / sum(n) AS mean", f"{median} AS median"))
     return (
         freq.withColumn("whole", as_value(whole))
         .groupBy(F.expr(f"whole.low + floor((age - whole.low) / {width}) * {width}").alias("bin_start"))
@@ -200,12 +229,30 @@ def age_histogram(df: DataFrame, width: int = 5) -> DataFrame:
     )
 
 
-def review_length_box(df: DataFrame) -> DataFrame:
+def review_length_box(df: DataFrame, exact: bool = True) -> DataFrame:
     """Box figures of the word count per sentiment, over reviews with text.
 
-    The fences are the outermost lengths within 1.5 quartile distances of the box.
+    The fences are the outermost lengths within 1.5 quartile distances of the box. With
+    ``exact=False`` quartiles come from a sketch, ranks off by 1/ACCURACY at most, and a second
+    pass finds the fences.
     """
     rows = df.filter(F.col("has_review_text") & F.col("sentiment").isin(*SENTIMENTS))
+    if not exact:
+        words = rows.selectExpr("sentiment", "double(review_length_words) AS v")
+        boxes = words.groupBy("sentiment").agg(
+            *exprs(f"percentile_approx(v, array(0.25D, 0.5D, 0.75D), {ACCURACY}) AS q")
+        )
+        within = "v BETWEEN q[0] - 1.5D * (q[2] - q[0]) AND q[2] + 1.5D * (q[2] - q[0])"
+        return (
+            words.join(boxes, "sentiment").groupBy("sentiment")
+            .agg(
+                *exprs(
+                    "count(1) AS reviews", "avg(v) AS mean", "max(q[0]) AS q1", "max(q[1]) AS median", "max(q[2]) AS q3",
+                    f"min(v) FILTER (WHERE {within}) AS lower_fence", f"max(v) FILTER (WHERE {within}) AS upper_fence",
+                )
+            )
+            .orderBy("sentiment")
+        )
     freq = frequencies(rows, "sentiment", "double(review_length_words) AS v")
     inside = "v BETWEEN q[0] - 1.5D * (q[2] - q[0]) AND q[2] + 1.5D * (q[2] - q[0])"
     quartiles = "percentile(v, array(0.25D, 0.5D, 0.75D), n) OVER (PARTITION BY sentiment)"

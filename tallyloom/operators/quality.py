@@ -177,11 +177,12 @@ def data_quality_report(raw: DataFrame, clean: DataFrame) -> DataFrame:
     ).orderBy("position")
 
 
-def profile_columns(df: DataFrame) -> DataFrame:
+def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
     """Type, gaps, distinct values and first value of every column.
 
     Distinct values are counted over digests: each row yields one (column, digest) pair per
-    value, pairs collapse before the shuffle, and no text travels.
+    value, pairs collapse before the shuffle, and no text travels. With ``exact=False`` they are
+    estimated in the same pass as everything else, with a relative standard deviation of 2 %.
     """
     columns = dict(enumerate(source_columns(df)))
     kinds = dict(df.dtypes)
@@ -190,20 +191,24 @@ def profile_columns(df: DataFrame) -> DataFrame:
         F.min_by(sample_cell(F.expr(f"string(`{c}`)")), F.expr(f"CASE WHEN `{c}` IS NOT NULL THEN {ROW_ID} END")).alias(f"sample_{i}")
         for i, c in columns.items()
     ]
+    estimates = [] if exact else [f"approx_count_distinct(`{c}`, 0.02D) AS unique_{i}" for i, c in columns.items()]
     counts = df.agg(
-        *exprs("count(1) AS n", *[f"count(`{c}`) AS present_{i}" for i, c in columns.items()]), *samples
+        *exprs("count(1) AS n", *[f"count(`{c}`) AS present_{i}" for i, c in columns.items()], *estimates), *samples
     )
     pairs = ", ".join(
         f"named_struct('at', {i}, 'value', unhex(sha2(string(`{c}`), 256)))" for i, c in columns.items()
     )
-    distinct = (
-        df.selectExpr(f"inline(array({pairs}))")
-        .filter("value IS NOT NULL")
-        .distinct()
-        .agg(*exprs(*[f"count_if(at = {i}) AS unique_{i}" for i in columns]))
-    )
+    if exact:
+        distinct = (
+            df.selectExpr(f"inline(array({pairs}))")
+            .filter("value IS NOT NULL")
+            .distinct()
+            .agg(*exprs(*[f"count_if(at = {i}) AS unique_{i}" for i in columns]))
+        )
+        counts = counts.withColumn("distinct", as_value(distinct))
+    unique = "`distinct`.unique_" if exact else "unique_"
     return unfold(
-        counts.withColumn("distinct", as_value(distinct)),
+        counts,
         [
             record(
                 column=Text(c),
@@ -211,7 +216,7 @@ def profile_columns(df: DataFrame) -> DataFrame:
                 non_null=f"present_{i}",
                 missing=f"n - present_{i}",
                 missing_rate=rate(f"n - present_{i}", "n"),
-                unique=f"`distinct`.unique_{i}",
+                unique=f"{unique}{i}",
                 sample=f"coalesce(sample_{i}, '')",
             )
             for i, c in columns.items()

@@ -128,6 +128,21 @@ add(
     "keyword_search",
     f"select row_id, title, rating from clean where has_review_text and {TERM.format('blue')}",
 )
+add(
+    "filtered_reviews_text",
+    "select row_id, department_name, class_name from clean where department_name in ('BUILDING', 'MACHINERY') "
+    f"and class_name in ('NATION_1', 'NATION_7', 'NATION_12') and has_review_text and {TERM.format('the')}",
+)
+add(
+    "review_excerpts",
+    "select row_id, md5(case when length(review_text) > 260 then rtrim(substr(review_text, 1, 257)) || '...' "
+    "else review_text end) as excerpt_md5 from clean",
+)
+add("index_column_dropped", "select row_id, rating, class_name from raw")
+add(
+    "csv_mixed_files",
+    "select row_id, clothing_id, rating, class_name, case when row_id % 3 = 0 then 'plain' else 'café' end as title from raw",
+)
 add(
     "helpful_negative_filter",
     "select row_id, positive_feedback_count, sentiment from clean "
@@ -321,6 +336,7 @@ BASELINE = f"base as (select * from {kpis('clean')})"
 for name, column in (("segment_division", "division_name"), ("segment_age_band", "age_band")):
     add(name, f"select * from {segments(column)}")
 add("segment_department", f"select * from {segments('department_name')} where reviews >= {MIN_DEPARTMENT}")
+add("segment_product", f"select * from {segments('clothing_id')}")
 add("segment_class", f"select * from {segments('class_name')} where reviews >= {MIN_CLASS}")
 add(
     "segments_all",
@@ -389,6 +405,7 @@ RAW_COLUMNS = (
     "clothing_id", "age", "title", "review_text", "rating", "recommended_ind",
     "positive_feedback_count", "division_name", "department_name", "class_name",
 )
+NUMBERS = ("clothing_id", "age", "rating", "recommended_ind", "positive_feedback_count")
 PRESENT = "p as (" + " union all ".join(
     f"select '{c}' as field, count(*) as n, count({c}) as present from raw" for c in RAW_COLUMNS
 ) + ")"
@@ -453,7 +470,7 @@ def sample(column: str) -> str:
 add(
     "column_profile",
     " union all ".join(
-        f"select '{c}' as column, count({c}) as non_null, count(*) - count({c}) as missing, "
+        f"select '{c}' as column, '{'double' if c in NUMBERS else 'string'}' as dtype, count({c}) as non_null, count(*) - count({c}) as missing, "
         f"{rate(f'count(*) - count({c})', 'count(*)')} as missing_rate, count(distinct {c}) as \"unique\", "
         f"{sample(c)} as sample from raw"
         for c in RAW_COLUMNS
@@ -665,6 +682,10 @@ def first(table: str, order: str) -> str:
     return f"(select * from {table} order by {order} limit 1) x, base"
 
 
+add(
+    "insights_empty",
+    fact(1, "Too few reviews", "(select 1)", "null", "reviews", "null"),
+)
 add(
     "insights_executive",
     " union all ".join(

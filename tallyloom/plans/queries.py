@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
-from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyloom.names import ROW_ID, SOURCE_COLUMNS
+from tallyloom.functions.text import excerpt
+from tallyloom.names import INDEX_COLUMNS, ROW_ID, SOURCE_COLUMNS
 from tallyloom.operators import (
     browse,
     cleaning,
@@ -34,9 +36,6 @@ from tallyloom.sources.sinks import export
 from tallyloom.sources.tables import reviews_from_tables
 
 
-_PLANS: WeakKeyDictionary[SparkSession, dict[str, ReviewTables]] = WeakKeyDictionary()
-
-
 @dataclass(frozen=True)
 class ReviewTables:
     """Raw reviews and what cleaning makes of them; lazy, so a query pays for what it reads."""
@@ -49,11 +48,8 @@ class ReviewTables:
 
     @staticmethod
     def from_folder(spark: SparkSession, folder: str) -> ReviewTables:
-        """The tables of a folder. Only their plans are kept per session, no data."""
-        known = _PLANS.setdefault(spark, {})
-        if folder not in known:
-            known[folder] = ReviewTables(coerce_types(reviews_from_tables(spark, folder)))
-        return known[folder]
+        """The tables of a folder as they are now; nothing is kept from an earlier call."""
+        return ReviewTables(coerce_types(reviews_from_tables(spark, folder)))
 
     def stored(self, path: str) -> ReviewTables:
         """Both tables read back from a clean layer written once to ``path``."""
@@ -117,6 +113,27 @@ def filtered_text_availability(t):
     return rows.select(ROW_ID, "title", "sentiment")
 
 
+@query
+def filtered_reviews_text(t):
+    rows = filters.apply_filters(
+        t.clean, departments=["BUILDING", "MACHINERY"], classes=["NATION_1", "NATION_7", "NATION_12"],
+        has_review_text=filters.WITH_TEXT, keyword="the",
+    )
+    return rows.select(ROW_ID, "department_name", "class_name")
+
+
+@query
+def review_excerpts(t):
+    return t.clean.select(ROW_ID, F.md5(excerpt("review_text")).alias("excerpt_md5"))
+
+
+@query
+def index_column_dropped(t):
+    """A table with an export index: cleaning takes the column away and keeps the rest."""
+    with_index = t.raw.select(F.col(ROW_ID).alias(INDEX_COLUMNS[0]), ROW_ID, "rating", "class_name")
+    return cleaning.drop_index_column(with_index)
+
+
 @query
 def keyword_search(t):
     rows = filters.search_reviews(t.clean.filter("has_review_text"), " Blue ")
@@ -199,6 +216,11 @@ def segment_department(t):
     return segments.department_performance(t.clean, MIN_DEPARTMENT)
 
 
+@query
+def segment_product(t):
+    return segments.segment_performance(t.clean, "clothing_id")
+
+
 @query
 def segment_class(t):
     return segments.segment_performance(t.clean, "class_name", MIN_CLASS)
@@ -248,7 +270,7 @@ def quality_report(t):
 
 @query
 def column_profile(t):
-    return quality.profile_columns(t.raw).drop("dtype")
+    return quality.profile_columns(t.raw)
 
 
 @query
@@ -303,7 +325,6 @@ def scenario_scoped(t):
 
 @query
 def scenario_by_class(t):
-    # A narrow bucket makes sure that ranges are cut inside buckets at this size, too.
     return scenario.run_simulation(t.clean, SWEEP, by="class_name")
 
 
@@ -349,6 +370,12 @@ def insights_executive(t):
     return insights.executive_insights(t.clean, MIN_DEPARTMENT).drop("narrative")
 
 
+@query
+def insights_empty(t):
+    nothing = filters.apply_filters(t.clean, divisions=["ATLANTIS"])
+    return insights.executive_insights(nothing, MIN_DEPARTMENT).drop("narrative")
+
+
 @query
 def insights_product(t):
     return insights.product_insights(t.clean, MIN_CLASS).drop("narrative")
@@ -373,12 +400,32 @@ def shared_folder(spark: SparkSession, prefix: str) -> str:
         return f"{base.rstrip('/')}/{prefix}{uuid.uuid4().hex}"
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise DatasetError("Set spark.checkpoint.dir to a folder all executors can reach.")
-    return tempfile.mkdtemp(prefix=prefix)
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+@query
+def csv_mixed_files(t):
+    """Write CSV files of different column order, one set of them in Latin-1, and load all of them."""
+    folder = f"{shared_folder(t.raw.sparkSession, 'mixed-')}/csv"
+    headers = {name: header for header, name in SOURCE_COLUMNS.items()}
+    rows = t.raw.select(F.col(ROW_ID).alias("Key"), "clothing_id", "rating", "class_name").withColumnsRenamed(headers)
+    part = F.pmod("Key", F.lit(3))
+    sets = ((0, rows.columns, "UTF-8"), (1, rows.columns[::-1], "UTF-8"), (2, rows.columns, "ISO-8859-1"))
+    for number, columns, encoding in sets:
+        one = rows.filter(part == number).withColumn("Title", F.lit("café") if number else F.lit("plain"))
+        one.select(*columns, "Title").write.mode("append").csv(folder, header=True, encoding=encoding)
+    loaded = load_reviews(t.raw.sparkSession, folder, "csv", key="Key")
+    return loaded.select(ROW_ID, "clothing_id", "rating", "class_name", "title")
 
 
 @query
 def csv_round_trip(t):
-    """Write the raw reviews as CSV, load them again, and clean what came back."""
+    """Write the raw reviews as CSV, load them again, and clean what came back.
+
+    The files are written when the query is built, before it runs.
+    """
     spark = t.raw.sparkSession
     folder = f"{shared_folder(spark, 'reviews-')}/csv"
     headers = {name: header for header, name in SOURCE_COLUMNS.items()}
