@@ -23,7 +23,7 @@ from tallyloom.operators.segments import SUMS
 from tallyloom.operators.shapes import Text, as_value, exprs, position, record, unfold
 
 # A range of ids is found in three steps, one of WAYS parts each: WAYS ** 3 ranges in all.
-WAYS = 16
+WAYS = 8
 # The name that the segment column has while a simulation runs.
 SEGMENT = "_segment"
 
@@ -90,9 +90,9 @@ def _cut_points(df: DataFrame, ways: int):
     ``top`` divides the ids into ``ways`` parts, ``middle`` each of these, ``low`` each of those.
     """
     parts = ways**3
-    shares = [i / parts for i in range(1, parts)]
+    shares = ", ".join(f"{i / parts!r}D" for i in range(1, parts))
     points = df.filter("sentiment IN ('Negative', 'Neutral')").agg(
-        F.percentile_approx(ROW_ID, shares, 100 * parts).alias("p")
+        F.expr(f"percentile_approx({ROW_ID}, array({shares}), {100 * parts}) AS p")
     )
 
     def level(step: int) -> str:
