@@ -55,7 +55,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     proto = pieces.load_model(spark)
     plain = F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
     return (
-        pieces.decode(pieces.encode(docs, proto), proto)
+        pieces.encode(docs, proto, with_decoded=True)
         .withColumn("n_pieces", F.size("ids").cast("long"))
         .withColumn("round_trip", F.col("decoded") == plain)
         .drop("decoded")

@@ -16,10 +16,12 @@ them. A text of one chunk is encoded at once, word by word with a cache of bound
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ from tallyloom.llm.shared import by_batches, slices, stored, whole_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 15
-CACHE = 1 << 18
+CACHE = 1 << 17
 #: A word with the blanks before it, or a line end: no piece reaches over the borders of these.
 SEGMENT = re.compile(r"\n| *[^ \n]+| +")
 BORDER = re.compile(r"(?<=[^ ])(?= )|(?=\n)|(?<=\n)")
@@ -49,7 +51,7 @@ class Pieces:
         self.prefix = " " if rules.add_dummy_prefix else ""
         rules.add_dummy_prefix = False
         self.model = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, array] = {}
         self.bytes: list[bytes] = []
         self.ids: dict[str, int] = {}
         for i in range(self.model.get_piece_size()):
@@ -68,19 +70,19 @@ class Pieces:
         self.borders = not any(re.search(r"[^ ] |\n", t) for t in self.ids)
         self.follows = lru_cache(maxsize=CACHE)(self._follows)
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> array:
         """Ids of a whole text; models may put a blank before it."""
-        return self.part((self.prefix + text).replace(SPACE, " ")) if text else []
+        return self.part((self.prefix + text).replace(SPACE, " ")) if text else array("i")
 
-    def part(self, text: str) -> list[int]:
+    def part(self, text: str) -> array:
         """Ids of a text as it stands."""
         if not self.borders:
-            return self.model.encode(text)
-        cache, out = self.cache, []
+            return array("i", self.model.encode(text))
+        cache, out = self.cache, array("i")
         for segment in SEGMENT.findall(text):
             ids = cache.get(segment)
             if ids is None:
-                ids = self.model.encode(segment)
+                ids = array("i", self.model.encode(segment))
                 if len(segment) <= 32:
                     if len(cache) >= CACHE:
                         cache.clear()
@@ -88,7 +90,7 @@ class Pieces:
             out += ids
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace").removeprefix(self.prefix)
 
     def _follows(self, a: int, b: int) -> bool:
@@ -190,6 +192,14 @@ def scan(matrices: list[np.ndarray]) -> list[int] | None:
     return chosen
 
 
+def _lists(rows: list[array | None]) -> pa.ListArray:
+    """Arrays of ids as one column; None stays null."""
+    ends = np.cumsum([0, *(len(r) if r is not None else 0 for r in rows)]).astype(np.int32)
+    flat = np.concatenate([np.frombuffer(r, np.int32) for r in rows if r] or [np.zeros(0, np.int32)])
+    missing = pa.array([r is None for r in rows])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=missing)
+
+
 _LOADED: dict[int, Pieces] = {}
 
 
@@ -214,8 +224,6 @@ def _fields(df: DataFrame, names: list[str]) -> str:
 
 def _cut(giants: DataFrame, chunk: int, reach: int) -> DataFrame:
     """Chunks of documents, with the text right before and after each."""
-    import pyarrow as pa
-
     def run(batches):
         names = ["own_id", "own_hash", "number", "before", "body", "after"]
         for batch in slices(batches):
@@ -279,7 +287,7 @@ def _encode_giants(giants: DataFrame, proto, chunk: int) -> DataFrame:
         pieces = _pieces(proto)
         rows = zip(*(columns[c].to_pylist() for c in ("body", "after", "skip", "more")))
         return {c: columns[c] for c in (*key, "number")} | {
-            "ids": [None if skip is None else pieces.part(body[skip:] + after[:more]) for body, after, skip, more in rows]
+            "ids": _lists([None if skip is None else pieces.part(body[skip:] + after[:more]) for body, after, skip, more in rows])
         }
 
     coded = by_batches(joined, encode, f"own_id {kind}, own_hash long, number int, ids array<int>")
@@ -290,24 +298,28 @@ def _encode_giants(giants: DataFrame, proto, chunk: int) -> DataFrame:
     return stored(whole)
 
 
-def encode(docs: DataFrame, proto, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, proto, chunk: int = CHUNK, with_decoded: bool = False) -> DataFrame:
     """All columns of docs with ids, the piece ids of the text as the library itself gives them.
 
     ``proto`` comes from load_model. Texts of more than ``chunk`` characters go through the
     parallel scan; should a model have no unique path for one, it is encoded in one piece. Null and
-    empty texts have no ids. Repeated rows are encoded alike; a column of docs named ids is
-    replaced; an empty table gives an empty result.
+    empty texts have no ids. ``with_decoded`` adds decoded, what ``decode`` makes of the ids, mostly
+    in the same pass. Repeated rows are encoded alike; columns of docs named so are replaced; an
+    empty table gives an empty result.
     """
-    kept = [c for c in docs.columns if c.lower() != "ids"]
+    added = ("ids", "decoded") if with_decoded else ("ids",)
+    kept = [c for c in docs.columns if c.lower() not in added]
     source = docs.select(*kept)
 
     def run(columns):
         pieces = _pieces(proto)
-        return {c: columns[c] for c in kept} | {"ids": [pieces.encode(t) for t in columns["text"].to_pylist()]}
+        ids = [pieces.encode(t) for t in columns["text"].to_pylist()]
+        out = {c: columns[c] for c in kept} | {"ids": _lists(ids)}
+        return out | {"decoded": [pieces.decode(i) for i in ids]} if with_decoded else out
 
     schema = f"{_fields(docs, kept)}ids array<int>"
     giant = F.length(whole_text()) > chunk
-    short = by_batches(source.filter(~giant), run, schema)
+    short = by_batches(source.filter(~giant), run, schema + (", decoded string" if with_decoded else ""))
     giants = source.filter(giant)
     named = giants.select(F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_hash"), "text")
     named = named.withColumn("text", F.translate(F.concat(F.lit(_pieces(proto).prefix), "text"), SPACE, " "))
@@ -318,13 +330,15 @@ def encode(docs: DataFrame, proto, chunk: int = CHUNK) -> DataFrame:
         coded, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
     ).select(*kept, F.col("__ids").alias("ids"))
 
-    def rest(columns):
+    def finish(columns):
         pieces = _pieces(proto)
-        pairs = zip(columns["text"].to_pylist(), columns["ids"].to_pylist())
-        return {c: columns[c] for c in kept} | {"ids": [pieces.encode(t) if i is None else i for t, i in pairs]}
+        ids = []
+        for text, own in zip(columns["text"].to_pylist(), columns["ids"]):
+            ids.append(array("i", own.values.to_numpy()) if own.is_valid else pieces.encode(text))
+        out = {c: columns[c] for c in kept} | {"ids": _lists(ids)}
+        return out | {"decoded": [pieces.decode(i) for i in ids]} if with_decoded else out
 
-    plain = joined.filter("ids is not null")
-    return short.unionByName(plain).unionByName(by_batches(joined.filter("ids is null"), rest, schema))
+    return short.unionByName(by_batches(joined, finish, schema + (", decoded string" if with_decoded else "")))
 
 
 def decode(coded: DataFrame, proto, ids: str = "ids") -> DataFrame:
@@ -336,6 +350,7 @@ def decode(coded: DataFrame, proto, ids: str = "ids") -> DataFrame:
 
     def run(columns):
         pieces = _pieces(proto)
-        return {c: columns[c] for c in kept} | {"decoded": [pieces.decode(i or []) for i in columns[ids].to_pylist()]}
+        rows = (i.values.to_numpy() if i.is_valid else () for i in columns[ids])
+        return {c: columns[c] for c in kept} | {"decoded": [pieces.decode(i) for i in rows]}
 
     return by_batches(coded.select(*kept), run, f"{_fields(coded, kept)}decoded string")

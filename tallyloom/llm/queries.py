@@ -74,8 +74,7 @@ def op5_sentencepiece(spark, folder):
     from tallyloom.llm import pieces
 
     proto = pieces.load_model(spark)
-    coded = pieces.encode(_table(spark, folder, "documents").select("doc_id", "text"), proto)
-    back = pieces.decode(coded, proto)
+    back = pieces.encode(_table(spark, folder, "documents").select("doc_id", "text"), proto, with_decoded=True)
     as_text = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
     return back.select(
         "doc_id",

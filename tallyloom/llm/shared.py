@@ -74,7 +74,9 @@ def by_batches(df: DataFrame, function, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             columns = function(dict(zip(part.schema.names, part.columns)))
-            arrays = [pa.array(columns[f.name], type=f.type) for f in arrow]
+            arrays = [
+                x.cast(f.type) if isinstance(x := columns[f.name], pa.Array) else pa.array(x, type=f.type) for f in arrow
+            ]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return df.mapInArrow(run, spark_schema)

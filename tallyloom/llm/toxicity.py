@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.shared import by_batches, remainder, slices, stored
 
 #: Bounds of the labelled sample, of the lexicon, and of the terms counted at a time in a task.
-MAX_TOXIC, MAX_CLEAN, MAX_TERMS, MAX_COUNTED = 12_000, 24_000, 2_000, 400_000
+MAX_TOXIC, MAX_CLEAN, MAX_TERMS, MAX_COUNTED = 12_000, 24_000, 2_000, 150_000
 MIN_DOCUMENTS, MIN_LOG_ODDS, STRONG = 4, 2.0, 4.0
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")

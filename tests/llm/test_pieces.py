@@ -31,7 +31,7 @@ def by_scan(model, text, chunk):
     starts = [first[i][0] for (first, _, _), i in zip(moves, chosen)]
     out = []
     for (_, body, after), skip, more in zip(rows, starts, starts[1:] + [0]):
-        out += model.part(body[skip:] + after[:more])
+        out += model.part(body[skip:] + after[:more]).tolist()
     return out
 
 
@@ -45,7 +45,7 @@ def test_scan_equals_the_library(model, library, alphabet):
     rng = random.Random(alphabet)
     for _ in range(25):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 300)))
-        assert model.encode(text) == library.encode(text)
+        assert list(model.encode(text)) == library.encode(text)
         assert by_scan(model, text, rng.choice([17, 20, 33, 64])) == library.encode(text)
 
 
@@ -66,6 +66,8 @@ def test_documents_equal_the_library_and_come_back(spark, library):
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(3, texts[3], "x"), (8, texts[8], "x"), (None, texts[9], "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     proto = P.load_model(spark)
+    both = P.encode(docs, proto, chunk=100, with_decoded=True)
+    assert all(r.decoded == (r.text or "") for r in both.collect()) and both.columns == ["doc_id", "text", "ids", "decoded"]
     coded = P.encode(docs, proto, chunk=100)
     found = P.decode(coded, proto).collect()
     assert len(found) == len(rows) and set(coded.columns) == {"doc_id", "text", "ids"}
