@@ -364,7 +364,7 @@ def check_page(tokens: list[Token], classes: dict[int, int]) -> list[tuple[int,
 
 def templates(pages: DataFrame) -> DataFrame:
     """of (the host), own (tokens of valid classes), container, and use_text, one row per host."""
-    raw = _classes(_count(pages))
+    raw = _classes(stored(_count(pages)))
     joined = pages.join(raw, F.col("host").eqNullSafe(F.col("of")), "left").select("host", "html", "own")
     names = ["host", "class", "low", "high", "inside_low", "inside_high", "fixed", "free"]
     types = [pa.string(), *[pa.int64()] * 7]
