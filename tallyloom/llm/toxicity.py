@@ -16,6 +16,7 @@ Texts are read where they are; only counts, votes and the sample's few matches m
 from __future__ import annotations
 
 import re
+import string
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -30,12 +31,13 @@ from tallyloom.llm.shared import by_batches, remainder, slices, stored
 MAX_TOXIC, MAX_CLEAN, MAX_TERMS, MAX_COUNTED = 12_000, 24_000, 2_000, 150_000
 MIN_DOCUMENTS, MIN_LOG_ODDS, STRONG = 4, 2.0, 4.0
 THRESHOLD = 0.7
-WORD = re.compile(r"[^\W\d_]+")
+#: Stripped from the ends of words.
+MARKS = string.punctuation + "¡¿«»„“”‘’…–—"
 BEGINNINGS = (4, 5, 6, 7)
 #: How far the label of a sampled document is trusted as one voter among the others.
 LABEL_ACCURACY = 0.95
-SHOUT, BANGS = re.compile(r"\b[A-Z]{4,}\b"), re.compile(r"!{2,}|\?{3,}")
-MASKED, ADDRESSED = re.compile(r"\b\w+\*{2,}\w*"), re.compile(r"\b(?:you|your|yourself)\b", re.I)
+SHOUT, BANGS, MASKED = re.compile(r"[A-Z]{4}"), re.compile(r"!!|\?\?\?"), re.compile(r"\w\*{2,}")
+ADDRESSED = frozenset(("you", "your", "yourself"))
 VOTERS = (
     "word", "strong_word", "short_begin", "strong_short_begin", "long_begin", "strong_long_begin",
     "two_words", "three_words", "dense", "shout", "bangs", "masked", "addressed",
@@ -55,6 +57,12 @@ class Model:
     discount: np.ndarray | None = None
 
 
+def words_of(text: str) -> tuple[set[str], int]:
+    """The different words of a text, lower-cased, without marks at their ends, and the number of all."""
+    parts = text.lower().split()
+    return {w for p in set(parts) if (w := p.strip(MARKS)) and w[0].isalpha()}, len(parts)
+
+
 def terms_of(words) -> set[str]:
     """Words and word beginnings, these marked by their length."""
     terms = set(words)
@@ -73,8 +81,8 @@ def _kind(term: str) -> str:
 def matches(text: str | None, model: Model) -> tuple[list[int], int]:
     """Numbers of the lexicon terms in a text and its votes, one bit per voter."""
     text = text or ""
-    words = WORD.findall(text.lower())
-    near = [w for w in set(words) if w[:4] in model.roots]
+    words, n_words = words_of(text)
+    near = [w for w in words if w[:4] in model.roots]
     found = terms_of(near) & model.terms.keys() if near else set()
     strong = found & model.strong
     kinds = {_kind(t) for t in found} | {f"strong_{_kind(t)}" for t in strong}
@@ -86,11 +94,16 @@ def matches(text: str | None, model: Model) -> tuple[list[int], int]:
         kinds.add("two_words")
     if hits > 2:
         kinds.add("three_words")
-    if 50 * hits > len(words):
+    if 50 * hits > n_words:
         kinds.add("dense")
-    for name, pattern in (("shout", SHOUT), ("bangs", BANGS), ("masked", MASKED), ("addressed", ADDRESSED)):
-        if pattern.search(text):
-            kinds.add(name)
+    if SHOUT.search(text):
+        kinds.add("shout")
+    if BANGS.search(text):
+        kinds.add("bangs")
+    if "**" in text and MASKED.search(text):
+        kinds.add("masked")
+    if not ADDRESSED.isdisjoint(words):
+        kinds.add("addressed")
     votes = sum(1 << i for i, name in enumerate(VOTERS) if name in kinds)
     return sorted(model.terms[t] for t in found), votes
 
@@ -129,7 +142,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
 
         for batch in slices(batches):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                for term in terms_of(set(WORD.findall((text or "").lower()))):
+                for term in terms_of(words_of(text or "")[0]):
                     counts.setdefault(term, [0, 0])[toxic == 1] += 1
                 if len(counts) > MAX_COUNTED:
                     yield flush()
