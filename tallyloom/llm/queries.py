@@ -115,9 +115,12 @@ def op6_personal_data(spark, folder):
         parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
         return F.array_join(parts, ",")
 
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
         "doc_id",
-        *(F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE),
+        *(count(kind) for kind in pii.BASE),
         F.sha2(digest(base), 256).alias("base_sha256"),
         digest("spans").alias("spans"),
     )
