@@ -1,16 +1,17 @@
-"""Removal of repeated passages by content-defined chunks of lines.
+"""Removal of repeated passages by windows of lines.
 
 A text is cut into lines: at line ends, and after the end of a sentence, so that a passage pasted
-into a paragraph has lines of its own. A hash rolling over the hashes of two consecutive lines
-decides where a chunk ends; the same passage is therefore cut alike wherever it stands.
-
-1. Chunks are counted by hash. What occurs more than once is passed on as a bitmap of fixed size.
-2. Chunks that may be repeated are compared byte by byte: they are grouped and joined by their
-   text itself. Every occurrence but the first is repeated.
-3. The lines of the chunks next to a repeated one are compared with those around the first
-   occurrence, which gives the passage's ends, where chunks reach into other text.
-4. Repeated lines that follow each other make up a passage; it goes if it has more than one line
-   and enough words. What is left of the text keeps its bytes.
+into a paragraph has lines of its own. A passage is a run of lines, blank ones left out, that has
+enough words and stands as a whole earlier. It holds, from each of its lines, the shortest run of
+lines with enough words that starts there, as long as words are left, and up to each of its lines
+the shortest such run that ends there. These windows depend on nothing outside the passage, and
+together they cover it; so it is enough to find repeated windows.
+
+1. Windows are counted by hash. What occurs more than once is passed on as a bitmap of fixed size.
+2. Windows that may be repeated are compared by the SHA-256 digest of their lines, which takes the
+   place of their bytes: each line stands in several windows, and its text would be moved as often.
+   Every occurrence but the first is repeated; one that overlaps the first in its document is not.
+3. Repeated windows that touch or overlap are one passage. What is left of the text keeps its bytes.
 
 The first occurrence is the one with the smallest doc_id (null smallest) and place; it always
 stays, since a line is only removed for an equal line that stands earlier in this order.
@@ -23,16 +24,12 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.shared import key_bitmap, mark_possible, stored
 
-#: 2**24 bits: 2 MiB to every task. A fuller bitmap only makes the byte comparison larger.
-BITS = 24
+#: 2**26 bits: 8 MiB to every task. A fuller bitmap only makes the comparison by digest larger.
+BITS = 26
 #: A passage of fewer words stays.
 MIN_WORDS = 50
-#: A chunk ends where the rolling hash is not divisible by this number.
-DIVISOR = 4
 #: After the end of a sentence that a blank follows, and after a line end; lines keep their bytes.
 CUT = r"(?<=[.!?\n])(?=[ \t]|(?<=\n))"
-#: A chunk of a single line that is shorter than this says too little; its neighbours speak for it.
-SINGLE_BYTES = 40
 
 
 def _bare(text) -> Column:
@@ -40,48 +37,38 @@ def _bare(text) -> Column:
     return F.trim(text, F.lit(" \t\r\n"))
 
 
-def _cut(docs: DataFrame, divisor: int) -> DataFrame:
-    """Lines, their hashes, and the numbers of the first line of every chunk."""
-    return (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .withColumn("text_hash", F.xxhash64("text"))
-        .withColumn("lines", F.split("text", CUT))
-        .withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(_bare(x))))
-        .withColumn(
-            "firsts",
-            F.expr(
-                "filter(sequence(1, size(hashes)), i -> i = 1 OR "
-                "(i > 2 AND xxhash64(hashes[i - 3], hashes[i - 2]) % " + str(divisor) + " <> 0))"
-            ),
-        )
-    )
-
+def _cut(docs: DataFrame, min_words: int) -> DataFrame:
+    """Lines, their hashes, and the first and last line, from 1, of every window.
 
-def _chunks(cut: DataFrame, with_text: bool) -> DataFrame:
-    """One row per chunk: its hash, place and, if wanted, text and the hashes of the lines around."""
-    end = "coalesce(get(firsts, k + 1), size(hashes) + 1)"
-    fields = f"f AS first, {end} - f AS n, xxhash64(slice(hashes, f, {end} - f)) AS chunk"
-    if with_text:
-        # Two chunks back, since where a passage's first line ends a chunk hangs on the line before it.
-        at = "get(firsts, greatest(k - 2, 0))"
-        before = f"if(k = 0, array(), slice(hashes, {at}, f - {at}))"
-        after = (
-            f"if({end} > size(hashes), array(), slice(hashes, {end}, "
-            f"coalesce(get(firsts, k + 2), size(hashes) + 1) - {end}))"
-        )
-        fields += f", array_join(slice(lines, f, {end} - f), '') AS body, {before} AS before, {after} AS after"
-    fields += ", octet_length(get(lines, f - 1)) AS size"
-    each = cut.select(
-        "doc_id", "text_hash", F.expr(f"inline(transform(firsts, (f, k) -> struct({fields})))")
+    of has each word's line, starts the places in it where a line that is not blank begins.
+    """
+    lines = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
+        "doc_id", F.xxhash64("text").alias("text_hash"), _once(lines=F.split("text", CUT))
+    )
+    words = lines.select("*", _once(
+        hashes=F.transform("lines", lambda x: F.xxhash64(_bare(x))),
+        of=F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i + 1, F.regexp_count(x, F.lit(r"\S+"))))),
+    )).filter(F.size("of") >= min_words)
+    starts = F.expr("filter(sequence(0, size(of) - 1), k -> k = 0 OR get(of, k) <> get(of, k - 1))")
+    # Without blank lines, the last word of a window that starts at word k is word k + min_words - 1.
+    windows = F.expr(
+        f"transform(filter(starts, k -> k + {min_words} <= size(of)), "
+        f"k -> struct(get(of, k) AS first, get(of, k + {min_words - 1}) AS last))"
+    )
+    return words.select("*", _once(starts=starts)).select(
+        "doc_id", "text_hash", "lines", "hashes", windows.alias("windows")
     )
-    return each.filter((F.col("n") > 1) | (F.col("size") >= SINGLE_BYTES)).drop("size")
 
 
-def _common(own: str, other: str) -> Column:
-    """Length of the common beginning of two arrays of hashes."""
-    shorter = f"least(size({own}), size({other}))"
-    differs = f"filter(sequence(0, {shorter} - 1), i -> get({own}, i) <> get({other}, i))"
-    return F.expr(f"if({shorter} = 0, 0, coalesce(get({differs}, 0), {shorter}))")
+def _windows(cut: DataFrame, with_digest: bool) -> DataFrame:
+    """One row per window: its hash, place and, if wanted, the digest of its lines."""
+    span = "{}, w.first, w.last - w.first + 1"
+    hashes = f"array_remove(slice({span.format('hashes')}), xxhash64(''))"
+    fields = f"w.first AS first, w.last - w.first + 1 AS n, xxhash64({hashes}) AS window"
+    if with_digest:
+        fields += f", unhex(sha2(array_join(array_remove(slice({span.format('bare')}), ''), '\n'), 256)) AS digest"
+        cut = cut.select("*", _once(bare=F.transform("lines", _bare)))
+    return cut.select("doc_id", "text_hash", F.expr(f"inline(transform(windows, w -> struct({fields})))"))
 
 
 def _once(**columns: Column) -> Column:
@@ -93,51 +80,42 @@ def _once(**columns: Column) -> Column:
     return F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items()))))
 
 
-def repeated_lines(docs: DataFrame, divisor: int = DIVISOR, bits: int = BITS) -> DataFrame:
-    """doc_id, text_hash, first and n: ranges of lines (from 1) that repeat an earlier occurrence."""
-    cut = _cut(docs, divisor)
-    counted = _chunks(cut, False).groupBy("chunk").count().filter("count > 1")
-    bitmap = stored(key_bitmap(counted, "chunk", bits))
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS) -> DataFrame:
+    """doc_id, text_hash, first and n: windows of lines (from 1) that repeat an earlier occurrence."""
+    cut = _cut(docs, min_words)
+    counted = _windows(cut, False).groupBy("window").count().filter("count > 1")
+    bitmap = stored(key_bitmap(counted, "window", bits))
     candidates = stored(
-        mark_possible(_chunks(cut, True), "chunk", bitmap, bits, "possible").filter("possible").drop("possible")
-        .withColumn("body", _bare("body"))
+        mark_possible(_windows(cut, True), "window", bitmap, bits, "possible").filter("possible").drop("possible", "window")
     )
-    place = F.struct("doc_id", "text_hash", "first")
-    around = F.struct("before", "after")
+    place = F.struct("doc_id", "text_hash", "first", "n")
     firsts = stored(
-        candidates.groupBy("chunk", F.col("body").alias("own"))
-        .agg(F.count("*").alias("times"), F.min(place).alias("place"), F.min_by(around, place).alias("around"))
-        .filter("times > 1").drop("times").withColumnRenamed("chunk", "own_chunk")
-    )
-    later = candidates.join(
-        firsts,
-        (F.col("chunk") == F.col("own_chunk")) & (F.col("body") == F.col("own"))
-        & ~place.eqNullSafe(F.col("place")),
-    ).select(
-        "doc_id", "text_hash", "first", "n", "after", F.reverse("before").alias("before"),
-        F.reverse("around.before").alias("their_before"), F.col("around.after").alias("their_after"),
+        candidates.groupBy(F.col("digest").alias("own"))
+        .agg(F.count("*").alias("times"), F.min(place).alias("place"))
+        .filter("times > 1").drop("times")
     )
-    left, right = _common("before", "their_before"), _common("after", "their_after")
-    return later.select(
-        "doc_id", "text_hash",
-        (F.col("first") - left).alias("first"), (F.col("n") + left + right).alias("n"),
+    same_text = F.col("doc_id").eqNullSafe(F.col("place.doc_id")) & (F.col("text_hash") == F.col("place.text_hash"))
+    overlaps = same_text & (F.col("first") < F.col("place.first") + F.col("place.n"))
+    return candidates.join(firsts, (F.col("digest") == F.col("own")) & ~overlaps).select(
+        "doc_id", "text_hash", "first", "n"
     )
 
 
 def remove_passages(
-    docs: DataFrame, min_words: int = MIN_WORDS, divisor: int = DIVISOR, bits: int = BITS
+    docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS
 ) -> DataFrame:
     """All columns of docs, the text without its repeated passages, and removed_lines, removed_words.
 
-    Lines are compared without blanks at their ends. A passage is a run of repeated lines; it is
-    removed if it has at least two lines and ``min_words`` words. A text without such a passage
-    keeps every byte, null stays null, and a text that goes altogether becomes empty. Rows that
+    Lines are compared without blanks at their ends, and blank lines are passed over. A passage is
+    a run of at least two lines and ``min_words`` words that stands earlier as a whole. A text
+    without such a passage keeps every byte, null stays null, and a text of which nothing but
+    blanks would be left becomes empty. Rows that
     repeat a doc_id and a text are one document and lose the same passages. Repetitions within a
     document count. Columns of docs named removed_lines or removed_words are replaced; an empty
     table gives an empty result.
     """
     kept = [c for c in docs.columns if c.lower() not in ("removed_lines", "removed_words")]
-    ranges = stored(repeated_lines(docs, divisor, bits))
+    ranges = stored(repeated_lines(docs, min_words, bits))
     # A group holds the ranges of one document, so it is bounded by the document.
     found = stored(
         ranges.groupBy(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"))
@@ -175,7 +153,8 @@ def remove_passages(
         "array_join(slice(__lines, acc.next, size(__lines)), '')))"
     )
     touched = F.size("__passages") > 0
-    result = F.when(touched, F.expr(stay)).otherwise(F.col("text"))
+    left = F.expr(stay)
+    result = F.when(touched, F.when(_bare(left) == "", "").otherwise(left)).otherwise(F.col("text"))
     rest = [c for c in kept if c != "text"]
     counted = {
         "removed_lines": F.when(touched, F.expr("aggregate(__passages, 0L, (s, r) -> s + r.b - r.a + 1)")).otherwise(0),

@@ -78,3 +78,15 @@ def test_edges(spark):
     assert by[1] == ["", ""] and by[2] == [None] and by[3] == [""] and by[4] == [" \n "]
     assert by[5] == by[6] == [short] and by[7] == [""] and by[8] == ["no end"] and by[9][0].startswith("x. x.")
     assert remove_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_passages_of_short_lines_go(spark):
+    rng = random.Random(14)
+    rows, passages = [], [[sentence(rng, 3) for _ in range(40)] for _ in range(6)]
+    for i in range(48):
+        own = [sentence(rng, 12) for _ in range(6)]
+        rows.append((i, "\n".join(own[:3] + passages[i % 6] + own[3:])))
+    found = {r.doc_id: r.text for r in remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        own = lines(text)
+        assert lines(found[i]) == (own if i < 6 else own[:3] + own[-3:])
