@@ -51,12 +51,19 @@ def _cut(docs: DataFrame, min_words: int) -> DataFrame:
     )).filter(F.size("of") >= min_words)
     starts = F.expr("filter(sequence(0, size(of) - 1), k -> k = 0 OR get(of, k) <> get(of, k - 1))")
     # Without blank lines, the last word of a window that starts at word k is word k + min_words - 1.
-    windows = F.expr(
+    forward = F.expr(
         f"transform(filter(starts, k -> k + {min_words} <= size(of)), "
         f"k -> struct(get(of, k) AS first, get(of, k + {min_words - 1}) AS last))"
     )
+    # One that ends with the line of words q to k starts in the line of word k - min_words + 1. It is a forward
+    # window, too, unless it has enough words even without that last line.
+    backward = F.expr(
+        "transform(filter(transform(starts, (q, i) -> struct(q AS q, coalesce(get(starts, i + 1), size(of)) - 1 AS k)), "
+        f"x -> x.q >= {min_words} AND get(of, x.q - {min_words}) = get(of, x.k - {min_words - 1})), "
+        f"x -> struct(get(of, x.k - {min_words - 1}) AS first, get(of, x.k) AS last))"
+    )
     return words.select("*", _once(starts=starts)).select(
-        "doc_id", "text_hash", "lines", "hashes", windows.alias("windows")
+        "doc_id", "text_hash", "lines", "hashes", F.concat(forward, backward).alias("windows")
     )
 
 

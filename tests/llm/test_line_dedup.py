@@ -90,3 +90,18 @@ def test_passages_of_short_lines_go(spark):
     for i, text in rows:
         own = lines(text)
         assert lines(found[i]) == (own if i < 6 else own[:3] + own[-3:])
+
+
+def test_passages_of_few_lines_go_whole_whatever_stands_around_them(spark):
+    rng = random.Random(15)
+    passages = [[sentence(rng, rng.randint(26, 60)) for _ in range(n)] for n in (2, 3, 4, 5) for _ in range(6)]
+    # A short line at either end is part of the passage.
+    passages += [[sentence(rng, n) for n in sizes] for sizes in ((52, 2), (2, 52), (55, 3, 1), (3, 60, 3), (30, 30, 2, 2))]
+    rows = []
+    for i in range(4 * len(passages)):
+        own = [sentence(rng) for _ in range(6)]
+        rows.append((i, " ".join(own[:3] + passages[i % len(passages)] + own[3:])))
+    found = {r.doc_id: r.text for r in remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        own = lines(text)
+        assert lines(found[i]) == (own if i < len(passages) else own[:3] + own[-3:])
