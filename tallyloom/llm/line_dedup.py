@@ -114,7 +114,7 @@ def remove_passages(
     """All columns of docs, the text without its repeated passages, and removed_lines, removed_words.
 
     Lines are compared without blanks at their ends, and blank lines are passed over. A passage is
-    a run of at least two lines and ``min_words`` words that stands earlier as a whole. A text
+    a run of one or more lines and at least ``min_words`` words that stands earlier as a whole. A text
     without such a passage keeps every byte, null stays null, and a text of which nothing but
     blanks would be left becomes empty. Rows that
     repeat a doc_id and a text are one document and lose the same passages. Repetitions within a
@@ -150,7 +150,7 @@ def remove_passages(
 
     some = F.col("ranges").isNotNull()
     changed = joined.select(*kept, _once(__lines=F.when(some, F.split("text", CUT)), __runs=F.when(some, runs)))
-    passages = F.filter(F.transform("__runs", with_words), lambda r: (r["b"] > r["a"]) & (r["w"] >= min_words))
+    passages = F.transform("__runs", with_words)
     changed = changed.select(*kept, "__lines", _once(__passages=passages))
     # What stands between the passages, in order.
     stay = (

@@ -105,3 +105,14 @@ def test_passages_of_few_lines_go_whole_whatever_stands_around_them(spark):
     for i, text in rows:
         own = lines(text)
         assert lines(found[i]) == (own if i < len(passages) else own[:3] + own[-3:])
+
+
+def test_a_passage_of_one_long_line_goes(spark):
+    rng = random.Random(16)
+    long, short = sentence(rng, 50), sentence(rng, 49)
+    # Behind half a sentence the first line of a passage is another one; its rest is a single line.
+    rows = [(1, long), (2, f"{sentence(rng)} {long} {sentence(rng)}"), (3, f"cut off {sentence(rng)} {long}"), (4, short), (5, short)]
+    found = {r.doc_id: r for r in remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert lines(found[i].text) == [x for x in lines(text) if i == 1 or x != long]
+        assert (found[i].removed_lines, found[i].removed_words) == ((1, 50) if i in (2, 3) else (0, 0))
