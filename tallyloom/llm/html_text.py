@@ -30,8 +30,10 @@ from tallyloom.llm.shared import slices, stored
 
 #: A class needs this share of the host's pages, this many pages and this many tokens.
 SUPPORT, MIN_PAGES, MIN_TOKENS = 0.5, 3, 3
-#: A container is the main region if it holds this share of the host's words.
+#: A container is the main region of its pages if it holds this share of their words.
 CONTAINER_SHARE = 0.6
+#: Least share of a host's pages that have a layout of their own; all text of rarer ones stays.
+LAYOUT_SHARE = 0.05
 #: Tokens a task counts before it hands its counts on.
 LOCAL_TOKENS = 200_000
 CLOSE = 0x5BD1E995
@@ -205,7 +207,8 @@ def read(page: str | None) -> tuple[list[Token], set[int], bool]:
                     break
         top = stack[-1]
         name, sure, vague = _attributes(tag, source)
-        path = _path(top.path, tag, name)
+        # Classes of html and body often number the page; with them no two pages would share a path.
+        path = _path(top.path, tag, "" if tag in ("html", "body") else name)
         tokens.append(Token(path))
         if tag in RAW:
             ending = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -242,7 +245,10 @@ def _key(token: Token) -> int:
 
 
 def _count(pages: DataFrame) -> DataFrame:
-    """Occurrences of tokens, and words of containers, by host, summed up within tasks."""
+    """Occurrences of tokens, and words of containers, by host, summed up within tasks.
+
+    The pages of a container are those most of whose words it holds, its total the words of all its pages.
+    """
     names = ["host", "token", "is_text", "pages", "total", "vector", "words", "depth"]
     types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
@@ -271,13 +277,19 @@ def _count(pages: DataFrame) -> DataFrame:
                     entry[0] += 1
                     entry[1] += times
                     entry[2] ^= _signed(xxhash.xxh64_intdigest(mark, seed=times))
+                page_words, inside = 0, {}
                 for token in tokens:
                     if token.text is not None and not _is_noise(token, cleared):
-                        words = token.text.count(" ") + 1 - token.linked
+                        words = max(token.text.count(" ") + 1 - token.linked, 0)
+                        page_words += words
                         for depth, path in enumerate(token.containers):
-                            entry = counts.setdefault((host, path, 3), [0, 0, 0, 0, 0])
-                            entry[3] += max(words, 0)
-                            entry[4] = depth
+                            inside[path] = inside.get(path, (0,))[0] + words, depth
+                for path, (words, depth) in inside.items():
+                    entry = counts.setdefault((host, path, 3), [0, 0, 0, 0, 0])
+                    entry[0] += 0 < words >= CONTAINER_SHARE * page_words
+                    entry[1] += page_words
+                    entry[3] += words
+                    entry[4] = depth
             if len(counts) > LOCAL_TOKENS:
                 yield flush()
         yield flush()
@@ -290,7 +302,12 @@ def _count(pages: DataFrame) -> DataFrame:
 
 
 def _classes(counts: DataFrame) -> DataFrame:
-    """host, own (tokens with their class) and container, one row per host."""
+    """host, own (tokens with their class) and containers, one row per host.
+
+    A container holds most words of its pages, both together and page by page, so that neither one
+    long page nor many short ones decide alone. First comes the deepest that does so on half of the
+    host's pages, then, for pages without it, those that do so on half as many pages as are left.
+    """
     sizes = counts.filter("is_text = 2").select(F.col("host").alias("of"), F.col("pages").alias("host_pages"))
     tokens = counts.filter("is_text < 2")
     classes = (
@@ -308,15 +325,31 @@ def _classes(counts: DataFrame) -> DataFrame:
     # A group holds the tokens that stand on at least half of a host's pages.
     own = chosen.groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("own"))
     words = counts.filter("is_text = 3")
-    total = words.filter("depth = 0").groupBy(F.col("host").alias("w")).agg(F.max("words").alias("all_words"))
-    inner = (
-        words.join(total, F.col("host").eqNullSafe(F.col("w"))).filter(F.col("words") >= CONTAINER_SHARE * F.col("all_words"))
-        .groupBy(F.col("host").alias("c")).agg(F.max_by("token", F.struct("depth", "words", "token")).alias("container"))
+    held = words.join(sizes, F.col("host").eqNullSafe(F.col("of"))).filter(F.col("words") >= CONTAINER_SHARE * F.col("total"))
+    inner = held.filter(F.col("pages") >= SUPPORT * F.col("host_pages")).groupBy(F.col("host").alias("c")).agg(
+        F.max_by(F.struct("token", "pages"), F.struct("depth", "words", "token")).alias("container")
+    )
+    without = F.col("host_pages") - F.coalesce("container.pages", F.lit(0))
+    least = F.greatest(F.lit(MIN_PAGES), SUPPORT * without, LAYOUT_SHARE * F.col("host_pages"))
+    # At most 1 / LAYOUT_SHARE containers of a depth.
+    layouts = (
+        held.join(inner, F.col("host").eqNullSafe(F.col("c")), "left")
+        .filter(F.col("pages").between(least, without))
+        .groupBy(F.col("host").alias("l"))
+        .agg(F.reverse(F.array_sort(F.collect_list(F.struct("depth", "words", "token"))))["token"].alias("layouts"))
+    )
+    none = F.array().cast("array<bigint>")
+    containers = F.concat(
+        F.when(F.col("container").isNull(), none).otherwise(F.array("container.token")), F.coalesce("layouts", none)
     )
     return stored(
         sizes.join(own, F.col("of").eqNullSafe(F.col("host")), "left").drop("host")
         .join(inner, F.col("of").eqNullSafe(F.col("c")), "left")
-        .select("of", F.coalesce("own", F.array().cast("array<struct<token:bigint,class:bigint>>")).alias("own"), "container")
+        .join(layouts, F.col("of").eqNullSafe(F.col("l")), "left")
+        .select(
+            "of", F.coalesce("own", F.array().cast("array<struct<token:bigint,class:bigint>>")).alias("own"),
+            containers.alias("containers"),
+        )
     )
 
 
@@ -363,7 +396,7 @@ def check_page(tokens: list[Token], classes: dict[int, int]) -> list[tuple[int,
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """of (the host), own (tokens of valid classes), container, and use_text, one row per host."""
+    """of (the host), own (tokens of valid classes), containers, and use_text, one row per host."""
     raw = _classes(stored(_count(pages)))
     joined = pages.join(raw, F.col("host").eqNullSafe(F.col("of")), "left").select("host", "html", "own")
     names = ["host", "class", "low", "high", "inside_low", "inside_high", "fixed", "free"]
@@ -403,31 +436,33 @@ def templates(pages: DataFrame) -> DataFrame:
     return stored(
         raw.join(per_host, F.col("of").eqNullSafe(F.col("v")), "left").select(
             "of", F.filter("own", lambda x: F.array_contains("valid", x["class"]))["token"].alias("own"),
-            "container", "use_text",
+            "containers", "use_text",
         )
     )
 
 
-def main_text(page: str | None, template: set[int], container: int | None, use_text: bool) -> list[tuple[int, str]]:
-    """Slots of the main region in page order: the template token before the slot, and a text."""
+def main_text(
+    page: str | None, template: set[int], containers: list[int] | None, use_text: bool
+) -> list[tuple[int, str]]:
+    """Slots of the main region in page order: the template token before the slot, and a text.
+
+    A page without a main element is narrowed to the first of the containers that leaves it a text.
+    """
     tokens, cleared, has_main = read(page)
-    slot, out = 0, []
+    slot, found = 0, []
     for token in tokens:
         if token.text is None:
             if token.path in template:
                 slot = token.path
-            continue
-        if _is_noise(token, cleared):
-            continue
-        if has_main:
-            if not token.main:
-                continue
-        elif container is not None and container not in token.containers:
-            continue
-        if use_text and template and _text_token(token) in template:
-            continue
-        out.append((slot, token.text))
-    return out
+        elif not _is_noise(token, cleared) and (token.main or not has_main):
+            if not (use_text and template and _text_token(token) in template):
+                found.append((slot, token))
+    for container in () if has_main else containers or ():
+        inside = [(s, t) for s, t in found if container in t.containers]
+        if inside:
+            found = inside
+            break
+    return [(s, t.text) for s, t in found]
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -444,7 +479,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     source = pages.select("page_id", "url", "html", host.alias("host"))
     known = templates(source.select("page_id", "host", "html"))
     joined = source.join(known, F.col("host").eqNullSafe(F.col("of")), "left").select(
-        "page_id", "url", "html", "own", "container", "use_text"
+        "page_id", "url", "html", "own", "containers", "use_text"
     )
     fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in source.select("page_id", "url").schema)
     slots_type = pa.list_(pa.struct([("slot", pa.int64()), ("text", pa.string())]))
@@ -452,8 +487,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     def run(batches):
         for batch in slices(batches):
             texts, slots = [], []
-            for page, own, container, use_text in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-                found = main_text(page, set(own or ()), container, bool(use_text))
+            for page, own, containers, use_text in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                found = main_text(page, set(own or ()), containers, bool(use_text))
                 texts.append(" ".join(t for _, t in found))
                 slots.append([{"slot": s, "text": t} for s, t in found])
             yield pa.RecordBatch.from_arrays(

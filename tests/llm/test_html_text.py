@@ -63,3 +63,24 @@ def test_copies_are_not_taken_for_a_template(spark):
 def test_tokens_close_what_they_open():
     tokens, _, has_main = read(PAGE.format(title="t", first="f"))
     assert has_main and sum(t.text is not None for t in tokens) == 14
+
+
+def test_no_page_of_a_host_is_emptied_by_its_container(spark):
+    rng = random.Random(6)
+    words = lambda n: " ".join(f"w{rng.randrange(9999)}" for _ in range(n))
+    rows, expected = [], {}
+
+    def add(host, content, body="", name="post"):
+        i = len(rows)
+        rows.append((i, f"http://{host}/{i}", f"<html><body{body}><div class=top>Top {i}</div><div class={name}><p>{content}</div></body></html>"))
+        expected[i] = content
+
+    for i in range(10):
+        add("layouts.org", words(40), name="post" if i < 7 else "story")
+    for i in range(8):
+        add("bodies.org", words(30 + 10 * i), f' class="page postid-{i}"')
+    for i in range(8):
+        add("long.org", words(5000 if i == 3 else 30), name="essay" if i == 3 else "post")
+    expected[21] = f"Top 21 {expected[21]}"  # the only page of its layout keeps all its text
+    found = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == expected
