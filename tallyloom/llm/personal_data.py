@@ -41,7 +41,7 @@ AT_DOT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(]? ?at ?[\])]? [A-Za-z0-9-]{1,
 LOCAL_PHONE = re.compile(r"(?<![\w+.-])(?:\([0-9]{2,5}\) ?|0[0-9]{1,4}[ /-])?[0-9]{2,5}(?:[ .-][0-9]{2,5}){1,4}(?![\w-])")
 SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-ASSIGNED = re.compile(r"[:=] ?[\"']?([^\s\"']{8,200})")
+ASSIGNED = re.compile(r"[:=] ?[\"']?([^\s\"']{8,}+)")
 KEY_ID = re.compile(r"(?<![A-Za-z0-9])A[A-Z]{3}[A-Z0-9]{16}(?![A-Za-z0-9])")
 TITLE = re.compile(r"(?<!\w)(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Mme|Madame|Monsieur|Señora?|Sra?)\.? ([A-ZÀ-Þ][\w'-]+(?: [A-ZÀ-Þ][\w'-]+)?)")
 

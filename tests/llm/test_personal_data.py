@@ -83,3 +83,9 @@ def test_spans_of_documents(spark):
             assert not row.spans
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert P.find_personal_data(empty, P.train(empty)).count() == 0
+
+
+def test_a_long_secret_is_one_whole_span():
+    for size in (8, 200, 201, 1000, 200_000):
+        text = f'token = "{"aB3." * (size // 4) + "x" * (size % 4)}" and more'
+        assert [text[a:b] for kind, a, b in P.proposals(text) if kind == "secret"] == [text.split('"')[1]]
