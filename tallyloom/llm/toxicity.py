@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import string
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -33,6 +34,9 @@ MIN_DOCUMENTS, MIN_LOG_ODDS, STRONG = 4, 2.0, 4.0
 THRESHOLD = 0.7
 #: Stripped from the ends of words.
 MARKS = string.punctuation + "¡¿«»„“”‘’…–—"
+#: Letters with the accents, vowel signs and joiners written as characters of their own.
+JOINED = "".join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.category(c)[0] == "M") + "\u00ad\u200c\u200d"
+LETTERS = re.compile(rf"(?:[^\W\d_]|[{JOINED}])+")
 BEGINNINGS = (4, 5, 6, 7)
 #: How far the label of a sampled document is trusted as one voter among the others.
 LABEL_ACCURACY = 0.95
@@ -58,9 +62,19 @@ class Model:
 
 
 def words_of(text: str) -> tuple[set[str], int]:
-    """The different words of a text, lower-cased, without marks at their ends, and the number of all."""
+    """The different words of a text, lower-cased, and the number of all between blanks.
+
+    A word is a run of letters; most are found by taking away the marks at the ends of a token.
+    """
     parts = text.lower().split()
-    return {w for p in set(parts) if (w := p.strip(MARKS)) and w[0].isalpha()}, len(parts)
+    words = set()
+    for p in set(parts):
+        w = p.strip(MARKS)
+        if w.isalpha():
+            words.add(w)
+        elif w:
+            words.update(x for x in LETTERS.findall(w) if x[0].isalpha())
+    return words, len(parts)
 
 
 def terms_of(words) -> set[str]:

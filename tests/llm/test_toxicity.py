@@ -79,3 +79,13 @@ def test_without_labels_or_rows(spark):
     assert {r.score for r in T.score_toxicity(docs, T.train(docs, none)).collect()} == {0.0}
     empty = docs.limit(0)
     assert T.score_toxicity(empty, T.train(empty, labels)).count() == 0
+
+
+def test_words_behind_inner_marks_are_seen():
+    words, n = T.words_of("end.Idiot you/idiot dumb,idiot 1idiot2 a_b (you're) \u0939\u093f\u0928\u094d\u0926\u0940! ide\u0301e 12 --")
+    assert n == 10
+    assert words == {"end", "idiot", "you", "dumb", "a", "b", "re", "\u0939\u093f\u0928\u094d\u0926\u0940", "ide\u0301e"}
+    model = T.Model(terms={"idiot": 0}, roots=frozenset({"idio"}))
+    for text in ("end.Idiot", "you/idiot", "1idiot", "idiot"):
+        assert T.matches(text, model)[0] == [0]
+    assert T.matches("you'll see", model) == T.matches("you see", model)
