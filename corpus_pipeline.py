@@ -34,14 +34,24 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id."""
-    found = simhash.near_duplicates(docs)
-    dropped = stored(
-        found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    )
+    """Of each group of near-duplicates one row: the smallest doc_id, then text hash, then other columns.
+
+    Null ids come last; of a group of null ids only, the row with the smallest text hash stays.
+    """
+    found = stored(simhash.with_first(docs).select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "first"
+    ))
+    stays = F.col("__id").eqNullSafe(F.col("first.doc_id")) & (F.col("__hash") == F.col("first.text_hash"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    return docs.join(dropped, same, "left_anti")
+    # Rows that repeat an id and a text: all go here, and one of them comes back.
+    repeated = stored(
+        found.filter(stays).groupBy("__id", "__hash").agg(F.count("*").alias("times")).filter("times > 1").drop("times")
+    )
+    dropped = stored(found.filter(~stays).select("__id", "__hash").distinct().union(repeated))
+    single = (
+        docs.join(repeated, same).groupBy("__id", "__hash").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    )
+    return docs.join(dropped, same, "left_anti").union(single)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,6 +97,21 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     ).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
 
 
+def with_first(docs: DataFrame, max_bits: int = MAX_BITS, size: int = SHINGLE) -> DataFrame:
+    """doc_id, text_hash, fp and first of every row: the smallest doc_id and text_hash of its component, null ids last."""
+    rows = stored(fingerprints(docs, size))
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    nodes = stored(rows.groupBy("fp").agg(F.min(own).alias("own")))
+    roots = components(links(nodes.select("fp"), max_bits))
+    named = stored(
+        nodes.join(roots, F.col("fp") == F.col("node"), "left")
+        .select("fp", "own", F.coalesce("root", "fp").alias("root"))
+    )
+    ids = stored(named.groupBy("root").agg(F.min("own").alias("first")))
+    ids = stored(named.join(ids, "root").select("fp", "first"))
+    return rows.join(ids, "fp", "left")
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, size: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, fingerprint and component_id of every row.
 
@@ -107,17 +122,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, size: int = SHING
     component_id. Repeated rows get the same result each. Other columns are ignored; an empty
     table gives an empty result.
     """
-    rows = stored(fingerprints(docs, size))
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("own")))
-    roots = components(links(nodes.select("fp"), max_bits))
-    named = stored(
-        nodes.join(roots, F.col("fp") == F.col("node"), "left")
-        .select("fp", "own", F.coalesce("root", "fp").alias("root"))
-    )
-    ids = stored(named.groupBy("root").agg(F.min("own").alias("component_id")))
-    ids = stored(named.join(ids, "root").select("fp", "component_id"))
-    return rows.join(ids, "fp", "left").select(
+    return with_first(docs, max_bits, size).select(
         "doc_id", "text_hash",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        "component_id",
+        F.col("first.doc_id").alias("component_id"),
     )

@@ -95,3 +95,13 @@ def test_an_empty_corpus(spark, folder):
     for _, stage in C.STAGES:
         docs = stage(spark, docs, where)
         assert docs.count() == 0
+
+
+def test_one_row_of_each_group_stays_whatever_its_ids(spark):
+    rng = random.Random(5)
+    a, b, c, d = (" ".join(f"x{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, a)] * 5 + [(1, a.upper()), (2, a), (1, b), (None, c), (None, c), (None, c.upper()), (None, d), (3, d), (4, None), (4, None)]
+    docs = C.stored(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = C.drop_near_duplicates(spark, docs, "").collect()
+    left = sorted((str(r.doc_id), (r.text or "").lower()) for r in found)
+    assert left == sorted([("1", a), ("1", b), ("None", c), ("3", d), ("4", "")])
