@@ -4,7 +4,49 @@ from __future__ import annotations
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _centroids(clusters: int = 16, rounds: int = 3, dims: int = 64) -> str:
+    """k-means with a full comparison of every vector with every centroid."""
+    square = "list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = [
+        f"""p as materialized (
+            select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v
+            from embeddings
+            where len(embedding) = {dims} and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+        )""",
+        f"""c0 as materialized (
+            select (row_number() over (order by h, v) - 1)::int as cluster, v
+            from (select sha256('1:' || vec_id::varchar) as h, v from p order by h nulls last, v limit {clusters})
+        )""",
+    ]
+    for turn in range(rounds + 1):
+        steps.append(f"""a{turn} as materialized (
+            select row, vec_id, p.v, arg_min(c.cluster, d * {clusters} + c.cluster) as cluster, min(d)::bigint as distance
+            from (select p.*, c.cluster, {square} as d from p cross join c{turn} c) as s(row, vec_id, v, cluster, d)
+            group by row, vec_id, v
+        )""".replace("p.v, arg_min", "v, arg_min").replace("arg_min(c.cluster", "arg_min(cluster").replace("+ c.cluster)", "+ cluster)"))
+        if turn < rounds:
+            steps.append(f"""c{turn + 1} as materialized (
+                select c.cluster, coalesce(n.v, c.v) as v from c{turn} c left join (
+                    select cluster, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as v
+                    from (
+                        select cluster, i, sum(x) as s, count(*) as n
+                        from (select cluster, unnest(v) as x, generate_subscripts(v, 1) as i from a{turn}) group by cluster, i
+                    ) group by cluster
+                ) n using (cluster)
+            )""")
+    return f"""
+        with {", ".join(steps)}
+        select vec_id, cluster, distance,
+               (sum(distance) over (partition by cluster))::bigint as cluster_inertia,
+               (sum(distance) over ())::bigint as inertia,
+               sha256(array_to_string(c.v, ',')) as centroid_sha256
+        from a{rounds} a join c{rounds} c using (cluster)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_centroids": _centroids(),
     "op2_exact_dedup": f"""
         with n as (select doc_id, {_LOWER} as norm from documents),
         g as (select norm, max(doc_id) as keep_id, count(*) as group_size from n group by norm)

@@ -132,3 +132,14 @@ def op9_quality(spark, folder):
 
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
     return score_quality(docs, labels, train(docs, labels))
+
+
+@query
+def op11_centroids(spark, folder):
+    from tallyloom.llm.centroids import centroid_table, cluster
+
+    found = cluster(_table(spark, folder, "embeddings"))
+    rows = found.rows.select(F.col("id").alias("vec_id"), F.col("first").alias("cluster"), F.col("square").alias("distance"))
+    return rows.join(F.broadcast(centroid_table(spark, found)), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )

@@ -21,6 +21,7 @@ COLUMNS = {
     "op8_language_model": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     "op9_quality": ["doc_id", "held_out", "doc_score", "host_mean", "path_mean", "score", "kept"],
     "op10_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op11_centroids": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
 }
 
 
