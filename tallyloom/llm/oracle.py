@@ -45,7 +45,62 @@ def _centroids(clusters: int = 16, rounds: int = 3, dims: int = 64) -> str:
     """
 
 
+def _spelling(depth: int = 30) -> str:
+    """Near words share a mask (one letter blanked), or one is the other with a letter left out.
+
+    crc32 is worked out bit by bit. n grows fivefold with every form, so ``depth`` steps reach any root.
+    """
+    digits = "0123456789ABCDEF"
+    octet = " + ".join(f"(strpos('{digits}', substr(code, 2 * i + {k}, 1)) - 1) * {w}" for k, w in ((1, 16), (2, 1)))
+    bits = "list_reduce(list_prepend(xor(c, b), repeat([0::ubigint], 8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"""
+        with recursive runs as (
+            select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all({_LOWER}, '[a-z\u00C0-\u00FF]+')) as run from documents
+        ),
+        counted as (select id, run, count(*) as m from runs where length(run) >= 6 group by id, run),
+        coded as (select run, m, hex(encode(id || ':' || run)) as code from counted),
+        hashed as (
+            select run, m, xor(4294967295, list_reduce(
+                list_prepend(4294967295::ubigint, list_transform(range(length(code) // 2), lambda i: ({octet})::ubigint)),
+                lambda c, b: {bits}
+            ))::bigint as h
+            from coded
+        ),
+        spelt as (
+            select m, case when h % 199 = 0
+                then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word
+            from hashed
+        ),
+        v as materialized (select word, sum(m)::bigint as n from spelt where length(word) >= 6 group by word having sum(m) >= 5),
+        places as (select word, unnest(range(length(word))) as p from v),
+        cut as materialized (select word, p, substr(word, 1, p) || substr(word, p + 2) as rest from places),
+        pairs as (
+            select a.word, b.word as other from cut a join cut b using (p, rest)
+            where a.word <> b.word and length(a.word) = length(b.word)
+            union select c.word, v.word from cut c join v on c.rest = v.word
+            union select v.word, c.word from cut c join v on c.rest = v.word
+        ),
+        best as (
+            select pairs.word, count(*) as n_near, max(o.n) as best_n, arg_min(other, (-o.n, other)) as best
+            from pairs join v o on o.word = other group by pairs.word
+        ),
+        forms as materialized (
+            select word, n, coalesce(n_near, 0)::bigint as n_near, case when best_n >= 5 * n then best end as form,
+                   case when best_n >= 5 * n then best_n end as form_n
+            from v left join best using (word)
+        ),
+        walk as (
+            select word, word as now, 0 as step from v
+            union all
+            select walk.word, form, step + 1 from walk join forms f on f.word = now where form is not null and step < {depth}
+        )
+        select word, form, arg_max(now, step) as root, n, n_near, form_n from forms join walk using (word)
+        group by word, form, n, n_near, form_n
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_spelling": _spelling(),
     "op11_centroids": _centroids(),
     "op2_exact_dedup": f"""
         with n as (select doc_id, {_LOWER} as norm from documents),

@@ -143,3 +143,11 @@ def op11_centroids(spark, folder):
     return rows.join(F.broadcast(centroid_table(spark, found)), "cluster").select(
         "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
     )
+
+
+@query
+def op12_spelling(spark, folder):
+    from tallyloom.llm.shared import stored
+    from tallyloom.llm.spelling import count_words, word_forms
+
+    return word_forms(stored(count_words(_table(spark, folder, "documents").select("doc_id", "text"))))

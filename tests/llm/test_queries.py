@@ -22,6 +22,7 @@ COLUMNS = {
     "op9_quality": ["doc_id", "held_out", "doc_score", "host_mean", "path_mean", "score", "kept"],
     "op10_toxicity": ["doc_id", "held_out", "score", "predicted"],
     "op11_centroids": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
+    "op12_spelling": ["word", "form", "root", "n", "n_near", "form_n"],
 }
 
 
