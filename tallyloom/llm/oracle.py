@@ -99,7 +99,37 @@ def _spelling(depth: int = 30) -> str:
     """
 
 
+#: Bytes as two hexadecimal digits each; a string of 50 bytes is 100 digits.
+_SUFFIXES = """
+    with d as materialized (
+        select row_number() over () as row, doc_id, hex(encode(coalesce(text, ''))) as digits from documents
+    ),
+    strings as materialized (
+        select row, doc_id, p, substr(digits, 2 * p + 1, 100) as s
+        from (select row, doc_id, digits, unnest(range(length(digits) // 2 - 49)) as p from d)
+    ),
+    twice as (select s, min(doc_id) as first from strings group by s having min(doc_id) < max(doc_id)),
+    hit as (select row, p from strings join twice using (s) where first < doc_id),
+    runs as (
+        select row, p, sum(new) over (partition by row order by p) as run
+        from (select row, p, case when p <= lag(p) over (partition by row order by p) + 50 then 0 else 1 end as new from hit)
+    ),
+    spans as materialized (select row, run, min(p) as a, max(p) + 50 as b from runs group by row, run),
+    parts as (
+        select row, a, substr(digits, 2 * coalesce(lag(b) over (partition by row order by a), 0) + 1,
+                              2 * (a - coalesce(lag(b) over (partition by row order by a), 0))) as part
+        from spans join d using (row)
+    ),
+    heads as (select row, string_agg(part, '' order by a) as head from parts group by row),
+    counts as (select row, count(*) as n_spans, sum(b - a) as n_removed, max(b) as last from spans group by row)
+    select doc_id, length(digits) // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans,
+           sha256(unhex(coalesce(head, '') || substr(digits, 2 * coalesce(last, 0) + 1))) as kept_sha256
+    from d left join heads using (row) left join counts using (row)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_suffix_dedup": _SUFFIXES,
     "op12_spelling": _spelling(),
     "op11_centroids": _centroids(),
     "op2_exact_dedup": f"""

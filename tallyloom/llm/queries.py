@@ -151,3 +151,16 @@ def op12_spelling(spark, folder):
     from tallyloom.llm.spelling import count_words, word_forms
 
     return word_forms(stored(count_words(_table(spark, folder, "documents").select("doc_id", "text"))))
+
+
+@query
+def op13_suffix_dedup(spark, folder):
+    from tallyloom.llm.suffix_family import remove_repeats
+
+    found = remove_repeats(_table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )

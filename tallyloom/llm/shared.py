@@ -42,6 +42,27 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_lean(df: DataFrame) -> DataFrame:
+    """As ``stored``; besides, the shuffle files of the write go as soon as it has ended."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return stored(df)
+    finally:
+        conf.set(name, before)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` that nothing needs any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = {p.rsplit("/", 1)[0] for p in table.inputFiles()}
+        for folder in path:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def lowered(text: Column | str) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())

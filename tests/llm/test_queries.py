@@ -23,6 +23,7 @@ COLUMNS = {
     "op10_toxicity": ["doc_id", "held_out", "score", "predicted"],
     "op11_centroids": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
     "op12_spelling": ["word", "form", "root", "n", "n_near", "form_n"],
+    "op13_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
 }
 
 
