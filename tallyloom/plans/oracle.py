@@ -135,7 +135,7 @@ add(
 )
 add(
     "review_excerpts",
-    "select row_id, md5(case when length(review_text) > 260 then rtrim(substr(review_text, 1, 257)) || '...' "
+    "select row_id, md5(case when length(review_text) > 260 then rtrim(substr(review_text, 1, 257), " + SPACES + ") || '...' "
     "else review_text end) as excerpt_md5 from clean",
 )
 add("index_column_dropped", "select row_id, rating, class_name from raw")
@@ -143,6 +143,10 @@ add(
     "csv_mixed_files",
     "select row_id, clothing_id, rating, class_name, case when row_id % 3 = 0 then 'plain' else 'café' end as title from raw",
 )
+add(
+    "csv_quoted_records",
+    "select row_id, rating, md5('\"' || coalesce(title, '') || E',\"\\n\\n\"\",' || coalesce(review_text, 'none') || E'\\n,') as text_md5 from raw",
+)
 add(
     "helpful_negative_filter",
     "select row_id, positive_feedback_count, sentiment from clean "

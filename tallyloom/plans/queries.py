@@ -30,7 +30,7 @@ from tallyloom.operators import (
 from tallyloom.plans.settings import CHOICES, EXPECTED, MIN_CLASS, MIN_DEPARTMENT, SAME_NAMES, SWEEP
 from tallyloom.sources.coerce import coerce_types
 from tallyloom.sources.layers import read_clean_layer, write_clean_layer
-from tallyloom.sources.readers import load_reviews
+from tallyloom.sources.readers import load_reviews, read_csv
 from tallyloom.sources.schema_check import DatasetError
 from tallyloom.sources.sinks import export
 from tallyloom.sources.tables import reviews_from_tables
@@ -407,7 +407,10 @@ def shared_folder(spark: SparkSession, prefix: str) -> str:
 
 @query
 def csv_mixed_files(t):
-    """Write CSV files of different column order, one set of them in Latin-1, and load all of them."""
+    """Write CSV files of different column order, one set of them in Latin-1, and load all of them.
+
+    The files are written when the query is built, before it runs.
+    """
     folder = f"{shared_folder(t.raw.sparkSession, 'mixed-')}/csv"
     headers = {name: header for header, name in SOURCE_COLUMNS.items()}
     rows = t.raw.select(F.col(ROW_ID).alias("Key"), "clothing_id", "rating", "class_name").withColumnsRenamed(headers)
@@ -420,6 +423,25 @@ def csv_mixed_files(t):
     return loaded.select(ROW_ID, "clothing_id", "rating", "class_name", "title")
 
 
+@query
+def csv_quoted_records(t):
+    """Write cells full of quotes, delimiters and line ends as CSV, and load them in splits.
+
+    The files are written when the query is built, before it runs.
+    """
+    spark = t.raw.sparkSession
+    folder = f"{shared_folder(spark, 'quoted-')}/csv"
+    text = F.concat(
+        F.lit('"'), F.coalesce("title", F.lit("")), F.lit(',"\n\n"",'), F.coalesce("review_text", F.lit("none")), F.lit("\n,")
+    )
+    rows = t.raw.select(F.col(ROW_ID).alias("Key"), "rating", text.alias("body"))
+    rows.write.csv(folder, header=True, escape='"', encoding="UTF-8")
+    loaded = read_csv(spark, folder, numbered=False)
+    return loaded.select(
+        F.col("Key").cast("long").alias(ROW_ID), F.col("rating").cast("double").alias("rating"), F.md5("body").alias("text_md5")
+    )
+
+
 @query
 def csv_round_trip(t):
     """Write the raw reviews as CSV, load them again, and clean what came back.

@@ -12,6 +12,7 @@ from tallyloom.functions.numeric import identifier
 from tallyloom.functions.text import text_key
 from tallyloom.names import ROW_ID, TEXT_KEY
 from tallyloom.sources.coerce import coerce_types, null_missing_tokens, rename_source_columns
+from tallyloom.sources.csv_records import read_records, survey
 from tallyloom.sources.schema_check import DatasetError
 from tallyloom.sources.workbook import read_workbooks
 
@@ -103,12 +104,28 @@ def _by_name(frames: list[DataFrame]) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, numbered: bool = True) -> DataFrame:
-    """CSV with quoted newlines; every data file below ``path`` is read, whatever its name.
+    """CSV with quoted line ends, read in splits; every data file below ``path`` is read, whatever its name.
 
-    Files are read in groups of equal headers and put together by column name. Files that are not
-    UTF-8 are read as Latin-1, file by file, unless an ``encoding`` is named. If all files are
-    alike, the folder is read as such; else each group's paths are listed, as Spark's reader takes
-    them. ``numbered`` adds ``row_id``.
+    Files are put together by column name. Files that are not UTF-8 are read as Latin-1, file by
+    file, unless an ``encoding`` is named. ``numbered`` adds ``row_id``. Two scans are made here at
+    most, the records are read when the result is. Files in other encodings than these two, or with
+    bare carriage returns as line ends, can't be cut at line ends and are read by one task each.
+    """
+    known = {"utf-8": "UTF-8", "utf8": "UTF-8", "iso-8859-1": "ISO-8859-1", "latin-1": "ISO-8859-1", "latin1": "ISO-8859-1"}
+    if encoding is None or encoding.lower() in known:
+        files = survey(spark, path, encoding and known[encoding.lower()])
+        if not files.old_line_ends:
+            frame = read_records(spark, path, files, CSV_OPTIONS)
+            place = F.shiftleft("_rank", 33).bitwiseOR(F.col("_place"))
+            return frame.select("*", *([place.alias(ROW_ID)] if numbered else [])).drop("_rank", "_place")
+    return _read_whole_files(spark, path, encoding, numbered)
+
+
+def _read_whole_files(spark: SparkSession, path: str, encoding: str | None, numbered: bool) -> DataFrame:
+    """One task per file, in groups of equal headers.
+
+    If all files are alike, the folder is read as such; else each group's paths are listed, as
+    Spark's reader takes them.
     """
     files = csv_files(spark, path)
     latin = F.lit(False) if encoding is not None else ~F.col("utf8")

@@ -10,7 +10,7 @@ from tallyloom.operators import cleaning, distributions, duplicates, filters, kp
 from tallyloom.plans.oracle import ORACLE_SQL
 from tallyloom.plans.queries import QUERIES
 
-WRITES = {"csv_round_trip", "csv_mixed_files"}
+WRITES = {"csv_round_trip", "csv_mixed_files", "csv_quoted_records"}
 
 
 def plan(df) -> str:
