@@ -1,12 +1,16 @@
 """What-if scenarios: move a part of the negative and neutral reviews and recompute the rates.
 
-The simulated rating needs the first K reviews of a class in ``row_id`` order. A global row
-number would pull all reviews of a segment into one task, so reviews are summed up per range of
-``row_id`` instead: one scan gives this *ledger*, running counts over it tell which ranges lie
-wholly on one side of the K-th review, and only reviews of the ranges that K cuts through are
-ranked, each range by itself. The ranges end at quantiles of the ids, so there is a fixed number of
-them and each holds a like share of the reviews, however the ids are spread. Baselines are sums
-of the same ledger. Scenarios are told apart by their place in the list; names are labels.
+Counts and rates come out of one row of sums per segment. The simulated rating needs the first K
+reviews of a class in ``row_id`` order. A global row number would pull all reviews of a segment
+into one task, so reviews are summed up per range of ``row_id`` instead: running counts over this
+*ledger* tell which ranges lie wholly on one side of the K-th review, and only reviews of the
+ranges that K cuts through are ranked, each range by itself. The ranges end at quantiles of the
+ids, so each holds a like share of the reviews, however the ids are spread.
+
+A stored layer keeps a ledger (``tallyloom.operators.ledger``); with it, sums come from there, and
+nothing but the cut ranges is read from the reviews. Without one, sums and quantiles are worked out
+for the query. The rating's part is joined by unique keys, so a query that does not read the
+rating does not work it out. Scenarios are told apart by their place in the list; names are labels.
 """
 
 from __future__ import annotations
@@ -17,9 +21,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyloom.functions import classify
-from tallyloom.functions.numeric import double, identifier, mean, quoted, rate, share_of
+from tallyloom.functions.numeric import double, identifier, mean, rate, share_of
 from tallyloom.names import PRIORITIES, ROW_ID
-from tallyloom.operators.segments import SUMS
+from tallyloom.operators.ledger import Ledger, bucket
+from tallyloom.operators.segments import SUMS, segment_sums
 from tallyloom.operators.shapes import Text, as_value, exprs, position, record, unfold
 
 # A range of ids is found in three steps, one of WAYS parts each: WAYS ** 3 ranges in all.
@@ -125,17 +130,48 @@ def _other(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumnsRenamed({key: f"{key}_" for key in keys})
 
 
-def movements(df: DataFrame, by: list[str], assumptions: Sequence[Assumptions]) -> DataFrame:
-    """One row per bucket and scenario: the segment's baseline and movements, the bucket's place
-    among the reviews of its sentiment, and what the bucket adds to the sum of ratings.
+# Baseline and movements of a segment from its sums ``t`` and assumptions ``a``. Reviews without a
+# sentiment count as positive, those without a known flag as recommended, provided any is known.
+FIGURES = (
+    "t.reviews AS n",
+    "t.negative AS neg",
+    "t.neutral AS neu",
+    "n - neg - neu AS pos",
+    "CASE WHEN t.recommended + t.not_recommended BETWEEN 1 AND n - 1"
+    " THEN n - t.not_recommended ELSE t.recommended END AS recommended",
+    "t.not_recommended AS not_recommended",
+    f"{share_of('neg', 'a.reached')} AS reached_neg",
+    f"{share_of('reached_neg', 'a.success')} AS successful_neg",
+    f"{share_of('successful_neg', 'a.to_positive')} AS neg_to_pos",
+    "successful_neg - neg_to_pos AS neg_to_neu",
+    f"{share_of('neu', 'a.neutral')} AS neu_to_pos",
+    f"{share_of('not_recommended', 'a.advocacy')} AS advocacy_conversions",
+    f"{mean('t.rating_sum', 't.rated')} AS avg_rating",
+    "coalesce(t.rating_sum, 0D) AS rating_sum",
+)
 
-    ``change`` is NULL for a bucket that a limit cuts through. Baseline counts add up to the
-    segment: reviews without a sentiment count as positive, those without a known flag as
-    recommended, provided any flag is known.
-    """
-    ledger = df.groupBy(*by, "sentiment", "bucket").agg(
-        *exprs(*[f"{total} AS {name}" for name, total in SUMS.items()])
+
+def _scenarios(assumptions: Sequence[Assumptions]) -> str:
+    records = [a.as_record(place) for place, a in enumerate(assumptions)]
+    return f"explode(array({', '.join(records)})) AS a"
+
+
+def figures(sums: DataFrame, by: list[str], assumptions: Sequence[Assumptions]) -> DataFrame:
+    """Baseline and movements per segment and scenario, from one row of sums per segment."""
+    total = ", ".join(f"'{c}', coalesce({c}, 0)" if c != "rating_sum" else f"'{c}', {c}" for c in SUMS)
+    return (
+        sums.selectExpr(*by, f"named_struct({total}) AS t")
+        .selectExpr("*", _scenarios(assumptions))
+        .selectExpr(*by, "a", "a.place AS place", "a.scenario AS scenario", *FIGURES)
     )
+
+
+def movements(ledger: DataFrame, by: list[str], assumptions: Sequence[Assumptions]) -> DataFrame:
+    """One row per bucket and scenario: the bucket's place among the reviews of its sentiment, and
+    what it adds to the sum of ratings.
+
+    ``change`` is NULL for a bucket that a limit cuts through.
+    """
     earlier = (
         f"PARTITION BY {', '.join([*by, 'sentiment'])} ORDER BY bucket "
         "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
@@ -145,32 +181,17 @@ def movements(df: DataFrame, by: list[str], assumptions: Sequence[Assumptions])
         ledger = ledger.selectExpr("*", f"named_struct({totals}) AS t")
     else:
         ledger = ledger.withColumn("t", as_value(ledger.agg(*exprs(*[f"sum({c}) AS {c}" for c in SUMS]))))
-    records = [a.as_record(place) for place, a in enumerate(assumptions)]
     return (
         ledger.selectExpr(
             *by, "sentiment", "bucket", "reviews AS size", "rating_sum AS stars",
             f"coalesce(sum(reviews) OVER ({earlier}), 0L) AS first",
             "t",
         )
-        .selectExpr("*", f"explode(array({', '.join(records)})) AS a")
+        .selectExpr("*", _scenarios(assumptions))
         .selectExpr(
-            *by, "a", "a.place AS place", "a.scenario AS scenario", "sentiment", "bucket", "size", "stars", "first",
+            *by, "a", "a.place AS place", "sentiment", "bucket", "size", "stars", "first",
             "first + size AS end",
-            "t.reviews AS n",
-            "t.negative AS neg",
-            "t.neutral AS neu",
-            "n - neg - neu AS pos",
-            "CASE WHEN t.recommended + t.not_recommended BETWEEN 1 AND n - 1"
-            " THEN n - t.not_recommended ELSE t.recommended END AS recommended",
-            "t.not_recommended AS not_recommended",
-            f"{share_of('neg', 'a.reached')} AS reached_neg",
-            f"{share_of('reached_neg', 'a.success')} AS successful_neg",
-            f"{share_of('successful_neg', 'a.to_positive')} AS neg_to_pos",
-            "successful_neg - neg_to_pos AS neg_to_neu",
-            f"{share_of('neu', 'a.neutral')} AS neu_to_pos",
-            f"{share_of('not_recommended', 'a.advocacy')} AS advocacy_conversions",
-            f"{mean('t.rating_sum', 't.rated')} AS avg_rating",
-            "coalesce(t.rating_sum, 0D) AS rating_sum",
+            *FIGURES[:-2],
             # Reviews ranked below ``to_four`` get 4 stars, those below ``to_three`` 3 stars.
             "CASE sentiment WHEN 'Negative' THEN neg_to_pos WHEN 'Neutral' THEN neu_to_pos ELSE 0L END AS to_four",
             "CASE sentiment WHEN 'Negative' THEN successful_neg ELSE to_four END AS to_three",
@@ -180,15 +201,9 @@ def movements(df: DataFrame, by: list[str], assumptions: Sequence[Assumptions])
     )
 
 
-def _simulate(df: DataFrame, by: str | None, assumptions: Sequence[Assumptions], ways: int) -> DataFrame:
-    """Counts, movements and the change of the sum of ratings per segment and scenario."""
-    cuts = _cut_points(df, ways)
-    segments = [F.col(identifier(by)).alias(SEGMENT)] if by else []
-    measured = ("rating", "recommended_ind", "positive_feedback_count", "has_review_text", "sentiment", "recommendation_label", "valid_recommendation")
-    needed = [c for c in df.columns if c in (ROW_ID, *measured)]
-    ranged = _bucketed(df.select(*segments, *needed), cuts, ways)
-    by = [SEGMENT] if by else []
-    moved = movements(ranged, by, assumptions)
+def _rating_change(ranged: DataFrame, ledger: DataFrame, by: list[str], assumptions: Sequence[Assumptions]) -> DataFrame:
+    """What the scenarios add to the sum of ratings: one row per segment (``key_``) and ``place_``."""
+    moved = movements(ledger, by, assumptions)
     keys = [*by, "sentiment", "bucket"]
     # At most three buckets are cut per segment and scenario; Spark decides how to join them.
     cut = moved.filter("change IS NULL").select(*keys, "place", "first", "to_four", "to_three")
@@ -199,17 +214,36 @@ def _simulate(df: DataFrame, by: str | None, assumptions: Sequence[Assumptions],
         .join(_other(cut, keys), _same(keys))
         .selectExpr("*", f"first + row_number() OVER ({in_bucket}) - 1 AS rank")
     )
-    within = (
-        ranked.filter("rank < to_three")
-        .groupBy(*by, "place")
-        .agg(*exprs("sum(CASE WHEN rank < to_four THEN 4D ELSE 3D END - rating) AS cut_change"))
-    )
-    segment = [*by, "place", "scenario", "a", *COUNTS, "avg_rating", "rating_sum"]
+    within = ranked.filter("rank < to_three").selectExpr(*by, "place", "CASE WHEN rank < to_four THEN 4D ELSE 3D END - rating AS change")
+    # A struct is never NULL, so NULL is a segment like any other.
     return (
-        moved.groupBy(*segment)
-        .agg(F.sum("change").alias("whole_change"))
-        .join(_other(within, [*by, "place"]), _same([*by, "place"]), "left")
-        .selectExpr(*segment, "coalesce(whole_change, 0D) + coalesce(cut_change, 0D) AS change")
+        moved.filter("change IS NOT NULL").select(*by, "place", "change").union(within)
+        .groupBy(F.struct(F.lit(0).alias("_"), *by).alias("key_"), F.col("place").alias("place_"))
+        .agg(F.sum("change").alias("change"))
+    )
+
+
+def _simulate(
+    df: DataFrame, by: str | None, assumptions: Sequence[Assumptions], ways: int, ledger: Ledger | None
+) -> DataFrame:
+    """Counts, movements and the change of the sum of ratings per segment and scenario."""
+    segments = [F.col(identifier(by)).alias(SEGMENT)] if by else []
+    measured = ("rating", "recommended_ind", "positive_feedback_count", "has_review_text", "sentiment", "recommendation_label", "valid_recommendation")
+    reviews = df.select(*segments, *[c for c in df.columns if c in (ROW_ID, *measured)])
+    keys = [SEGMENT] if by else []
+    kept = ledger.of(by) if ledger else None
+    ranged = reviews.withColumn("bucket", bucket(ledger.cuts, ledger.ways)) if ledger else _bucketed(reviews, _cut_points(df, ways), ways)
+    if kept is not None:
+        table = kept.withColumnRenamed("label", SEGMENT) if by else kept.drop("label")
+        sums = table.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMS])
+    else:
+        table = segment_sums(ranged, *keys, "sentiment", "bucket")
+        sums = segment_sums(reviews, *keys)
+    base = figures(sums, keys, assumptions)
+    change = _rating_change(ranged, table, keys, assumptions)
+    own = F.struct(F.lit(0).alias("_"), *keys)
+    return base.join(change, (own == F.col("key_")) & (F.col("place") == F.col("place_")), "left").select(
+        *base.columns, F.coalesce("change", F.lit(0.0)).alias("change")
     )
 
 
@@ -218,19 +252,17 @@ def run_simulation(
     assumptions: Assumptions | Sequence[Assumptions] = DEFAULT,
     by: str | None = None,
     ways: int = WAYS,
+    ledger: Ledger | None = None,
 ) -> DataFrame:
     """Baseline, movements and simulated figures: one row per scenario (and value of ``by``).
 
-    Without ``by`` an empty table gives a row of zeros.
+    Without ``by`` an empty table gives a row of zeros. ``ledger`` is one of the same reviews.
     """
     several = _listed(assumptions)
     result = [f"{how} AS {name}" for name, how in RESULT.items()]
     if by:
-        return _simulate(df, by, several, ways).selectExpr("scenario", f"{SEGMENT} AS {identifier(by)}", *result)
-    names = ", ".join(quoted(a.name) for a in several)
-    scenarios = df.sparkSession.range(1).selectExpr(f"posexplode(array({names})) AS (place_, label)")
-    found = scenarios.join(_simulate(df, None, several, ways), F.col("place") == F.col("place_"), "left")
-    return found.na.fill(0).selectExpr("label AS scenario", *result)
+        return _simulate(df, by, several, ways, ledger).selectExpr("scenario", f"{SEGMENT} AS {identifier(by)}", *result)
+    return _simulate(df, None, several, ways, ledger).selectExpr("scenario", *result)
 
 
 def finite_kpis(result: DataFrame) -> DataFrame:
@@ -249,6 +281,7 @@ def department_simulation(
     min_reviews: int = 0,
     by: str = "department_name",
     ways: int = WAYS,
+    ledger: Ledger | None = None,
 ) -> DataFrame:
     """One simulation per department, most urgent first.
 
@@ -259,7 +292,7 @@ def department_simulation(
     overall = rate(f"all_neg - {improved}", "all_n")
     share = rate("n", "all_n")
     table = (
-        _simulate(df, by, _listed(assumptions), ways)
+        _simulate(df, by, _listed(assumptions), ways, ledger)
         .selectExpr(
             "*",
             "sum(n) OVER (PARTITION BY place) AS all_n",
@@ -298,10 +331,14 @@ def department_simulation(
 
 
 def department_impact(
-    df: DataFrame, assumptions: Assumptions = DEFAULT, min_reviews: int = 50, ways: int = WAYS
+    df: DataFrame,
+    assumptions: Assumptions = DEFAULT,
+    min_reviews: int = 50,
+    ways: int = WAYS,
+    ledger: Ledger | None = None,
 ) -> DataFrame:
     """Departments by the number of negative reviews the scenario removes."""
-    table = department_simulation(df, assumptions, min_reviews, ways=ways)
+    table = department_simulation(df, assumptions, min_reviews, ways=ways, ledger=ledger)
     return table.selectExpr("*", "successful_negative_cases AS negative_reduction").orderBy(
         F.desc("negative_reduction"), "department"
     )

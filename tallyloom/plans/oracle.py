@@ -147,6 +147,33 @@ add(
     "csv_quoted_records",
     "select row_id, rating, md5('\"' || coalesce(title, '') || E',\"\\n\\n\"\",' || coalesce(review_text, 'none') || E'\\n,') as text_md5 from raw",
 )
+add(
+    "default_file",
+    "select row_id as key, rating, department_name, 'Womens Clothing E-Commerce Reviews.csv' as source from raw",
+)
+add(
+    "layer_replaced",
+    """
+    , half as (select * from clean where row_id % 2 = 0),
+    texts as (select md5(lower(trim(review_text, """ + SPACES + """))) as t, count(*) as n from half where has_review_text group by t)
+    select department_name, 1 as version, 1 as after_refusal, count(*) as reviews, count(*) filter (n > 1) as repeated
+    from half left join texts on has_review_text and t = md5(lower(trim(review_text, """ + SPACES + """))) group by department_name
+    union all select department_name, 2, 1, count(*), count(*) filter (is_duplicate_review_text) from clean group by department_name
+    """,
+)
+SHEET = """
+    select '{name}' as sheet, unnest([
+        {{'p': 'Source', 'v': '{name}'}}, {{'p': 'Rows', 'v': cast(count(*) as varchar)}}, {{'p': 'Source columns', 'v': '10'}},
+        {{'p': 'Matches expected schema', 'v': '{fits}'}}, {{'p': 'Missing required columns', 'v': '{missing}'}},
+        {{'p': 'Unrecognised columns', 'v': '{extra}'}}
+    ]) as x from raw
+"""
+add(
+    "property_sheet",
+    "select sheet, x.p as property, x.v as value from ("
+    + SHEET.format(name="reviews", fits="Yes", missing="None", extra="None")
+    + " union all " + SHEET.format(name="other", fits="No", missing="age", extra="store") + ")",
+)
 add(
     "helpful_negative_filter",
     "select row_id, positive_feedback_count, sentiment from clean "

@@ -27,10 +27,12 @@ from tallyloom.operators import (
     segments,
     validation,
 )
+from tallyloom.operators.ledger import Ledger
 from tallyloom.plans.settings import CHOICES, EXPECTED, MIN_CLASS, MIN_DEPARTMENT, SAME_NAMES, SWEEP
 from tallyloom.sources.coerce import coerce_types
-from tallyloom.sources.layers import read_clean_layer, write_clean_layer
-from tallyloom.sources.readers import load_reviews, read_csv
+from tallyloom.sources.layers import CleanLayer, open_clean_layer, replace_layer, write_clean_layer
+from tallyloom.sources import schema_check
+from tallyloom.sources.readers import DEFAULT_FILE, load_default_reviews, load_reviews, read_csv
 from tallyloom.sources.schema_check import DatasetError
 from tallyloom.sources.sinks import export
 from tallyloom.sources.tables import reviews_from_tables
@@ -41,6 +43,7 @@ class ReviewTables:
     """Raw reviews and what cleaning makes of them; lazy, so a query pays for what it reads."""
 
     raw: DataFrame
+    ledger: Ledger | None = None
 
     @cached_property
     def clean(self) -> DataFrame:
@@ -53,15 +56,20 @@ class ReviewTables:
 
     def stored(self, path: str) -> ReviewTables:
         """Both tables read back from a clean layer written once to ``path``."""
-        write_clean_layer(self.raw, path)
-        raw, clean = read_clean_layer(self.raw.sparkSession, path)
-        tables = ReviewTables(raw)
-        tables.__dict__["clean"] = clean
+        version = write_clean_layer(self.raw, path)
+        return ReviewTables.of(open_clean_layer(self.raw.sparkSession, path, version.number))
+
+    @staticmethod
+    def of(layer: CleanLayer) -> ReviewTables:
+        tables = ReviewTables(layer.raw, layer.ledger)
+        tables.__dict__["clean"] = layer.clean
         return tables
 
 
 Query = Callable[[ReviewTables], DataFrame]
 QUERIES: dict[str, Query] = {}
+# Queries that write files when they are built, before they run.
+WRITES: set[str] = set()
 
 
 def query(function: Query) -> Query:
@@ -69,6 +77,11 @@ def query(function: Query) -> Query:
     return function
 
 
+def writing(function: Query) -> Query:
+    WRITES.add(function.__name__)
+    return query(function)
+
+
 def result_only(function: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda t: function(t.clean)
 
@@ -314,55 +327,56 @@ def page_summary(t):
 
 @query
 def scenario_overall(t):
-    return scenario.run_simulation(t.clean, SWEEP)
+    return scenario.run_simulation(t.clean, SWEEP, ledger=t.ledger)
 
 
 @query
 def scenario_scoped(t):
     scoped = filters.resolve_scope(t.clean, "By Division", ["ASIA", "EUROPE"])
-    return scenario.finite_kpis(scenario.run_simulation(scoped))
+    ledger = t.ledger and t.ledger.scoped("division_name", ["ASIA", "EUROPE"])
+    return scenario.finite_kpis(scenario.run_simulation(scoped, ledger=ledger))
 
 
 @query
 def scenario_by_class(t):
-    return scenario.run_simulation(t.clean, SWEEP, by="class_name")
+    return scenario.run_simulation(t.clean, SWEEP, by="class_name", ledger=t.ledger)
 
 
 @query
 def scenario_by_product(t):
     """Products without an id are a segment too."""
-    return scenario.run_simulation(t.clean, SWEEP[1:2], by="clothing_id")
+    return scenario.run_simulation(t.clean, SWEEP[1:2], by="clothing_id", ledger=t.ledger)
 
 
 @query
 def scenario_same_names(t):
     """Scenarios of one name stay apart; rows are told apart by their figures."""
-    return scenario.run_simulation(t.clean, SAME_NAMES)
+    return scenario.run_simulation(t.clean, SAME_NAMES, ledger=t.ledger)
 
 
 @query
 def scenario_department(t):
-    return scenario.department_simulation(t.clean, SWEEP, MIN_DEPARTMENT)
+    return scenario.department_simulation(t.clean, SWEEP, MIN_DEPARTMENT, ledger=t.ledger)
 
 
 @query
 def scenario_impact(t):
-    return scenario.department_impact(t.clean)
+    return scenario.department_impact(t.clean, ledger=t.ledger)
 
 
 @query
 def scenario_sentiment_comparison(t):
-    return scenario.sentiment_comparison(scenario.run_simulation(t.clean))
+    return scenario.sentiment_comparison(scenario.run_simulation(t.clean, ledger=t.ledger))
 
 
 @query
 def scenario_kpi_change(t):
-    return scenario.kpi_change(scenario.run_simulation(t.clean))
+    return scenario.kpi_change(scenario.run_simulation(t.clean, ledger=t.ledger))
 
 
 @query
 def scenario_movement(t):
-    return scenario.movement_steps(scenario.run_simulation(t.clean))
+    return scenario.movement_steps(scenario.run_simulation(t.clean, ledger=t.ledger))
 
 
 @query
@@ -388,8 +402,8 @@ def insights_customer(t):
 
 @query
 def insights_scenario(t):
-    result = scenario.run_simulation(t.clean)
-    departments = scenario.department_simulation(t.clean)
+    result = scenario.run_simulation(t.clean, ledger=t.ledger)
+    departments = scenario.department_simulation(t.clean, ledger=t.ledger)
     return insights.scenario_insights(result, departments).drop("narrative")
 
 
@@ -405,7 +419,7 @@ def shared_folder(spark: SparkSession, prefix: str) -> str:
     return folder
 
 
-@query
+@writing
 def csv_mixed_files(t):
     """Write CSV files of different column order, one set of them in Latin-1, and load all of them.
 
@@ -423,7 +437,7 @@ def csv_mixed_files(t):
     return loaded.select(ROW_ID, "clothing_id", "rating", "class_name", "title")
 
 
-@query
+@writing
 def csv_quoted_records(t):
     """Write cells full of quotes, delimiters and line ends as CSV, and load them in splits.
 
@@ -442,7 +456,7 @@ def csv_quoted_records(t):
     )
 
 
-@query
+@writing
 def csv_round_trip(t):
     """Write the raw reviews as CSV, load them again, and clean what came back.
 
@@ -457,3 +471,45 @@ def csv_round_trip(t):
         ROW_ID, "rating", "sentiment", "age_band", "has_review_text", "review_length_words",
         "department_name", F.md5("review_text").alias("text_md5"),
     )
+
+
+@writing
+def default_file(t):
+    """Load the usual file of a folder that holds another one, too."""
+    spark = t.raw.sparkSession
+    folder = shared_folder(spark, "exports-")
+    headers = {name: header for header, name in SOURCE_COLUMNS.items()}
+    rows = t.raw.select(F.col(ROW_ID).alias("Key"), "rating", "department_name").withColumnsRenamed(headers)
+    rows.filter("Key % 2 = 0").write.csv(f"{folder}/a.csv", header=True)
+    rows.write.csv(f"{folder}/{DEFAULT_FILE}", header=True)
+    loaded, name = load_default_reviews(spark, folder)
+    return loaded.select(F.col("Key").cast("long").alias("key"), "rating", "department_name", F.lit(name).alias("source"))
+
+
+@writing
+def layer_replaced(t):
+    """A layer of half the reviews; a candidate without ratings, which is refused; then all reviews.
+
+    Reviews per version and department, read from versions one and two.
+    """
+    spark = t.raw.sparkSession
+    path = f"{shared_folder(spark, 'versions-')}/clean"
+    first = write_clean_layer(t.raw.filter(F.col(ROW_ID) % 2 == 0), path)
+    refused, _ = replace_layer(t.raw.drop("rating"), path)
+    second, _ = replace_layer(t.raw, path)
+    counts = [
+        open_clean_layer(spark, path, number).clean.groupBy("department_name").agg(
+            F.lit(number).cast("long").alias("version"), F.lit(refused.number).cast("long").alias("after_refusal"),
+            F.count(F.lit(1)).alias("reviews"), F.count_if("is_duplicate_review_text").alias("repeated"),
+        )
+        for number in (first.number, second.number)
+    ]
+    return counts[0].unionByName(counts[1])
+
+
+@query
+def property_sheet(t):
+    """Sheets of the raw table, and of one with a column too few and one too many."""
+    other = t.raw.drop("age").withColumn("store", F.lit(1))
+    sheets = [schema_check.property_sheet(df, name) for df, name in ((t.raw, "reviews"), (other, "other"))]
+    return sheets[0].withColumn("sheet", F.lit("reviews")).unionByName(sheets[1].withColumn("sheet", F.lit("other")))

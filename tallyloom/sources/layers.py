@@ -3,27 +3,47 @@
 One stored table serves both sides. It has the columns of the clean table plus a marker per
 taxonomy column that was filled, so that the raw table is a projection of it and no text is
 stored twice. The ids of reviews with a repeated text are a narrow table beside it, joined only by
-views that use the flag: texts are written where they are read.
+views that use the flag: texts are written where they are read. A ledger of sums by ranges of ids
+serves scenarios. All of them are committed together as a version of the layer, with the figures
+observed while they were written; readers stay with the version they opened.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from tallyloom.functions.numeric import identifier
 from tallyloom.names import DERIVED_COLUMNS, TAXONOMY_COLUMNS, TEXT_KEY
 from tallyloom.operators.cleaning import clean_rows
 from tallyloom.operators.duplicates import add_flag, repeated_review_rows
+from tallyloom.operators.ledger import Ledger, build_ledger
+from tallyloom.sources.schema_check import SchemaReport, describe_schema
+from tallyloom.sources.versions import Version, VersionedTables
 
 MARKER = "was_missing_"
 
 
-def write_clean_layer(raw: DataFrame, path: str, cluster_by: list[str] | None = None) -> None:
-    """Clean ``raw`` and store it in a new folder (on a cluster, a shared one).
+@dataclass(frozen=True)
+class CleanLayer:
+    """Tables of one version of a layer."""
+
+    version: Version
+    raw: DataFrame
+    clean: DataFrame
+    ledger: Ledger
+
+
+def write_clean_layer(raw: DataFrame, path: str, cluster_by: list[str] | None = None) -> Version:
+    """Clean ``raw`` and commit it as the next version of a layer (on a cluster, in a shared folder).
 
     ``cluster_by`` names columns by which each task sorts its rows, so that filters on them skip
-    row groups; rows stay in their task.
+    row groups; rows stay in their task. Earlier versions stay as they are.
     """
+    spark = raw.sparkSession
+    layer = VersionedTables(spark, path)
+    folder = layer.new_folder()
     markers = {
         f"{MARKER}{c}": F.col(c).isNull() for c in TAXONOMY_COLUMNS if c in raw.columns
     }
@@ -31,15 +51,22 @@ def write_clean_layer(raw: DataFrame, path: str, cluster_by: list[str] | None =
     rows = cleaned.drop(TEXT_KEY)
     if cluster_by:
         rows = rows.sortWithinPartitions(*[F.col(identifier(c)) for c in cluster_by])
-    rows.write.mode("errorifexists").parquet(f"{path}/reviews")
-    repeated_review_rows(cleaned).select("_row").write.mode("errorifexists").parquet(f"{path}/repeated")
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{folder}/reviews")
+    repeated_review_rows(cleaned).select("_row").write.parquet(f"{folder}/repeated")
+    # From what is stored, so that nothing is cleaned twice.
+    ledger = build_ledger(spark.read.parquet(f"{folder}/reviews"))
+    ledger.table.write.parquet(f"{folder}/ledger")
+    notes = {"tables": ["reviews", "repeated", "ledger"], "rows": seen.get["rows"], "cuts": list(ledger.cuts), "ways": ledger.ways}
+    return layer.commit(folder, notes)
 
 
-def read_clean_layer(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The raw and the clean table of a stored layer."""
-    layer = spark.read.parquet(f"{path}/reviews")
+def open_clean_layer(spark: SparkSession, path: str, number: int | None = None) -> CleanLayer:
+    """A version of a stored layer, the latest one by default."""
+    version = VersionedTables(spark, path).version(number)
+    layer = version.table(spark, "reviews")
     # The ids are unique as written; grouping them says so, and lets Spark leave the join out.
-    repeated = spark.read.parquet(f"{path}/repeated").groupBy("_row").agg(F.lit(True).alias("_flag"))
+    repeated = version.table(spark, "repeated").groupBy("_row").agg(F.lit(True).alias("_flag"))
     source = [c for c in layer.columns if not c.startswith(MARKER)]
     present = {"title": "has_title", "review_text": "has_review_text"}
     present |= {c: f"NOT {MARKER}{c}" for c in TAXONOMY_COLUMNS if c in source}
@@ -50,4 +77,23 @@ def read_clean_layer(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
             if c not in DERIVED_COLUMNS
         ]
     )
-    return raw, add_flag(layer.select(*[identifier(c) for c in source]), repeated)
+    clean = add_flag(layer.select(*[identifier(c) for c in source]), repeated)
+    ledger = Ledger(version.table(spark, "ledger"), tuple(version.notes["cuts"]), version.notes["ways"])
+    return CleanLayer(version, raw, clean, ledger)
+
+
+def read_clean_layer(spark: SparkSession, path: str, number: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The raw and the clean table of a stored layer."""
+    layer = open_clean_layer(spark, path, number)
+    return layer.raw, layer.clean
+
+
+def replace_layer(candidate: DataFrame, path: str, cluster_by: list[str] | None = None) -> tuple[Version, SchemaReport]:
+    """Make a typed raw table the layer's next version if it has all required columns, else leave the layer.
+
+    Readers see the old version until the new one is complete. The report says what is missing.
+    """
+    report = describe_schema(candidate)
+    if not report.is_usable:
+        return VersionedTables(candidate.sparkSession, path).version(), report
+    return write_clean_layer(candidate, path, cluster_by), report

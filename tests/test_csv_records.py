@@ -101,7 +101,7 @@ def test_state_of_lines():
     cases = {
         b"": (False, True), b"a,b": (False, True), b'a,"b': (True, False), b'"a""b': (True, True), b'"a"",b': (True, True), b'a"b': (False, False),
         b'"a",b"': (False, True), b'","': (False, True), b'"a"b,"c': (True, True), b'x "" y': (False, True), b'""': (False, True),
-        b'a","b': (False, True), b'","",': (True, False),
+        b'a","b': (True, True), b'","",': (True, False),
     }
     for line, (outside, inside) in cases.items():
         assert csv_records.ends_inside(line, False) == outside, line

@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tallyloom.operators import cleaning, distributions, duplicates, filters, kpis, scenario, segments
 from tallyloom.plans.oracle import ORACLE_SQL
-from tallyloom.plans.queries import QUERIES
-
-WRITES = {"csv_round_trip", "csv_mixed_files", "csv_quoted_records"}
+from tallyloom.plans.queries import QUERIES, WRITES
 
 
 def plan(df) -> str:
@@ -77,6 +75,25 @@ def test_no_text_is_shuffled_for_the_layer(spark, raw, tmp_path):
         assert not any(c in line for line in shuffled for c in ("title#", "review_text#"))
 
 
+SCENARIOS = sorted(n for n in QUERIES if n.startswith("scenario_") or n == "insights_scenario")
+
+
+@pytest.mark.parametrize("name", SCENARIOS)
+def test_scenarios_read_the_ledger(tables, name):
+    """No quantiles are taken; reviews are ranked only where a simulated rating is asked for, and read once for it."""
+    text = plan(QUERIES[name](tables))
+    assert "percentile_approx" not in text
+    counts_only = name in ("scenario_movement", "scenario_sentiment_comparison", "insights_scenario")
+    assert ("row_number" in text) != counts_only
+    reviews = {line for line in re.findall(r"Location: .*", text) if "/reviews" in line}
+    assert len(reviews) == (0 if counts_only else 1)
+
+
+def test_counts_do_not_pay_for_ratings_without_a_ledger(tables):
+    text = plan(scenario.movement_steps(scenario.run_simulation(tables.clean)))
+    assert "row_number" not in text and "percentile_approx" not in text and "Join" not in text
+
+
 @pytest.mark.parametrize("parts", [1, 17])
 def test_results_do_not_depend_on_the_layout(tables, parts):
     moved = tables.clean.repartition(parts, "review_length_words")
