@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, functions as F
 
 from tallyloom.names import AGE_BANDS, RECOMMENDATIONS, SENTIMENTS, UNKNOWN
-from tallyloom.operators.filters import SCOPES, one_of
+from tallyloom.operators.filters import SCOPES, selection
 from tallyloom.operators.shapes import empty, position
 
 ORDERS = {
@@ -25,10 +25,8 @@ def facet_values(
     Departments follow the chosen divisions, classes follow both. Each row yields its facet
     values, which collapse before the shuffle because facets have few values.
     """
-    in_division = one_of("division_name", divisions)
-    in_department = one_of("department_name", departments)
-    in_division = F.lit(True) if in_division is None else in_division
-    in_department = F.lit(True) if in_department is None else in_department
+    in_division = selection(divisions=divisions)
+    in_department = selection(departments=departments)
     offers = {
         "division": F.col("division_name"),
         "department": F.when(in_division, F.col("department_name")),

@@ -21,43 +21,41 @@ SCOPES = {
 }
 
 
-def one_of(column: str, values: Iterable | None) -> Column | None:
-    """Membership test, or None when nothing is selected."""
-    selected = list(values or [])
-    return F.col(column).isin(*selected) if selected else None
-
-
-def mentions(term: str) -> Column | None:
-    """Literal, case-insensitive match in text and title; None for a blank term."""
-    wanted = (term or "").strip().lower()
-    return haystack("review_text", "title").contains(F.lit(wanted)) if wanted else None
-
-
-def selection(
-    divisions: Iterable[str] | None = None,
-    departments: Iterable[str] | None = None,
-    classes: Iterable[str] | None = None,
-    ratings: Iterable[int] | None = None,
-    sentiments: Iterable[str] | None = None,
-    recommendations: Iterable[str] | None = None,
-    age_bands: Iterable[str] | None = None,
-    has_review_text: str = ALL_TEXTS,
-    keyword: str = "",
-) -> Column:
-    """All selections as one predicate; an empty selection means no restriction."""
-    has_text = F.col("has_review_text")
-    parts = [
-        one_of("division_name", divisions),
-        one_of("department_name", departments),
-        one_of("class_name", classes),
-        one_of("sentiment", sentiments),
-        one_of("recommendation_label", recommendations),
-        one_of("age_band", age_bands),
-        one_of("rating", [float(int(r)) for r in ratings or []]),
-        {WITH_TEXT: has_text, WITHOUT_TEXT: ~has_text}.get(has_review_text),
-        mentions(keyword),
-    ]
-    return reduce(and_, [p for p in parts if p is not None], F.lit(True))
+# Selections by name, and the columns whose values they list.
+SELECTABLE = {
+    "divisions": "division_name",
+    "departments": "department_name",
+    "classes": "class_name",
+    "ratings": "rating",
+    "sentiments": "sentiment",
+    "recommendations": "recommendation_label",
+    "age_bands": "age_band",
+}
+
+
+def needle(term: str | None) -> str:
+    """What a search for a term looks for: in small letters, without blanks around; empty for a blank term."""
+    return (term or "").strip().lower()
+
+
+def holds(literal: str) -> Column:
+    """Whether the text and title of a review hold a literal in any spelling of capitals."""
+    return haystack("review_text", "title").contains(F.lit(literal))
+
+
+def selection(has_review_text: str = ALL_TEXTS, keyword: str = "", **chosen: Iterable | None) -> Column:
+    """All selections as one predicate; an empty or missing selection means no restriction."""
+    if unknown := sorted(chosen.keys() - SELECTABLE.keys()):
+        raise TypeError(f"There is no selection {', '.join(unknown)}; known are {', '.join(SELECTABLE)}.")
+    listed = {SELECTABLE[name]: list(values) for name, values in chosen.items() if values is not None}
+    if "rating" in listed:
+        listed["rating"] = [float(int(stars)) for stars in listed["rating"]]
+    parts = [F.col(column).isin(values) for column, values in listed.items() if values]
+    if has_review_text in (WITH_TEXT, WITHOUT_TEXT):
+        parts.append(F.col("has_review_text") == (has_review_text == WITH_TEXT))
+    if literal := needle(keyword):
+        parts.append(holds(literal))
+    return reduce(and_, parts, F.lit(True))
 
 
 def apply_filters(df: DataFrame, **choices) -> DataFrame:
@@ -74,8 +72,8 @@ def scope_size(df: DataFrame, **choices) -> DataFrame:
 
 
 def search_reviews(df: DataFrame, term: str) -> DataFrame:
-    match = mentions(term)
-    return df if match is None else df.filter(match)
+    literal = needle(term)
+    return df.filter(holds(literal)) if literal else df
 
 
 def min_helpful_votes(df: DataFrame, votes: int) -> DataFrame:

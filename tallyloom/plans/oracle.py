@@ -128,6 +128,13 @@ add(
     "keyword_search",
     f"select row_id, title, rating from clean where has_review_text and {TERM.format('blue')}",
 )
+add(
+    "keyword_search_indexed",
+    " union all ".join(
+        f"select '{term}' as term, row_id, title, rating from clean where has_review_text and {TERM.format(term.strip().lower())}"
+        for term in (" Blue ", "#1203")
+    ),
+)
 add(
     "filtered_reviews_text",
     "select row_id, department_name, class_name from clean where department_name in ('BUILDING', 'MACHINERY') "

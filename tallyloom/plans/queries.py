@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -513,3 +513,16 @@ def property_sheet(t):
     other = t.raw.drop("age").withColumn("store", F.lit(1))
     sheets = [schema_check.property_sheet(df, name) for df, name in ((t.raw, "reviews"), (other, "other"))]
     return sheets[0].withColumn("sheet", F.lit("reviews")).unionByName(sheets[1].withColumn("sheet", F.lit("other")))
+
+
+@writing
+def keyword_search_indexed(t):
+    """Two terms looked up in the index of a layer, then searched for in the files that can hold them."""
+    spark = t.raw.sparkSession
+    path = f"{shared_folder(spark, 'search-')}/clean"
+    write_clean_layer(t.raw, path, cluster_by=[ROW_ID], search_index=True, file_rows=2_000)
+    layer = open_clean_layer(spark, path)
+    return reduce(DataFrame.unionByName, [
+        layer.search(term).filter("has_review_text").select(F.lit(term).alias("term"), ROW_ID, "title", "rating")
+        for term in (" Blue ", "#1203")
+    ])

@@ -18,8 +18,10 @@ from tallyloom.functions.numeric import identifier
 from tallyloom.names import DERIVED_COLUMNS, TAXONOMY_COLUMNS, TEXT_KEY
 from tallyloom.operators.cleaning import clean_rows
 from tallyloom.operators.duplicates import add_flag, repeated_review_rows
+from tallyloom.operators.filters import needle, search_reviews
 from tallyloom.operators.ledger import Ledger, build_ledger
 from tallyloom.sources.schema_check import SchemaReport, describe_schema
+from tallyloom.sources.search_index import SearchIndex, write_search_index
 from tallyloom.sources.versions import Version, VersionedTables
 
 MARKER = "was_missing_"
@@ -33,13 +35,28 @@ class CleanLayer:
     raw: DataFrame
     clean: DataFrame
     ledger: Ledger
-
-
-def write_clean_layer(raw: DataFrame, path: str, cluster_by: list[str] | None = None) -> Version:
+    index: SearchIndex | None = None
+
+    def search(self, term: str) -> DataFrame:
+        """The clean reviews that mention a term, read from those files only that can hold it."""
+        files = self.index.files(literal) if self.index and (literal := needle(term)) else None
+        if files is None:
+            return search_reviews(self.clean, term)
+        spark = self.raw.sparkSession
+        if not files:
+            return self.clean.filter(F.lit(False))
+        stored = spark.read.schema(self.version.table(spark, "reviews").schema)
+        return search_reviews(_views(self.version, stored.parquet(*[f"{self.version.folder}/reviews/{f}" for f in files]))[1], term)
+
+
+def write_clean_layer(
+    raw: DataFrame, path: str, cluster_by: list[str] | None = None, search_index: bool = False, file_rows: int = 0
+) -> Version:
     """Clean ``raw`` and commit it as the next version of a layer (on a cluster, in a shared folder).
 
     ``cluster_by`` names columns by which each task sorts its rows, so that filters on them skip
-    row groups; rows stay in their task. Earlier versions stay as they are.
+    row groups; rows stay in their task. ``search_index`` adds an index of the texts, which tells
+    files apart; ``file_rows`` bounds the reviews of a file. Earlier versions stay as they are.
     """
     spark = raw.sparkSession
     layer = VersionedTables(spark, path)
@@ -52,21 +69,22 @@ def write_clean_layer(raw: DataFrame, path: str, cluster_by: list[str] | None =
     if cluster_by:
         rows = rows.sortWithinPartitions(*[F.col(identifier(c)) for c in cluster_by])
     seen = Observation()
-    rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{folder}/reviews")
+    writer = rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("maxRecordsPerFile", file_rows)
+    writer.parquet(f"{folder}/reviews")
     repeated_review_rows(cleaned).select("_row").write.parquet(f"{folder}/repeated")
     # From what is stored, so that nothing is cleaned twice.
     ledger = build_ledger(spark.read.parquet(f"{folder}/reviews"))
     ledger.table.write.parquet(f"{folder}/ledger")
-    notes = {"tables": ["reviews", "repeated", "ledger"], "rows": seen.get["rows"], "cuts": list(ledger.cuts), "ways": ledger.ways}
+    if search_index:
+        write_search_index(spark, f"{folder}/reviews", f"{folder}/search")
+    notes = {"search_index": search_index, "tables": ["reviews", "repeated", "ledger"], "rows": seen.get["rows"], "cuts": list(ledger.cuts), "ways": ledger.ways}
     return layer.commit(folder, notes)
 
 
-def open_clean_layer(spark: SparkSession, path: str, number: int | None = None) -> CleanLayer:
-    """A version of a stored layer, the latest one by default."""
-    version = VersionedTables(spark, path).version(number)
-    layer = version.table(spark, "reviews")
+def _views(version: Version, layer: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The raw and the clean table of stored reviews, all of a version's or some of its files."""
     # The ids are unique as written; grouping them says so, and lets Spark leave the join out.
-    repeated = version.table(spark, "repeated").groupBy("_row").agg(F.lit(True).alias("_flag"))
+    repeated = version.table(layer.sparkSession, "repeated").groupBy("_row").agg(F.lit(True).alias("_flag"))
     source = [c for c in layer.columns if not c.startswith(MARKER)]
     present = {"title": "has_title", "review_text": "has_review_text"}
     present |= {c: f"NOT {MARKER}{c}" for c in TAXONOMY_COLUMNS if c in source}
@@ -77,9 +95,16 @@ def open_clean_layer(spark: SparkSession, path: str, number: int | None = None)
             if c not in DERIVED_COLUMNS
         ]
     )
-    clean = add_flag(layer.select(*[identifier(c) for c in source]), repeated)
+    return raw, add_flag(layer.select(*[identifier(c) for c in source]), repeated)
+
+
+def open_clean_layer(spark: SparkSession, path: str, number: int | None = None) -> CleanLayer:
+    """A version of a stored layer, the latest one by default."""
+    version = VersionedTables(spark, path).version(number)
+    raw, clean = _views(version, version.table(spark, "reviews"))
     ledger = Ledger(version.table(spark, "ledger"), tuple(version.notes["cuts"]), version.notes["ways"])
-    return CleanLayer(version, raw, clean, ledger)
+    index = SearchIndex(spark, f"{version.folder}/search") if version.notes.get("search_index") else None
+    return CleanLayer(version, raw, clean, ledger, index)
 
 
 def read_clean_layer(spark: SparkSession, path: str, number: int | None = None) -> tuple[DataFrame, DataFrame]:
