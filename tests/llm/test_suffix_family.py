@@ -119,19 +119,31 @@ def test_equal_strings_have_equal_beginnings(monkeypatch, piece, run):
 def test_levels_grow_geometrically(spark):
     rng = random.Random(6)
     texts = ["".join(rng.choice("abcdef") for _ in range(200)) for _ in range(7)]
-    family = SuffixFamily()
-    sizes, met = [], []
+    family = SuffixFamily(bits=2)
+    sizes, removed = [], []
     for i, text in enumerate(texts):
-        docs = spark.createDataFrame([(2 * i, text), (2 * i + 1, texts[i // 2] if i else "short")], "doc_id long, text string")
-        met.append(family.add(docs).count())
+        batch = spark.createDataFrame([(2 * i, 0, text), (2 * i + 1, 0, texts[i // 2] if i else "short")], "id long, tag long, text string")
+        found = family.add(batch)
+        hits = suffix_family._flat(found[suffix_family.HITS], "id", "n").collect()
+        assert {r.id for r in hits} <= {2 * i + 1} and found[suffix_family.UNDECIDED].count() == 0
+        removed.append(sum(r.n for r in hits))
         sizes.append([size for size, _ in family.levels])
     assert sizes == [[1], [2], [2, 1], [4], [4, 1], [4, 2], [4, 2, 1]]
-    # Every batch but the first repeats an earlier text; nothing else is shared.
-    entries = [len(set(suffix_family._suffixes(pa.array([t]))["key"])) for t in texts]
-    assert met == [0] + [entries[i // 2] for i in range(1, 7)]
+    # Every batch but the first repeats an earlier text, with 151 strings.
+    assert removed == [0] + [151] * 6
+    keys = [k for _, level in family.levels for row in level.collect() for k in suffix_family._opened(row.asDict())["key"].tolist()]
+    assert len(keys) == len(set(keys)) == sum(len(set(suffix_family._suffixes(pa.array([t]))["key"])) for t in texts)
     family.drop()
 
 
+def test_packed_numbers():
+    values = np.array([0, 1, -1, 1 << 62, -(1 << 63), 255, 256])
+    entries = {f: values >> i for i, f in enumerate(suffix_family.FIELDS)} | {"tag": values * 0}
+    row = suffix_family._row(1, 0, entries)
+    assert (row["shard"], row["what"], row["n"]) == (1, 0, 7)
+    assert all((x == entries[f]).all() for f, x in suffix_family._opened(row).items())
+
+
 def test_smallest_of_neighbours():
     values = np.random.default_rng(1).integers(0, 1 << 60, 200)
     for width in (1, 2, 3, 8, 27):
