@@ -11,22 +11,35 @@ from tallyloom.names import ROW_ID, TEXT_KEY, TEXT_PLACEHOLDER
 FLAG = "is_duplicate_review_text"
 
 
-def repeated_review_rows(df: DataFrame) -> DataFrame:
-    """``row_id`` of the reviews with a text that another review has too, each id once.
-
-    Occurrences are counted per digest, with partial counts before the shuffle. Only ids and
-    digests go back to the rows. A digest with more rows than an even share of a shuffle partition
-    is looked up by broadcast; there are fewer of those than the session has shuffle partitions.
-    All others are joined by digest, so no task gets much more than its share.
-    """
+def _keyed(df: DataFrame) -> DataFrame:
+    """``row_id``, ``has_review_text`` and digest; a review without a text has the placeholder's."""
     if TEXT_KEY in df.columns:
         # A stored digest is NULL where there was no text; that stands for the placeholder.
         key = F.coalesce(TEXT_KEY, text_key(F.lit(TEXT_PLACEHOLDER)))
     else:
         key = text_key("review_text")
     # A digest is never NULL. Saying so makes the uses of the counts the same plan, run once.
-    keyed = df.select(ROW_ID, "has_review_text", key.alias("_key")).filter("_key IS NOT NULL")
-    counts = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    return df.select(ROW_ID, "has_review_text", key.alias("_key")).filter("_key IS NOT NULL")
+
+
+def digest_counts(df: DataFrame) -> DataFrame:
+    """Per digest the number of reviews, and the smallest id of those with a text."""
+    own = F.when(F.col("has_review_text"), F.col(ROW_ID))
+    return _keyed(df).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min(own).alias("_one"))
+
+
+def repeated_review_rows(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """``row_id`` of the reviews with a text that another review has too, each id once.
+
+    Occurrences are counted per digest, with partial counts before the shuffle, unless ``counts``
+    (``_key``, ``_n``) has them. Only ids and digests go back to the rows. A digest with more rows
+    than an even share of a shuffle partition is looked up by broadcast; there are fewer of those
+    than the session has shuffle partitions. All others are joined by digest, so no task gets much
+    more than its share.
+    """
+    keyed = _keyed(df)
+    if counts is None:
+        counts = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
     repeated = counts.filter("_n > 1")
     share = counts.agg(F.sum("_n").alias("rows")).scalar()
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

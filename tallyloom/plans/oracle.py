@@ -117,6 +117,19 @@ add(
     "select row_id, md5(title) as title_md5, md5(review_text) as text_md5, review_length_words, "
     "title_length_words, has_review_text, has_title from clean",
 )
+add(
+    "stored_sketches",
+    """
+    select department_name as department, x.m as measure, x.n as n, true as within from (
+        select department_name, unnest([
+            {'m': 'rating', 'n': count(rating)}, {'m': 'age', 'n': count(age)},
+            {'m': 'positive_feedback_count', 'n': count(positive_feedback_count)},
+            {'m': 'review_length_words', 'n': count(*) filter (has_review_text)},
+            {'m': 'products', 'n': count(distinct clothing_id)}
+        ]) as x from clean group by department_name)
+    """,
+)
+add("layer_appended", "select row_id, department_name, sentiment from clean where is_duplicate_review_text")
 add("duplicate_review_flags", "select row_id, department_name from clean where is_duplicate_review_text")
 add(
     "displayable_reviews",

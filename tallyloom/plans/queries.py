@@ -25,12 +25,13 @@ from tallyloom.operators import (
     quality,
     scenario,
     segments,
+    sketches,
     validation,
 )
 from tallyloom.operators.ledger import Ledger
 from tallyloom.plans.settings import CHOICES, EXPECTED, MIN_CLASS, MIN_DEPARTMENT, SAME_NAMES, SWEEP
 from tallyloom.sources.coerce import coerce_types
-from tallyloom.sources.layers import CleanLayer, open_clean_layer, replace_layer, write_clean_layer
+from tallyloom.sources.layers import CleanLayer, append_reviews, open_clean_layer, replace_layer, write_clean_layer
 from tallyloom.sources import schema_check
 from tallyloom.sources.readers import DEFAULT_FILE, load_default_reviews, load_reviews, read_csv
 from tallyloom.sources.schema_check import DatasetError
@@ -526,3 +527,44 @@ def keyword_search_indexed(t):
         layer.search(term).filter("has_review_text").select(F.lit(term).alias("term"), ROW_ID, "title", "rating")
         for term in (" Blue ", "#1203")
     ])
+
+
+@writing
+def layer_appended(t):
+    """A layer of two thirds of the reviews and an appended third: repeated texts among all of them."""
+    spark = t.raw.sparkSession
+    path = f"{shared_folder(spark, 'appended-')}/clean"
+    third = F.pmod(F.col(ROW_ID), F.lit(3)) == 1
+    write_clean_layer(t.raw.filter(~third), path)
+    version = append_reviews(t.raw.filter(third), path)
+    clean = open_clean_layer(spark, path, version.number).clean
+    return clean.filter("is_duplicate_review_text").select(ROW_ID, "department_name", "sentiment")
+
+
+@writing
+def stored_sketches(t):
+    """Medians and distinct products of departments from the sketches of a layer in two parts, held against the reviews.
+
+    ``within`` tells whether the estimate keeps to its bound; for distinct counts, four standard errors.
+    """
+    spark = t.raw.sparkSession
+    path = f"{shared_folder(spark, 'sketches-')}/clean"
+    half = F.col(ROW_ID) % 2 == 0
+    write_clean_layer(t.raw.filter(half), path, sketches=True)
+    append_reviews(t.raw.filter(~half), path)
+    layer = open_clean_layer(spark, path)
+    by = "department_name"
+    medians = sketches.estimated_quantiles(layer.sketches, (0.5,), by)
+    cells = layer.clean.select(F.col(by).alias("department"), F.inline(F.array(*[
+        F.struct(F.lit(m).alias("name"), value(m).cast("double").alias("x")) for m, value in sketches.MEASURES.items()
+    ])))
+    held = cells.join(F.broadcast(medians), (F.col("department") == F.col("segment")) & (F.col("name") == F.col("measure")))
+    e = sketches.RANK_ERROR
+    kept = held.groupBy("department", "measure", "n").agg(
+        F.expr(f"count_if(x < q1) <= n * {0.5 + e!r}D AND count_if(x <= q1) >= n * {0.5 - e!r}D").alias("within")
+    )
+    products = sketches.estimated_distinct(layer.sketches, by=by)
+    exact = layer.clean.groupBy(F.col(by).alias("department")).agg(F.count_distinct("clothing_id").alias("n"))
+    close = F.abs(F.col("distinct_values") - F.col("n")) <= F.greatest(F.lit(1.0), 4 * sketches.DISTINCT_ERROR * F.col("n"))
+    counted = exact.join(products, F.col("department") == F.col("segment")).select("department", F.lit("products").alias("measure"), "n", close.alias("within"))
+    return kept.unionByName(counted)

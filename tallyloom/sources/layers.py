@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from tallyloom.functions.numeric import identifier
 from tallyloom.names import DERIVED_COLUMNS, TAXONOMY_COLUMNS, TEXT_KEY
 from tallyloom.operators.cleaning import clean_rows
-from tallyloom.operators.duplicates import add_flag, repeated_review_rows
+from tallyloom.operators.duplicates import add_flag, digest_counts, repeated_review_rows
 from tallyloom.operators.filters import needle, search_reviews
 from tallyloom.operators.ledger import Ledger, build_ledger
-from tallyloom.sources.schema_check import SchemaReport, describe_schema
+from tallyloom.operators.sketches import build_sketches
+from tallyloom.sources.digests import merge_digests, open_digests, write_digests
+from tallyloom.sources.schema_check import DatasetError, SchemaReport, describe_schema
 from tallyloom.sources.search_index import SearchIndex, write_search_index
 from tallyloom.sources.versions import Version, VersionedTables
 
@@ -35,32 +37,65 @@ class CleanLayer:
     raw: DataFrame
     clean: DataFrame
     ledger: Ledger
-    index: SearchIndex | None = None
+    #: One index per part, if the layer is indexed.
+    indexes: tuple[SearchIndex, ...] = ()
+
+    @property
+    def sketches(self) -> DataFrame:
+        """Sketches of all parts; cells of several parts come several times, and merge."""
+        return self.version.table(self.raw.sparkSession, "sketches")
 
     def search(self, term: str) -> DataFrame:
         """The clean reviews that mention a term, read from those files only that can hold it."""
-        files = self.index.files(literal) if self.index and (literal := needle(term)) else None
-        if files is None:
+        literal = needle(term)
+        found = [index.files(literal) for index in self.indexes] if literal else []
+        if not found or None in found:
             return search_reviews(self.clean, term)
-        spark = self.raw.sparkSession
+        files = [f for part in found for f in part]
         if not files:
             return self.clean.filter(F.lit(False))
-        stored = spark.read.schema(self.version.table(spark, "reviews").schema)
-        return search_reviews(_views(self.version, stored.parquet(*[f"{self.version.folder}/reviews/{f}" for f in files]))[1], term)
+        spark = self.raw.sparkSession
+        stored = spark.read.schema(self.version.table(spark, "reviews").schema).parquet(*files)
+        return search_reviews(_views(self.version, stored)[1], term)
 
 
 def write_clean_layer(
-    raw: DataFrame, path: str, cluster_by: list[str] | None = None, search_index: bool = False, file_rows: int = 0
+    raw: DataFrame, path: str, cluster_by: list[str] | None = None, search_index: bool = False, file_rows: int = 0,
+    sketches: bool = False,
 ) -> Version:
     """Clean ``raw`` and commit it as the next version of a layer (on a cluster, in a shared folder).
 
     ``cluster_by`` names columns by which each task sorts its rows, so that filters on them skip
     row groups; rows stay in their task. ``search_index`` adds an index of the texts, which tells
-    files apart; ``file_rows`` bounds the reviews of a file. Earlier versions stay as they are.
+    files apart; ``file_rows`` bounds the reviews of a file; ``sketches`` adds a table of mergeable
+    sketches for estimated quantiles and distinct counts. Earlier versions stay as they are.
+    """
+    buckets = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _write_version(raw, path, cluster_by, {
+        "search_index": search_index, "file_rows": file_rows, "sketches": sketches, "buckets": buckets
+    }, None)
+
+
+def append_reviews(raw: DataFrame, path: str, cluster_by: list[str] | None = None) -> Version:
+    """Commit a version with further reviews, whose ids must be new, besides those of the latest one.
+
+    Stored reviews stay where they are. Repeated texts are found by digest: those of the new
+    reviews are joined with the stored ones bucket by bucket, and earlier reviews that get their
+    first double are flagged in the new version only. The ledger is made anew from narrow columns.
     """
+    report = describe_schema(raw)
+    if not report.is_usable:
+        raise DatasetError(f"Required columns not found: {', '.join(report.missing_required)}.")
+    latest = VersionedTables(raw.sparkSession, path).version()
+    return _write_version(raw, path, cluster_by, {k: latest.notes[k] for k in ("search_index", "file_rows", "sketches", "buckets")}, latest)
+
+
+def _write_version(raw: DataFrame, path: str, cluster_by: list[str] | None, choices: dict, latest: Version | None) -> Version:
+    """Write a part with all tables, and commit it, behind the parts of an earlier version if there is one."""
     spark = raw.sparkSession
     layer = VersionedTables(spark, path)
     folder = layer.new_folder()
+    earlier = latest.parts if latest else []
     markers = {
         f"{MARKER}{c}": F.col(c).isNull() for c in TAXONOMY_COLUMNS if c in raw.columns
     }
@@ -69,16 +104,31 @@ def write_clean_layer(
     if cluster_by:
         rows = rows.sortWithinPartitions(*[F.col(identifier(c)) for c in cluster_by])
     seen = Observation()
-    writer = rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("maxRecordsPerFile", file_rows)
+    writer = rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("maxRecordsPerFile", choices["file_rows"])
     writer.parquet(f"{folder}/reviews")
-    repeated_review_rows(cleaned).select("_row").write.parquet(f"{folder}/repeated")
+    buckets = choices["buckets"]
+    write_digests(digest_counts(cleaned), f"{folder}/digests", buckets)
+    counts = open_digests(spark, f"{folder}/digests", buckets)
+    if earlier:
+        counts, doubled = merge_digests(counts, [open_digests(spark, f"{part}/digests", buckets) for part in earlier])
+        repeated = repeated_review_rows(cleaned, counts).select("_row").union(doubled)
+    else:
+        repeated = repeated_review_rows(cleaned, counts).select("_row")
+    repeated.write.parquet(f"{folder}/repeated")
     # From what is stored, so that nothing is cleaned twice.
-    ledger = build_ledger(spark.read.parquet(f"{folder}/reviews"))
+    stored = [f"{part}/reviews" for part in (*earlier, folder)]
+    ledger = build_ledger(spark.read.option("mergeSchema", len(stored) > 1).parquet(*stored))
     ledger.table.write.parquet(f"{folder}/ledger")
-    if search_index:
+    if choices["search_index"]:
         write_search_index(spark, f"{folder}/reviews", f"{folder}/search")
-    notes = {"search_index": search_index, "tables": ["reviews", "repeated", "ledger"], "rows": seen.get["rows"], "cuts": list(ledger.cuts), "ways": ledger.ways}
-    return layer.commit(folder, notes)
+    tables = ["reviews", "repeated", "digests", "ledger"]
+    if choices["sketches"]:
+        build_sketches(spark.read.parquet(f"{folder}/reviews")).write.parquet(f"{folder}/sketches")
+        tables.append("sketches")
+    return layer.commit(folder, {
+        **choices, "tables": tables, "earlier": [part.rsplit("/", 1)[1] for part in earlier],
+        "rows": seen.get["rows"] + (latest.notes["rows"] if latest else 0), "cuts": list(ledger.cuts), "ways": ledger.ways,
+    })
 
 
 def _views(version: Version, layer: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -102,9 +152,10 @@ def open_clean_layer(spark: SparkSession, path: str, number: int | None = None)
     """A version of a stored layer, the latest one by default."""
     version = VersionedTables(spark, path).version(number)
     raw, clean = _views(version, version.table(spark, "reviews"))
-    ledger = Ledger(version.table(spark, "ledger"), tuple(version.notes["cuts"]), version.notes["ways"])
-    index = SearchIndex(spark, f"{version.folder}/search") if version.notes.get("search_index") else None
-    return CleanLayer(version, raw, clean, ledger, index)
+    ledger = Ledger(version.table(spark, "ledger", own=True), tuple(version.notes["cuts"]), version.notes["ways"])
+    indexed = version.parts if version.notes["search_index"] else []
+    indexes = tuple(SearchIndex(spark, f"{part}/search", f"{part}/reviews") for part in indexed)
+    return CleanLayer(version, raw, clean, ledger, indexes)
 
 
 def read_clean_layer(spark: SparkSession, path: str, number: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -92,9 +92,10 @@ def write_search_index(spark: SparkSession, reviews: str, folder: str) -> None:
 class SearchIndex:
     spark: SparkSession
     folder: str
+    reviews: str
 
     def files(self, term: str) -> list[str] | None:
-        """Names of the files that can hold a lower-case term, or None if it is too short to tell.
+        """Paths of the files that can hold a lower-case term, or None if it is too short to tell.
 
         To the driver come one bit per granule and trigram of the term, and names of files.
         """
@@ -115,4 +116,5 @@ class SearchIndex:
             return []
         granules = self.spark.read.parquet(f"{self.folder}/granules")
         wanted = self.spark.createDataFrame([(h,) for h in hits], "granule long")
-        return sorted(r["name"] for r in granules.join(wanted, "granule").select("name").distinct().collect())
+        names = granules.join(wanted, "granule").select("name").distinct().collect()
+        return sorted(f"{self.reviews}/{r['name']}" for r in names)

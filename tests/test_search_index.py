@@ -40,11 +40,11 @@ def test_files_without_the_term_are_not_read(layer):
     assert len(opened("needle")) == 1 and layer.search("needle").count() == 1
     assert opened("absent words") in (set(), opened(""))
     assert len(opened("title")) >= 10
-    assert layer.index.files("absent words") == [] and layer.index.files("ab") is None
+    assert layer.indexes[0].files("absent words") == [] and layer.indexes[0].files("ab") is None
 
 
 def test_layers_without_an_index_are_searched_whole(spark, raw, tmp_path):
     path = str(tmp_path / "plain")
     write_clean_layer(raw({"review_text": "findable"}, {"review_text": "other"}), path)
     opened = open_clean_layer(spark, path)
-    assert opened.index is None and opened.search("findable").count() == 1
+    assert opened.indexes == () and opened.search("findable").count() == 1

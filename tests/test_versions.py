@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import kpis, scenario
 from tallyloom.sources import layers
-from tallyloom.sources.layers import open_clean_layer, read_clean_layer, replace_layer, write_clean_layer
+from tallyloom.sources.digests import merge_digests, open_digests
+from tallyloom.sources.layers import append_reviews, open_clean_layer, read_clean_layer, replace_layer, write_clean_layer
 from tallyloom.sources.schema_check import DatasetError
 from tallyloom.sources.versions import VersionedTables
 
@@ -21,7 +22,7 @@ sys.path.insert(0, {root!r})
 from pyspark.sql import SparkSession
 from tallyloom.sources import layers
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
-layers.repeated_review_rows = lambda df: os._exit(9)
+layers.repeated_review_rows = lambda *a: os._exit(9)
 layers.write_clean_layer(spark.read.parquet({raw!r}), {path!r})
 """
 
@@ -102,3 +103,51 @@ def test_views_of_a_layer_equal_those_of_its_reviews(spark, tables):
     scoped = tables.clean.filter(F.col("division_name").isin(labels))
     ledger = tables.ledger.scoped("division_name", labels)
     assert scenario.run_simulation(scoped, ledger=ledger).collect() == scenario.run_simulation(scoped).collect()
+
+
+def batches(raw, parts=3):
+    """Reviews with repeated, missing and placeholder texts, dealt into parts."""
+    texts = ["one", "Two ", " two", None, "No Review Text", "three", "THREE", None, "four", "five", "one", "six", "four", "  ", "no review text"]
+    rows = [{"row_id": 10 * i, "review_text": t, "rating": float(1 + i % 5), "department_name": "PQ"[i % 2]} for i, t in enumerate(texts)]
+    return raw(*rows), [raw(*rows[i::parts]) for i in range(parts)]
+
+
+def test_appended_batches_equal_one_layer(spark, raw, tmp_path):
+    whole, parts = batches(raw)
+    write_clean_layer(whole, str(tmp_path / "one"))
+    one = open_clean_layer(spark, str(tmp_path / "one"))
+    path = str(tmp_path / "parts")
+    write_clean_layer(parts[0], path, search_index=True)
+    for part in parts[1:]:
+        append_reviews(part, path)
+    many = open_clean_layer(spark, path)
+    assert many.version.number == 3 and many.version.notes["rows"] == 15
+    for a, b in ((one.clean, many.clean), (one.raw, many.raw)):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+    for by in (None, "department_name"):
+        pairs = [sorted(map(str, scenario.run_simulation(x.clean, by=by, ledger=x.ledger).collect())) for x in (one, many)]
+        assert pairs[0] == pairs[1]
+    assert ids(many.search("three")) == [50, 60] and ids(many.search("fo")) == [80, 120]
+    # Versions before are as they were: the first batch has doubles of its own only.
+    assert ids(open_clean_layer(spark, path, 1).clean.filter("is_duplicate_review_text")) == []
+    with pytest.raises(DatasetError):
+        append_reviews(parts[0].drop("rating"), path)
+    VersionedTables(spark, path).expire(keep=1)
+    assert sorted(map(str, open_clean_layer(spark, path).clean.collect())) == sorted(map(str, many.clean.collect()))
+
+
+def test_stored_digests_are_not_shuffled(spark, raw, tmp_path):
+    _, parts = batches(raw)
+    path = str(tmp_path / "layer")
+    write_clean_layer(parts[0], path)
+    append_reviews(parts[1], path)
+    tables = [open_digests(spark, f"{folder}/digests", 4) for folder in open_clean_layer(spark, path).version.parts]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for df in merge_digests(tables[1], tables[:1]):
+            df.collect()
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
