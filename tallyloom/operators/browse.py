@@ -26,7 +26,7 @@ def display_reviews(df: DataFrame, *extra: str) -> DataFrame:
     )
 
 
-def _sort_key(sort: str) -> tuple[str, list[Column]]:
+def sort_key(sort: str) -> tuple[str, list[Column]]:
     column, ascending = SORTS[sort]
     key = F.asc_nulls_last(column) if ascending else F.desc_nulls_last(column)
     return column, [key, F.asc(ROW_ID)]
@@ -60,17 +60,18 @@ def matching_reviews(
 
 def sorted_reviews(matches: DataFrame, sort: str = DEFAULT_SORT) -> DataFrame:
     """All matches in browsing order, missing values last (range-partitioned sort)."""
-    return display_reviews(matches.orderBy(*_sort_key(sort)[1]), ROW_ID)
+    return display_reviews(matches.orderBy(*sort_key(sort)[1]), ROW_ID)
 
 
 def review_page(matches: DataFrame, page: int = 1, size: int = 25, sort: str = DEFAULT_SORT) -> DataFrame:
     """Rows of one page with their position among all matches.
 
     Meant for the first pages: each task keeps ``page * size`` rows. To go further, continue
-    behind the last row of a page with :func:`review_page_after`.
+    behind the last row of a page with :func:`review_page_after`, or read any page through an
+    index (:mod:`tallyloom.operators.paging`).
     """
     start = (page - 1) * size
-    order = _sort_key(sort)[1]
+    order = sort_key(sort)[1]
     rows = matches.orderBy(*order).offset(start).limit(size)
     placed = rows.withColumn("position", F.row_number().over(Window.orderBy(*order)) + start)
     return display_reviews(placed, "position", ROW_ID).orderBy("position")
@@ -83,7 +84,7 @@ def review_page_after(
 
     The cost does not grow with the depth of the page.
     """
-    column, order = _sort_key(sort)
+    column, order = sort_key(sort)
     value = last[column] if column in last else last[REVIEW_LIST.get(column, column)]
     key, row = F.col(column), F.col(ROW_ID) > last[ROW_ID]
     if value is None:

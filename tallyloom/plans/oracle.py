@@ -129,6 +129,24 @@ add(
         ]) as x from clean group by department_name)
     """,
 )
+ORDERS = {
+    "Helpful votes (high to low)": "positive_feedback_count desc", "Rating (low to high)": "rating", "Rating (high to low)": "rating desc",
+    "Review length (long to short)": "review_length_words desc", "Age (young to old)": "age", "Clothing ID": "clothing_id",
+}
+add(
+    "review_pages_sorted",
+    " union all ".join(
+        f"select * from (select '{name}' as sort, row_number() over (order by {order} nulls last, row_id) as position, row_id "
+        "from clean where has_review_text and coalesce(positive_feedback_count, 0) >= 2) where position between 51 and 75"
+        for name, order in ORDERS.items()
+    ),
+)
+add(
+    "review_page_deep",
+    "select position, row_id from (select row_number() over (order by rating desc nulls last, row_id) as position, row_id, "
+    "greatest(1, count(*) over () // 25) as page from clean where has_review_text) "
+    "where position between (page - 1) * 25 + 1 and page * 25",
+)
 add("layer_appended", "select row_id, department_name, sentiment from clean where is_duplicate_review_text")
 add("duplicate_review_flags", "select row_id, department_name from clean where is_duplicate_review_text")
 add(

@@ -22,6 +22,7 @@ from tallyloom.operators import (
     filters,
     insights,
     kpis,
+    paging,
     quality,
     scenario,
     segments,
@@ -321,6 +322,24 @@ def review_page_after(t):
     return browse.review_page_after(matches, last, 25, "Rating (high to low)")
 
 
+@query
+def review_pages_sorted(t):
+    """The third page in each of the six orders, through an index of the list."""
+    matches = browse.matching_reviews(t.clean, min_votes=2)
+    return reduce(DataFrame.unionByName, [
+        paging.build_page_index(matches, sort).page(matches, 3).select(F.lit(sort).alias("sort"), "position", ROW_ID)
+        for sort in browse.SORTS
+    ])
+
+
+@query
+def review_page_deep(t):
+    """The last full page of all reviews with a text, by rating."""
+    matches = browse.matching_reviews(t.clean)
+    index = paging.build_page_index(matches, "Rating (high to low)")
+    return index.page(matches, max(1, index.matches // 25)).select("position", ROW_ID)
+
+
 @query
 def page_summary(t):
     return browse.page_summary(browse.matching_reviews(t.clean, "the", min_votes=2), page=3)
