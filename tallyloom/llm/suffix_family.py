@@ -18,8 +18,8 @@ fingerprint of its context, that is, of all strings it stands for in a row, and
    rest is compared string by string in a dense array of all its suffixes, dealt to shards alike.
 
 However many documents share a beginning, a task gets it at most once from each slice of texts:
-what a slice can tell by itself passes the others by. Fingerprints have 64 bits; entries are equal
-if those of key and context are, that is, by 128 bits, and strings by 96 bits of their own.
+what a slice can tell by itself passes the others by. Entries are equal if the fingerprints of
+key and context are, that is, by 104 bits; strings are by 96 bits of their own.
 """
 
 from __future__ import annotations
@@ -40,7 +40,9 @@ BATCHES = 4
 #: Entries of a shard, about; bytes of text for which there is one entry, about.
 SHARD, BYTES_AN_ENTRY = 1 << 17, 15
 #: Bytes whose suffixes are worked out at a time, and most strings that one entry stands for.
-PIECE, RUN = 1 << 19, 60
+PIECE, RUN = 1 << 18, 60
+#: Bits kept of a context's fingerprint, beside the 64 of the key.
+CONTEXT_BITS = 40
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -126,7 +128,9 @@ def _suffixes(column: pa.Array) -> dict[str, np.ndarray]:
         cuts = (n + RUN - 1) // RUN
         inside = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
         first, n = np.repeat(first, cuts) + inside * RUN, np.minimum(np.repeat(n, cuts) - inside * RUN, RUN)
-        parts.append((row[first], first + base - offsets[row[first]], n, lowest[first], prints.of(first, first + n - 1 + LENGTH)))
+        context = prints.of(first, first + n - 1 + LENGTH) >> np.uint64(64 - CONTEXT_BITS)
+        # The smallest of many fingerprints are small numbers; mixed again they spread over all shards.
+        parts.append((row[first], first + base - offsets[row[first]], n, _mixed(lowest[first]), context))
     names = ("row", "start", "n", "key", "context")
     if not parts:
         return {name: np.zeros(0, dtype=np.int64) for name in names}
