@@ -299,7 +299,7 @@ def read_records(spark: SparkSession, path: str, files: CsvFiles, options: dict)
     """
     for header in files.headers[1:]:
         if not set(header) & set(files.headers[0]):
-            raise DatasetError(f"A file with the columns {', '.join(header)} has none of {', '.join(files.headers[0])}.")
+            raise DatasetError(f"A file with {', '.join(header)} has none of the columns {', '.join(files.headers[0])}.")
     width = max(map(len, files.headers), default=0)
     if not width:
         raise DatasetError(f"There is no record at {path}.")
