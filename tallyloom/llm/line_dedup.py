@@ -1,20 +1,29 @@
-"""Removal of repeated passages by windows of lines.
+"""Removal of repeated passages by content-defined chunks of lines.
 
 A text is cut into lines: at line ends, and after the end of a sentence, so that a passage pasted
 into a paragraph has lines of its own. A passage is a run of lines, blank ones left out, that has
 enough words and stands as a whole earlier. It holds, from each of its lines, the shortest run of
 lines with enough words that starts there, as long as words are left, and up to each of its lines
 the shortest such run that ends there. These windows depend on nothing outside the passage, and
-together they cover it; so it is enough to find repeated windows.
-
-1. Windows are counted by hash. What occurs more than once is passed on as a bitmap of fixed size.
-2. Windows that may be repeated are compared by the SHA-256 digest of their lines, which takes the
-   place of their bytes: each line stands in several windows, and its text would be moved as often.
-   Every occurrence but the first is repeated; one that overlaps the first in its document is not.
-3. Repeated windows that touch or overlap are one passage. What is left of the text keeps its bytes.
-
-The first occurrence is the one with the smallest doc_id (null smallest) and place; it always
-stays, since a line is only removed for an equal line that stands earlier in this order.
+together they cover it; so the repeated windows are what has to go.
+
+1. One pass over the texts stores the hash of every line, the windows, and the line with the
+   smallest hash of each window: its anchor. Like any choice of the content in a rolling window,
+   anchors don't shift with what stands before, and every passage has one.
+2. Every fourth anchor, told by its hash, is a boundary, and so are both ends of a text. A chunk
+   reaches from a boundary to the next but one. Chunks that stand earlier go at once, by far most
+   of what is repeated.
+3. Windows inside one such chunk need no look: the chunk's first occurrence holds them, too. Of the
+   others only those are compared whose anchor is an anchor in several places; a bitmap of fixed
+   size tells them. This finds the ends of passages, and passages too short for a chunk.
+4. Lines are compared byte by byte: where a line hash stands for several texts, among the documents
+   that lose something and those they repeat, runs with that hash stay. Runs are equal if hashes of
+   all their lines' hashes and the smallest of these, 128 bits together, are.
+
+Every occurrence but the first is repeated; one that overlaps the first in its document is not.
+Repeated runs that touch or overlap are one passage. What is left of the text keeps its bytes. The
+first occurrence is the one with the smallest doc_id (null smallest) and place; it always stays,
+since a line is only removed for an equal line that stands earlier in this order.
 """
 
 from __future__ import annotations
@@ -28,29 +37,31 @@ from tallyloom.llm.shared import key_bitmap, mark_possible, stored
 BITS = 26
 #: A passage of fewer words stays.
 MIN_WORDS = 50
-#: After the end of a sentence that a blank follows, and after a line end; lines keep their bytes.
-CUT = r"(?<=[.!?\n])(?=[ \t]|(?<=\n))"
+#: Blanks that end a line: all behind the end of a sentence, others if a line end is among them.
+ENDS = r"\s(?:(?<=[.!?]\s)|(?<=\n)(?<!\s\s)|(?<!\s\s)[^\S\n]*+\n)\s*+"
+#: The places where such blanks begin.
+CUT = r"(?=\s)(?:(?<=[.!?])|(?<!\s)(?=[^\S\n]*+\n))"
+BLANKS = " \t\r\n\f\v"
 
 
 def _bare(text) -> Column:
-    """A line or chunk without blanks at its ends; line ends count as blanks."""
-    return F.trim(text, F.lit(" \t\r\n"))
+    """A text without blanks at its ends; line ends count as blanks."""
+    return F.trim(text, F.lit(BLANKS))
 
 
-def _cut(docs: DataFrame, min_words: int) -> DataFrame:
-    """Lines, their hashes, and the first and last line, from 1, of every window.
+def _lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """Per text with enough words: the hashes of its lines, and its windows.
 
-    of has each word's line, starts the places in it where a line that is not blank begins.
+    A window has its first and last line and its anchor as places, from 1, in the array of lines.
     """
-    lines = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), _once(lines=F.split("text", CUT))
-    )
-    words = lines.select("*", _once(
-        hashes=F.transform("lines", lambda x: F.xxhash64(_bare(x))),
+    whole = F.coalesce("text", F.lit(""))
+    lines = docs.select("doc_id", F.xxhash64(whole).alias("text_hash"), _once(lines=F.split(_bare(whole), ENDS)))
+    hashed = lines.select("doc_id", "text_hash", _once(
+        hashes=F.transform("lines", lambda x: F.xxhash64(x)),
         of=F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i + 1, F.regexp_count(x, F.lit(r"\S+"))))),
     )).filter(F.size("of") >= min_words)
+    # of has each word's line, starts the places in it where a line begins.
     starts = F.expr("filter(sequence(0, size(of) - 1), k -> k = 0 OR get(of, k) <> get(of, k - 1))")
-    # Without blank lines, the last word of a window that starts at word k is word k + min_words - 1.
     forward = F.expr(
         f"transform(filter(starts, k -> k + {min_words} <= size(of)), "
         f"k -> struct(get(of, k) AS first, get(of, k + {min_words - 1}) AS last))"
@@ -62,20 +73,54 @@ def _cut(docs: DataFrame, min_words: int) -> DataFrame:
         f"x -> x.q >= {min_words} AND get(of, x.q - {min_words}) = get(of, x.k - {min_words - 1})), "
         f"x -> struct(get(of, x.k - {min_words - 1}) AS first, get(of, x.k) AS last))"
     )
-    return words.select("*", _once(starts=starts)).select(
-        "doc_id", "text_hash", "lines", "hashes", F.concat(forward, backward).alias("windows")
+    anchored = F.expr(
+        "transform(transform(windows, w -> struct(w.first AS first, w.last AS last, slice(hashes, w.first, w.last - w.first + 1) AS part)), "
+        "w -> struct(w.first AS first, w.last AS last, cast(array_position(w.part, array_min(w.part)) AS int) + w.first - 1 AS anchor))"
+    )
+    return (
+        hashed.select("*", _once(starts=starts))
+        .select("doc_id", "text_hash", "hashes", _once(windows=F.concat(forward, backward)))
+        .select("doc_id", "text_hash", "hashes", anchored.alias("windows"))
     )
 
 
-def _windows(cut: DataFrame, with_digest: bool) -> DataFrame:
-    """One row per window: its hash, place and, if wanted, the digest of its lines."""
-    span = "{}, w.first, w.last - w.first + 1"
-    hashes = f"array_remove(slice({span.format('hashes')}), xxhash64(''))"
-    fields = f"w.first AS first, w.last - w.first + 1 AS n, xxhash64({hashes}) AS window"
-    if with_digest:
-        fields += f", unhex(sha2(array_join(array_remove(slice({span.format('bare')}), ''), '\n'), 256)) AS digest"
-        cut = cut.select("*", _once(bare=F.transform("lines", _bare)))
-    return cut.select("doc_id", "text_hash", F.expr(f"inline(transform(windows, w -> struct({fields})))"))
+def _chunks(lines: DataFrame) -> DataFrame:
+    """One row per chunk, as _keyed gives it.
+
+    Chunks hold a window, and so enough words; ends of texts count as boundaries.
+    """
+    chosen = F.expr(
+        "array_sort(array_distinct(concat(array(1, size(hashes) + 1), "
+        "filter(windows.anchor, a -> (element_at(hashes, a) & 3L) = 0))))"
+    )
+    cut = lines.select("doc_id", "text_hash", "hashes", "windows", _once(bounds=chosen))
+    # The shortest window from a line, if there is one, stands at the line's place.
+    spans = F.expr(
+        "filter(transform(slice(bounds, 1, greatest(size(bounds) - 2, 1)), "
+        "(a, k) -> struct(a AS first, coalesce(get(bounds, k + 2), get(bounds, k + 1)) - 1 AS last)), "
+        "x -> get(windows, x.first - 1).first = x.first AND get(windows, x.first - 1).last <= x.last)"
+    )
+    return _keyed(cut.select("doc_id", "text_hash", "hashes", _once(spans=spans)), "spans", "array_min(slice(hashes, r.first, r.last - r.first + 1))")
+
+
+def _keyed(lines: DataFrame, runs: str, least: str) -> DataFrame:
+    """One row per run of lines: place, a hash of its lines' hashes, and the smallest of these."""
+    part = "slice(hashes, r.first, r.last - r.first + 1)"
+    fields = f"r.first AS first, r.last - r.first + 1 AS n, xxhash64({part}) AS key, {least} AS least"
+    return lines.select("doc_id", "text_hash", F.expr(f"inline(transform({runs}, r -> struct({fields})))"))
+
+
+def _repeats(runs: DataFrame) -> DataFrame:
+    """Runs of lines that repeat the first occurrence, with its place, and don't overlap it."""
+    firsts = stored(
+        runs.groupBy(F.col("key").alias("own_key"), F.col("least").alias("own_least"))
+        .agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "text_hash", "first", "n")).alias("place"))
+        .filter("times > 1").drop("times")
+    )
+    same_text = F.col("doc_id").eqNullSafe(F.col("place.doc_id")) & (F.col("text_hash") == F.col("place.text_hash"))
+    overlaps = same_text & (F.col("first") < F.col("place.first") + F.col("place.n"))
+    equal = (F.col("key") == F.col("own_key")) & (F.col("least") == F.col("own_least"))
+    return runs.join(firsts, equal & ~overlaps).select("doc_id", "text_hash", "first", "n", "place")
 
 
 def _once(**columns: Column) -> Column:
@@ -88,84 +133,107 @@ def _once(**columns: Column) -> Column:
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS) -> DataFrame:
-    """doc_id, text_hash, first and n: windows of lines (from 1) that repeat an earlier occurrence."""
-    cut = _cut(docs, min_words)
-    counted = _windows(cut, False).groupBy("window").count().filter("count > 1")
-    bitmap = stored(key_bitmap(counted, "window", bits))
-    candidates = stored(
-        mark_possible(_windows(cut, True), "window", bitmap, bits, "possible").filter("possible").drop("possible", "window")
+    """doc_id, text_hash, first, n and place: runs of lines (from 1, blank ones left out) that repeat another, at place."""
+    lines = stored(_lines(docs, min_words))
+    anchors = lines.select(F.explode(F.expr("transform(array_distinct(windows.anchor), a -> element_at(hashes, a))")).alias("anchor"))
+    several = stored(key_bitmap(anchors.groupBy("anchor").count().filter("count > 1"), "anchor", bits))
+    chunks = stored(_repeats(stored(_chunks(lines))))
+    # A group holds the chunks of one document, so it is bounded by the document.
+    covered = chunks.groupBy(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")).agg(
+        F.array_sort(F.collect_set(F.struct("first", "n"))).alias("gone")
     )
-    place = F.struct("doc_id", "text_hash", "first", "n")
-    firsts = stored(
-        candidates.groupBy(F.col("digest").alias("own"))
-        .agg(F.count("*").alias("times"), F.min(place).alias("place"))
-        .filter("times > 1").drop("times")
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash"))
+    # For every line the end of the last such chunk that starts there or before.
+    upto = F.expr(
+        "flatten(concat(array(array_repeat(0, gone[0].first - 1)), transform(gone, (r, i) -> array_repeat("
+        "r.first + r.n - 1, coalesce(get(gone, i + 1).first, size(hashes) + 1) - r.first))))"
     )
-    same_text = F.col("doc_id").eqNullSafe(F.col("place.doc_id")) & (F.col("text_hash") == F.col("place.text_hash"))
-    overlaps = same_text & (F.col("first") < F.col("place.first") + F.col("place.n"))
-    return candidates.join(firsts, (F.col("digest") == F.col("own")) & ~overlaps).select(
-        "doc_id", "text_hash", "first", "n"
+    open_ = F.expr("filter(windows, w -> upto IS NULL OR w.last > get(upto, w.first - 1))")
+    left = lines.join(covered, same, "left").select("doc_id", "text_hash", "hashes", "windows", _once(upto=upto))
+    windows = _keyed(left.select("doc_id", "text_hash", "hashes", _once(windows=open_)), "windows", "get(hashes, r.anchor - 1)")
+    candidates = stored(mark_possible(windows, "least", several, bits, "possible").filter("possible").drop("possible"))
+    return _same_bytes(docs, lines, stored(chunks.union(_repeats(candidates))), bits)
+
+
+def _same_bytes(docs: DataFrame, lines: DataFrame, runs: DataFrame, bits: int) -> DataFrame:
+    """The runs without those that hold a line whose hash stands for several texts.
+
+    Compared are the bytes of all lines of the texts that lose runs or have the first occurrence.
+    """
+    ends = stored(key_bitmap(runs.select("text_hash").union(runs.select("place.text_hash")), "text_hash", bits))
+    whole = F.coalesce("text", F.lit(""))
+    hashed = docs.select(whole.alias("text"), F.xxhash64(whole).alias("text_hash"))
+    texts = mark_possible(hashed, "text_hash", ends, bits, "possible").filter("possible")
+    each = texts.select(F.explode(F.split(_bare("text"), ENDS)).alias("line")).select(F.xxhash64("line").alias("hash"), "line")
+    several = stored(each.groupBy("hash").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a <> b").select("hash"))
+    if several.isEmpty():
+        return runs
+    at = lines.select("doc_id", "text_hash", F.posexplode("hashes").alias("i", "hash")).join(several, "hash", "left_semi")
+    # A group holds lines of one document, so it is bounded by the document.
+    doubtful = at.groupBy(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")).agg(
+        F.collect_set(F.col("i") + 1).alias("doubtful")
     )
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash"))
+    inside = F.exists(F.coalesce("doubtful", F.array().cast("array<int>")), lambda i: (i >= F.col("first")) & (i < F.col("first") + F.col("n")))
+    return runs.join(doubtful, same, "left").filter(~inside).select(*runs.columns)
 
 
-def remove_passages(
-    docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS
-) -> DataFrame:
+def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS) -> DataFrame:
     """All columns of docs, the text without its repeated passages, and removed_lines, removed_words.
 
     Lines are compared without blanks at their ends, and blank lines are passed over. A passage is
     a run of one or more lines and at least ``min_words`` words that stands earlier as a whole. A text
-    without such a passage keeps every byte, null stays null, and a text of which nothing but
-    blanks would be left becomes empty. Rows that
+    without such a passage keeps every byte, and null stays null; one that loses a passage loses the
+    blanks at its ends, too, and becomes empty if there is nothing else. Rows that
     repeat a doc_id and a text are one document and lose the same passages. Repetitions within a
-    document count. Columns of docs named removed_lines or removed_words are replaced; an empty
-    table gives an empty result.
+    document count. Columns of docs named removed_lines or removed_words are replaced, names with two
+    leading underscores are kept for the work; an empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c.lower() not in ("removed_lines", "removed_words")]
-    ranges = stored(repeated_lines(docs, min_words, bits))
-    # A group holds the ranges of one document, so it is bounded by the document.
+    runs_found = stored(repeated_lines(docs.select("doc_id", "text"), min_words, bits))
+    # A group holds the runs of one document, so it is bounded by the document.
     found = stored(
-        ranges.groupBy(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"))
-        .agg(F.array_sort(F.collect_set(F.struct("first", "n"))).alias("ranges"))
+        runs_found.groupBy(F.col("doc_id").alias("__own_id"), F.col("text_hash").alias("__own_hash"))
+        .agg(F.array_sort(F.collect_set(F.struct("first", "n"))).alias("__found"))
     )
-    joined = docs.select(*kept).join(
-        found,
-        F.col("doc_id").eqNullSafe(F.col("own_id"))
-        & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("own_hash")),
-        "left",
+    # Only texts that may lose lines are moved to what was found in them.
+    hashed = docs.select(*kept, F.xxhash64(F.coalesce("text", F.lit(""))).alias("__hash"))
+    bitmap = stored(key_bitmap(found, "__own_hash", bits))
+    marked = mark_possible(hashed, "__hash", bitmap, bits, "__possible")
+    joined = marked.filter("__possible").join(
+        found, F.col("doc_id").eqNullSafe(F.col("__own_id")) & (F.col("__hash") == F.col("__own_hash")), "left"
     )
-    # Ranges that touch become one: (first, last) pairs in ascending order.
-    runs = F.expr(
-        "aggregate(ranges, cast(array() as array<struct<a:int,b:int>>), (acc, r) -> "
-        "if(size(acc) > 0 AND element_at(acc, -1).b >= r.first - 1, "
-        "concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', element_at(acc, -1).a, "
-        "'b', greatest(element_at(acc, -1).b, r.first + r.n - 1)))), "
-        "concat(acc, array(named_struct('a', r.first, 'b', r.first + r.n - 1)))))"
+    # The numbers of the lines that go, each once.
+    # Of a run that the next one, which starts no earlier, reaches beyond only what stands before that is written out.
+    upto = (
+        "if(coalesce(get(__found, i + 1).first + get(__found, i + 1).n, 0) < r.first + r.n, r.first + r.n - 1, "
+        "greatest(r.first, least(r.first + r.n, get(__found, i + 1).first) - 1))"
     )
-
-    def with_words(run):
-        text = F.array_join(F.slice("__lines", run["a"], run["b"] - run["a"] + 1), "")
-        words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-        return F.struct(run["a"].alias("a"), run["b"].alias("b"), F.size(words).alias("w"))
-
-    some = F.col("ranges").isNotNull()
-    changed = joined.select(*kept, _once(__lines=F.when(some, F.split("text", CUT)), __runs=F.when(some, runs)))
-    passages = F.transform("__runs", with_words)
-    changed = changed.select(*kept, "__lines", _once(__passages=passages))
-    # What stands between the passages, in order.
-    stay = (
-        "aggregate(__passages, named_struct('parts', cast(array() as array<string>), 'next', 1), (acc, r) -> "
-        "named_struct('parts', concat(acc.parts, array(array_join(slice(__lines, acc.next, r.a - acc.next), ''))), "
-        "'next', r.b + 1), acc -> concat(array_join(acc.parts, ''), "
-        "array_join(slice(__lines, acc.next, size(__lines)), '')))"
+    gone = F.expr(f"array_sort(array_distinct(flatten(transform(__found, (r, i) -> sequence(r.first, {upto})))))")
+    split = F.when(F.col("__found").isNotNull(), F.split(_bare("text"), CUT))
+    split = joined.select(*kept, _once(__lines=split, __gone=gone))
+    firsts = F.expr("filter(__gone, (x, i) -> i = 0 OR get(__gone, i - 1) < x - 1)")
+    lasts = F.expr("filter(__gone, (x, i) -> i = size(__gone) - 1 OR get(__gone, i + 1) > x + 1)")
+    split = split.select(*kept, "__lines", _once(__firsts=firsts, __lasts=lasts))
+
+    def passage(a, b):
+        words = F.regexp_count(F.array_join(F.slice("__lines", a, b - a + 1), ""), F.lit(r"\S+"))
+        return F.struct(a.alias("a"), b.alias("b"), words.alias("w"))
+
+    changed = split.select(*kept, "__lines", _once(__passages=F.zip_with("__firsts", "__lasts", passage)))
+    # What stands before each passage, and behind the last one.
+    left = F.expr(
+        "concat(array_join(transform(__passages, (r, i) -> array_join(slice(__lines, "
+        "coalesce(get(__passages, i - 1).b, 0) + 1, r.a - 1 - coalesce(get(__passages, i - 1).b, 0)), '')), ''), "
+        "array_join(slice(__lines, element_at(__passages, -1).b + 1, size(__lines)), ''))"
     )
     touched = F.size("__passages") > 0
-    left = F.expr(stay)
-    result = F.when(touched, F.when(_bare(left) == "", "").otherwise(left)).otherwise(F.col("text"))
+    result = F.when(touched, _bare(left)).otherwise(F.col("text"))
     rest = [c for c in kept if c != "text"]
     counted = {
         "removed_lines": F.when(touched, F.expr("aggregate(__passages, 0L, (s, r) -> s + r.b - r.a + 1)")).otherwise(0),
         "removed_words": F.when(touched, F.expr("aggregate(__passages, 0L, (s, r) -> s + r.w)")).otherwise(0),
     }
     done = changed.select(*rest, _once(text=result, **counted))
-    return done.select(*kept, *counted)
+    none = {name: F.lit(0).cast("long").alias(name) for name in counted}
+    return done.select(*kept, *counted).union(marked.filter("NOT __possible").select(*kept, *none.values()))

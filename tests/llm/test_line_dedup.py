@@ -1,6 +1,9 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from tallyloom.llm import line_dedup
 from tallyloom.llm.line_dedup import remove_passages
 
 CUT = r"(?<=[.!?])(?=[ \t])|(?<=\n)"
@@ -116,3 +119,56 @@ def test_a_passage_of_one_long_line_goes(spark):
     for i, text in rows:
         assert lines(found[i].text) == [x for x in lines(text) if i == 1 or x != long]
         assert (found[i].removed_lines, found[i].removed_words) == ((1, 50) if i in (2, 3) else (0, 0))
+
+
+def plain_removed(rows, min_words=50):
+    """Numbers of words that go: every run of lines with enough words that stands earlier, found by trying all."""
+    cut = {i: lines(t) for i, t in rows}
+    first = {}
+    runs = lambda own: ((a, b) for a in range(len(own)) for b in range(a + 1, len(own) + 1))
+    gone = {i: set() for i in cut}
+    for i, own in sorted(cut.items()):
+        sizes = [len(x.split()) for x in own]
+        for a, b in runs(own):
+            if sum(sizes[a:b]) < min_words or (b - a > 1 and sum(sizes[a + 1 : b]) >= min_words and sum(sizes[a : b - 1]) >= min_words):
+                continue
+            j, c = first.setdefault(tuple(own[a:b]), (i, a))
+            if j != i or c + b - a <= a:
+                gone[i].update(range(a, b))
+    return {i: sum(len(own[k].split()) for k in gone[i]) for i, own in cut.items()}
+
+
+def test_equals_brute_force_on_random_texts(spark):
+    rng = random.Random(17)
+    pool = [sentence(rng, rng.choice([1, 2, 5, 9, 20, 60])) for _ in range(120)]
+    rows = []
+    for i in range(80):
+        at, parts = rng.randrange(len(pool)), []
+        for _ in range(rng.randint(1, 6)):
+            at = rng.randrange(len(pool))
+            parts += pool[at : at + rng.randint(1, 30)] if rng.random() < 0.6 else [sentence(rng) for _ in range(5)]
+        if i % 9 == 0:
+            parts = pool[i : i + 7] * 12
+        rows.append((i, "".join(x + rng.choice([" ", "\n", "\n\n", " \n "]) for x in parts)))
+    found = {r.doc_id: r.removed_words for r in remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = plain_removed(rows)
+    assert found == expected and sum(map(bool, found.values())) > 30
+
+
+def test_a_user_may_have_any_plain_column_name(spark):
+    rng = random.Random(18)
+    text = " ".join(sentence(rng) for _ in range(8))
+    docs = spark.createDataFrame([(1, text, 1, 2, 3, 4), (2, text, 5, 6, 7, 8)], "doc_id long, text string, ranges int, own_id int, own_hash int, place int")
+    found = remove_passages(docs).orderBy("doc_id").collect()
+    assert [tuple(r)[1:6] for r in found] == [(text, 1, 2, 3, 4), ("", 5, 6, 7, 8)]
+
+
+def test_lines_of_one_hash_and_several_texts_stay(spark, monkeypatch):
+    rng = random.Random(19)
+    text = [sentence(rng, 12) for _ in range(8)]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(text)), (3, " ".join(text[:7] + [sentence(rng, 12)]))], "doc_id long, text string")
+    runs = line_dedup.repeated_lines(docs)
+    assert runs.filter("doc_id = 2").count() > 0 and runs.filter("doc_id = 3").count() > 0
+    # A hash of less than three bits lets lines collide.
+    monkeypatch.setattr(line_dedup.F, "xxhash64", lambda *c: F.pmod(F.hash(*c), F.lit(4)).cast("long"))
+    assert line_dedup.repeated_lines(docs).count() == 0
