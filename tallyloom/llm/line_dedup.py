@@ -11,8 +11,7 @@ together they cover it; so the repeated windows are what has to go.
    smallest hash of each window: its anchor. Like any choice of the content in a rolling window,
    anchors don't shift with what stands before, and every passage has one.
 2. Every fourth anchor, told by its hash, is a boundary, and so are both ends of a text. A chunk
-   reaches from a boundary to the next but one. Chunks that stand earlier go at once, by far most
-   of what is repeated.
+   reaches from a boundary to the next but one. Chunks that stand earlier go at once.
 3. Windows inside one such chunk need no look: the chunk's first occurrence holds them, too. Of the
    others only those are compared whose anchor is an anchor in several places; a bitmap of fixed
    size tells them. This finds the ends of passages, and passages too short for a chunk.
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.shared import key_bitmap, mark_possible, stored
 
-#: 2**26 bits: 8 MiB to every task. A fuller bitmap only makes the comparison by digest larger.
+#: 2**26 bits: 8 MiB to every task. A fuller bitmap only lets more through to the exact steps.
 BITS = 26
 #: A passage of fewer words stays.
 MIN_WORDS = 50
@@ -149,7 +148,12 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS
         "r.first + r.n - 1, coalesce(get(gone, i + 1).first, size(hashes) + 1) - r.first))))"
     )
     open_ = F.expr("filter(windows, w -> upto IS NULL OR w.last > get(upto, w.first - 1))")
-    left = lines.join(covered, same, "left").select("doc_id", "text_hash", "hashes", "windows", _once(upto=upto))
+    # Only texts that may have lost chunks are moved to them.
+    marked = mark_possible(lines, "text_hash", stored(key_bitmap(chunks, "text_hash", bits)), bits, "possible")
+    whole = ["doc_id", "text_hash", "hashes", "windows"]
+    left = marked.filter("possible").join(covered, same, "left").select(*whole, _once(upto=upto)).union(
+        marked.filter("NOT possible").select(*whole, F.lit(None).cast("array<int>").alias("upto"))
+    )
     windows = _keyed(left.select("doc_id", "text_hash", "hashes", _once(windows=open_)), "windows", "get(hashes, r.anchor - 1)")
     candidates = stored(mark_possible(windows, "least", several, bits, "possible").filter("possible").drop("possible"))
     return _same_bytes(docs, lines, stored(chunks.union(_repeats(candidates))), bits)
