@@ -128,3 +128,15 @@ def test_cuts(spark):
     assert found[0][0] == "s" * 70 and found[1][0] == "s" * 67 + "..."
     assert found[2][1] == "e" * 260 and found[3][1] == "e" * 255 + "..."
     assert found[4][0] is None
+
+
+def test_strip_trims_every_kind_of_white_space(spark):
+    from pyspark.sql import functions as F
+
+    from tallyloom.functions.text import WHITESPACE, strip
+
+    cells = [a + b + c for a in ("", *WHITESPACE) for b in ("", "x", "~", "é", "a b", "\x7f") for c in ("", *WHITESPACE)] + [None]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    assert all(r[0] == r[1] for r in df.select(strip("c"), F.btrim("c", F.lit(WHITESPACE))).collect())
+    # Most texts are not passed over for it.
+    assert "substring" in df.select(strip("c"))._jdf.queryExecution().optimizedPlan().toString()

@@ -130,3 +130,25 @@ def test_many_texts_above_an_even_share(spark, raw):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert ids.count() == 15000
+
+
+def test_texts_are_digested_once_for_the_flag(spark, raw, tmp_path):
+    raw({}).write.parquet(str(tmp_path / "raw"))
+    cleaned = cleaning.clean_rows(spark.read.parquet(str(tmp_path / "raw")))
+    tree = duplicates.repeated_review_rows(cleaned)._jdf.queryExecution().executedPlan().toString()
+    assert tree.count("sha2(") == 1 and tree.count("FileScan") == 1
+
+
+@pytest.mark.parametrize("slices", [1, 2, 7])
+def test_repeated_texts_are_found_across_slices(spark, raw, slices):
+    """Texts of one to nine reviews, ids that come twice, and a placeholder that is a review's own text."""
+    rows = [dict(row_id=100 * n + i, review_text=f"Text {n}" if i % 2 else f" TEXT {n} ") for n in range(1, 10) for i in range(n)]
+    rows += [dict(row_id=5000, review_text="one"), dict(row_id=5000, review_text="two"), dict(row_id=5001, review_text="Two")]
+    rows += [dict(row_id=6000, review_text="no review text"), dict(row_id=6001, review_text=None), dict(row_id=6002, review_text=None)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", slices)
+    try:
+        found = sorted(r._row for r in duplicates.repeated_review_rows(cleaning.clean_rows(raw(*rows))).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == sorted([100 * n + i for n in range(2, 10) for i in range(n)] + [5000, 5001, 6000])
