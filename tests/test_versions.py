@@ -151,3 +151,18 @@ def test_stored_digests_are_not_shuffled(spark, raw, tmp_path):
             assert "SortMergeJoin" in plan and "Exchange" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_layer_digests_every_text_once(spark, raw, tmp_path, monkeypatch):
+    """Digests are stored with the reviews, but are no column of the views."""
+    from tallyloom.names import TEXT_KEY
+    from tallyloom.operators import duplicates
+    from tallyloom.sources import layers
+
+    monkeypatch.setattr(duplicates, "text_key", lambda c: F.unhex(F.sha2(F.lower(c), 256)) if not isinstance(c, str) else pytest.fail(c))
+    path = str(tmp_path / "layer")
+    version = layers.write_clean_layer(raw({"review_text": "A"}, {"review_text": " a"}, {"review_text": None}, {}), path)
+    layer = layers.open_clean_layer(spark, path)
+    assert TEXT_KEY in version.table(spark, "reviews").columns
+    assert TEXT_KEY not in layer.clean.columns and TEXT_KEY not in layer.raw.columns
+    assert [r.row_id for r in layer.clean.filter("is_duplicate_review_text").orderBy("row_id").collect()] == [0, 1]
