@@ -71,6 +71,16 @@ class PageIndex:
         return display_reviews(placed, "position", ROW_ID).orderBy("position")
 
 
+def store_list(matches: DataFrame, path: str) -> DataFrame:
+    """Ids and sort keys of a list, stored once, so that indexes and pages in several orders don't make the list anew.
+
+    A page of it has ids and keys; its texts are those of the reviews with these ids.
+    """
+    keys = dict.fromkeys(column for column, _ in SORTS.values())
+    matches.select(ROW_ID, *keys).write.parquet(path)
+    return matches.sparkSession.read.parquet(path)
+
+
 def build_page_index(matches: DataFrame, sort: str = DEFAULT_SORT, parts: int = PARTS) -> PageIndex:
     """Two passes over the key and the ids; points and at most about parts squared counts come to the driver."""
     column, ascending = SORTS[sort]

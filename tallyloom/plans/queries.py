@@ -324,8 +324,12 @@ def review_page_after(t):
 
 @query
 def review_pages_sorted(t):
-    """The third page in each of the six orders, through an index of the list."""
-    matches = browse.matching_reviews(t.clean, min_votes=2)
+    """The third page in each of the six orders, through indexes of the list, which is stored once for all of them.
+
+    It is stored, and the indexes are made, when the query is built.
+    """
+    folder = shared_folder(t.raw.sparkSession, "list-")
+    matches = paging.store_list(browse.matching_reviews(t.clean, min_votes=2), f"{folder}/list")
     return reduce(DataFrame.unionByName, [
         paging.build_page_index(matches, sort).page(matches, 3).select(F.lit(sort).alias("sort"), "position", ROW_ID)
         for sort in browse.SORTS

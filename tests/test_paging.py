@@ -52,3 +52,15 @@ def test_empty_lists_and_pages_beyond_the_end(clean):
     nothing = matches.filter("false")
     empty = build_page_index(nothing)
     assert empty.matches == 0 and empty.page(nothing, 1).count() == 0
+
+
+def test_a_stored_list_is_made_once_for_all_orders(reviews, tmp_path):
+    from tallyloom.operators.paging import store_list
+
+    matches = browse.matching_reviews(reviews)
+    listed = store_list(matches, str(tmp_path / "list"))
+    for sort in ("Review length (long to short)", "Clothing ID"):
+        wanted = [(r.position, r.row_id) for r in browse.review_page(matches, 3, 25, sort).collect()]
+        page = build_page_index(listed, sort, parts=16).page(listed, 3)
+        assert [(r.position, r.row_id) for r in page.collect()] == wanted
+        assert "review_text" not in page._jdf.queryExecution().executedPlan().toString()
