@@ -86,11 +86,11 @@ def op5_sentencepiece(spark, folder):
 
 @query
 def op8_language_model(spark, folder):
-    from tallyloom.llm import pitman_yor as hpy
+    from tallyloom.llm import pitman_yor as hpy, word_contexts
 
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    model = hpy.train(docs.filter(~hpy.held_out()))
-    return hpy.score(docs, model).select(
+    model = word_contexts.train(docs.filter(~hpy.held_out()), docs.filter(hpy.held_out()))
+    return word_contexts.score(docs, model, listed=True).select(
         "doc_id", hpy.held_out().alias("held_out"), "n_tokens", "n_known",
         F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score",
     )

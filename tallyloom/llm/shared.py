@@ -42,8 +42,8 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stored_lean(df: DataFrame, by: str | None = None) -> DataFrame | dict:
-    """As ``stored``, with smaller batches; besides, the shuffle files of the write go as soon as it has ended.
+def stored_lean(df: DataFrame, by: str | None = None, rows: int = SLICE_ROWS) -> DataFrame | dict:
+    """As ``stored``, with batches of so many rows; besides, the shuffle files of the write go as soon as it has ended.
 
     With a column of integers rows are stored apart by its values: the result gives a table, which
     may be empty, for any value.
@@ -52,7 +52,7 @@ def stored_lean(df: DataFrame, by: str | None = None) -> DataFrame | dict:
     own = {
         "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
         # As many rows as a slice has: batches of whole texts are held by both Spark and Python.
-        "spark.sql.execution.arrow.maxRecordsPerBatch": str(SLICE_ROWS),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows),
     }
     before = {name: conf.get(name, None) for name in own}
     for name, value in own.items():
