@@ -482,14 +482,14 @@ def csv_quoted_records(t):
 
 @writing
 def csv_round_trip(t):
-    """Write the raw reviews as CSV, load them again, and clean what came back.
+    """Write the raw reviews as compressed CSV, load them again, and clean what came back.
 
     The files are written when the query is built, before it runs.
     """
     spark = t.raw.sparkSession
     folder = f"{shared_folder(spark, 'reviews-')}/csv"
     headers = {name: header for header, name in SOURCE_COLUMNS.items()}
-    export(t.raw.withColumnsRenamed(headers).withColumnRenamed(ROW_ID, "Key"), folder)
+    export(t.raw.withColumnsRenamed(headers).withColumnRenamed(ROW_ID, "Key"), folder, compression="gzip")
     loaded = load_reviews(spark, folder, "csv", encoding="UTF-8", key="Key")
     return cleaning.clean_rows(loaded).select(
         ROW_ID, "rating", "sentiment", "age_band", "has_review_text", "review_length_words",

@@ -207,3 +207,17 @@ def test_files_without_common_columns_are_refused(spark, tmp_path):
 def test_parquet_keeps_texts_that_spell_missing_values(spark, tmp_path):
     spark.createDataFrame([(1, "None", 5.0)], "row_id long, title string, rating double").write.parquet(str(tmp_path / "t"))
     assert readers.load_reviews(spark, str(tmp_path / "t"), "parquet").first().title == "None"
+
+
+def test_compressed_export_is_small_and_reads_back_as_the_plain_one(spark, raw, tmp_path):
+    rows = raw(*({"row_id": i, "review_text": f'said "so",\n{"again " * 300}#{i}', "title": f"t{i}"} for i in range(200)))
+    headers = {name: header for header, name in SOURCE_COLUMNS.items()}
+    named = rows.withColumnsRenamed(headers).withColumnRenamed("row_id", "Key")
+    sizes, found = [], []
+    for compression in (None, "gzip"):
+        folder = tmp_path / str(compression)
+        sinks.export(named, str(folder), compression=compression)
+        sizes.append(sum(f.stat().st_size for f in folder.iterdir()))
+        found.append(readers.load_reviews(spark, str(folder), "csv", key="Key"))
+    assert sizes[1] * 10 < sizes[0]
+    assert found[0].count() == 200 and found[0].exceptAll(found[1]).count() == found[1].exceptAll(found[0]).count() == 0
