@@ -36,13 +36,16 @@ def most_helpful_reviews(df: DataFrame, top_n: int = 25, negative_only: bool = F
     """Reviews with text by votes, then length, then file order; with their rank.
 
     ``orderBy`` with ``limit`` keeps only ``top_n`` rows per task, so the ranking window sees
-    no more than that.
+    no more than that. Reviews with fewer votes than the last of the ``top_n`` most voted for can't
+    be listed, so words are counted in the others only.
     """
     rows = df.filter("has_review_text")
     rows = only_negative(rows) if negative_only else rows
     rows = rows.withColumn(
         "positive_feedback_count", F.coalesce("positive_feedback_count", F.lit(0.0)).cast("bigint")
     )
+    most = rows.select(F.col("positive_feedback_count").alias("votes")).orderBy(F.desc("votes")).limit(top_n)
+    rows = rows.filter(F.col("positive_feedback_count") >= most.agg(F.min("votes")).scalar())
     order = [F.desc("positive_feedback_count"), F.desc("review_length_words"), F.asc(ROW_ID)]
     top = rows.orderBy(*order).limit(top_n)
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

@@ -1,6 +1,7 @@
 """KPIs, distributions, segments, filters, facets, validation, lists and insights on small frames."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.operators import (
     browse, distributions, facets, filters, insights, kpis, segments, validation,
@@ -235,3 +236,18 @@ def test_insights_name_the_extremes(clean):
 def test_no_votes_no_vote_insight(clean):
     titles = [r.insight for r in insights.customer_insights(clean({}), 1).collect()]
     assert titles == ["Age band that recommends most", "Age band with the lowest rating"]
+
+
+def test_words_of_reviews_that_can_not_be_listed_are_not_counted(clean):
+    table = clean(*({"review_text": f"{'word ' * (i % 4)}{i}", "positive_feedback_count": float(i % 5) if i % 7 else None, "rating": 1.0} for i in range(60)))
+    votes = F.coalesce("positive_feedback_count", F.lit(0.0))
+    counted = F.when(votes < 4, F.raise_error(F.lit("counted")).cast("int")).otherwise(F.col("review_length_words"))
+    watched = table.withColumn("review_length_words", counted)
+    for negative in (False, True):
+        expected = table.orderBy(votes.desc(), F.desc("review_length_words"), "row_id").limit(3).collect()
+        found = browse.most_helpful_reviews(watched, 3, negative).collect()
+        assert [r.row_id for r in found] == [r.row_id for r in expected]
+    assert [r.row_id for r in browse.most_helpful_reviews(table, 100).collect()] == [
+        r.row_id for r in table.orderBy(votes.desc(), F.desc("review_length_words"), "row_id").collect()
+    ]
+    assert browse.most_helpful_reviews(table.limit(0), 3).count() == 0
