@@ -7,10 +7,11 @@ lines with enough words that starts there, as long as words are left, and up to
 the shortest such run that ends there. These windows depend on nothing outside the passage, and
 together they cover it; so the repeated windows are what has to go.
 
-1. One pass over the texts stores the hash of every line, the windows, and the line with the
-   smallest hash of each window: its anchor. Like any choice of the content in a rolling window,
-   anchors don't shift with what stands before, and every passage has one.
-2. Every fourth anchor, told by its hash, is a boundary, and so are both ends of a text. A chunk
+1. One pass over the texts stores the hash and number of words of every line; windows are worked out
+   from these when they are needed. The line with the smallest hash of a window is its anchor. Like
+   any choice of the content in a rolling window, anchors don't shift with what stands before, and
+   every passage has one.
+2. Boundaries are lines told by their hash and number of words, and both ends of a text. A chunk
    reaches from a boundary to the next but one. Chunks that stand earlier go at once.
 3. Windows inside one such chunk need no look: the chunk's first occurrence holds them, too. Of the
    others only those are compared whose anchor is an anchor in several places; a bitmap of fixed
@@ -27,6 +28,9 @@ since a line is only removed for an equal line that stands earlier in this order
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +40,8 @@ from tallyloom.llm.shared import key_bitmap, mark_possible, stored
 BITS = 26
 #: A passage of fewer words stays.
 MIN_WORDS = 50
+#: Words between two boundaries of chunks, on average.
+WORDS_APART = 100
 #: Blanks that end a line: all behind the end of a sentence, others if a line end is among them.
 ENDS = r"\s(?:(?<=[.!?]\s)|(?<=\n)(?<!\s\s)|(?<!\s\s)[^\S\n]*+\n)\s*+"
 #: The places where such blanks begin.
@@ -44,69 +50,96 @@ BLANKS = " \t\r\n\f\v"
 
 
 def _bare(text) -> Column:
-    """A text without blanks at its ends; line ends count as blanks."""
-    return F.trim(text, F.lit(BLANKS))
+    """A text without blanks at its ends; line ends count as blanks.
+
+    Trimming a set of characters costs a pass over the whole text, which is spared where both ends are printable ASCII.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    data = text.cast("binary")
+    printable = lambda at: F.substring(data, at, 1).between(F.lit(b"!"), F.lit(b"~"))
+    return F.when(printable(1) & printable(-1), text).otherwise(F.trim(text, F.lit(BLANKS)))
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """Per text with enough words: the hashes of its lines, and its windows.
+def _plain(text: str) -> Column:
+    """Whether all blanks in the lines of a text are single spaces, told by looking for others in the whole text."""
+    others = [F.contains(F.col(text), F.lit(x)) for x in ("  ", *BLANKS.replace(" ", "").replace("\n", ""))]
+    return ~reduce(or_, others)
 
-    A window has its first and last line and its anchor as places, from 1, in the array of lines.
-    """
+
+def _words(line: Column, plain: Column) -> Column:
+    """Words of a line without blanks at its ends. Single spaces are counted by taking them away, as bytes."""
+    blanks = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.when(plain, blanks + F.least(F.octet_length(line), F.lit(1))).otherwise(F.regexp_count(line, F.lit(r"\S+")))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """Per text: the hashes and word counts of its lines, and bounds, the places of its boundaries, from 1."""
     whole = F.coalesce("text", F.lit(""))
-    lines = docs.select("doc_id", F.xxhash64(whole).alias("text_hash"), _once(lines=F.split(_bare(whole), ENDS)))
-    hashed = lines.select("doc_id", "text_hash", _once(
-        hashes=F.transform("lines", lambda x: F.xxhash64(x)),
-        of=F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i + 1, F.regexp_count(x, F.lit(r"\S+"))))),
-    )).filter(F.size("of") >= min_words)
-    # of has each word's line, starts the places in it where a line begins.
-    starts = F.expr("filter(sequence(0, size(of) - 1), k -> k = 0 OR get(of, k) <> get(of, k - 1))")
-    forward = F.expr(
-        f"transform(filter(starts, k -> k + {min_words} <= size(of)), "
-        f"k -> struct(get(of, k) AS first, get(of, k + {min_words - 1}) AS last))"
-    )
-    # One that ends with the line of words q to k starts in the line of word k - min_words + 1. It is a forward
-    # window, too, unless it has enough words even without that last line.
-    backward = F.expr(
-        "transform(filter(transform(starts, (q, i) -> struct(q AS q, coalesce(get(starts, i + 1), size(of)) - 1 AS k)), "
-        f"x -> x.q >= {min_words} AND get(of, x.q - {min_words}) = get(of, x.k - {min_words - 1})), "
-        f"x -> struct(get(of, x.k - {min_words - 1}) AS first, get(of, x.k) AS last))"
+    bare = docs.select("doc_id", F.xxhash64(whole).alias("text_hash"), _once(bare=_bare(whole)))
+    lines = bare.select("doc_id", "text_hash", _once(lines=F.split("bare", ENDS), plain=_plain("bare")))
+    counted = lines.select("doc_id", "text_hash", _once(
+        hashes=F.transform("lines", lambda x: F.xxhash64(x)), counts=F.transform("lines", lambda x: _words(x, F.col("plain"))),
+    ))
+    # A line is a boundary as likely as it has words.
+    bounds = F.expr(
+        "concat(array(1), filter(sequence(2, greatest(size(hashes), 2)), "
+        f"i -> pmod(get(hashes, i - 1), {WORDS_APART}L) < get(counts, i - 1)), array(size(hashes) + 1))"
     )
-    anchored = F.expr(
-        "transform(transform(windows, w -> struct(w.first AS first, w.last AS last, slice(hashes, w.first, w.last - w.first + 1) AS part)), "
-        "w -> struct(w.first AS first, w.last AS last, cast(array_position(w.part, array_min(w.part)) AS int) + w.first - 1 AS anchor))"
+    return counted.select("*", bounds.alias("bounds"))
+
+
+# Below, rows are made before anything is worked out of a run of lines: expressions of rows are
+# compiled, functions over the elements of an array are not.
+
+
+def _windows(lines: DataFrame, min_words: int) -> DataFrame:
+    """One row per window: all columns of the texts, and the window's first and last line, from 1."""
+    of = F.flatten(F.transform("counts", lambda n, i: F.array_repeat(i + 1, n)))
+    # of has each word's line. A row for the last word of every line, with the place of its first word, from 0.
+    ends = (
+        lines.select("*", _once(of=of))
+        .select("*", F.posexplode("of").alias("k", "line"))
+        .filter("k = size(of) - 1 OR get(of, k + 1) <> line")
+        .withColumn("q", F.expr("k + 1 - get(counts, line - 1)"))
     )
-    return (
-        hashed.select("*", _once(starts=starts))
-        .select("doc_id", "text_hash", "hashes", _once(windows=F.concat(forward, backward)))
-        .select("doc_id", "text_hash", "hashes", anchored.alias("windows"))
+    # One that ends with the line of words q to k starts in the line of word k - min_words + 1. It is a window from
+    # its first line, too, unless it has enough words even without that last line.
+    forward = f"if(q + {min_words} <= size(of), struct(line AS first, get(of, q + {min_words - 1}) AS last), NULL)"
+    backward = (
+        f"if(q >= {min_words} AND get(of, q - {min_words}) = get(of, k - {min_words - 1}), "
+        f"struct(get(of, k - {min_words - 1}) AS first, line AS last), NULL)"
     )
+    return ends.select(*lines.columns, F.expr(f"inline(array({forward}, {backward}))")).filter("first IS NOT NULL")
 
 
-def _chunks(lines: DataFrame) -> DataFrame:
+def _chunks(lines: DataFrame, min_words: int) -> DataFrame:
     """One row per chunk, as _keyed gives it.
 
-    Chunks hold a window, and so enough words; ends of texts count as boundaries.
+    Chunks have enough words for a window; ends of texts count as boundaries.
     """
-    chosen = F.expr(
-        "array_sort(array_distinct(concat(array(1, size(hashes) + 1), "
-        "filter(windows.anchor, a -> (element_at(hashes, a) & 3L) = 0))))"
-    )
-    cut = lines.select("doc_id", "text_hash", "hashes", "windows", _once(bounds=chosen))
-    # The shortest window from a line, if there is one, stands at the line's place.
     spans = F.expr(
-        "filter(transform(slice(bounds, 1, greatest(size(bounds) - 2, 1)), "
-        "(a, k) -> struct(a AS first, coalesce(get(bounds, k + 2), get(bounds, k + 1)) - 1 AS last)), "
-        "x -> get(windows, x.first - 1).first = x.first AND get(windows, x.first - 1).last <= x.last)"
+        "transform(slice(bounds, 1, greatest(size(bounds) - 2, 1)), "
+        "(a, k) -> struct(a AS first, coalesce(get(bounds, k + 2), get(bounds, k + 1)) - 1 AS last))"
     )
-    return _keyed(cut.select("doc_id", "text_hash", "hashes", _once(spans=spans)), "spans", "array_min(slice(hashes, r.first, r.last - r.first + 1))")
+    rows = lines.select("doc_id", "text_hash", "hashes", "counts", F.inline(spans))
+    # Every line has a word, unless the text is empty, so only chunks of few lines are added up.
+    words = "aggregate(slice(counts, first, last - first + 1), 0L, (s, n) -> s + n)"
+    return _keyed(rows.filter(f"last - first >= {min_words} OR {words} >= {min_words}"))
+
+
+def _keyed(runs: DataFrame) -> DataFrame:
+    """Runs of lines with a hash of their lines' hashes, and the smallest of these."""
+    rows = runs.withColumn("n", F.expr("last - first + 1"))
+    part = F.expr("slice(hashes, first, n)")
+    return rows.select("doc_id", "text_hash", "first", "n", F.xxhash64(part).alias("key"), F.array_min(part).alias("least"))
 
 
-def _keyed(lines: DataFrame, runs: str, least: str) -> DataFrame:
-    """One row per run of lines: place, a hash of its lines' hashes, and the smallest of these."""
-    part = "slice(hashes, r.first, r.last - r.first + 1)"
-    fields = f"r.first AS first, r.last - r.first + 1 AS n, xxhash64({part}) AS key, {least} AS least"
-    return lines.select("doc_id", "text_hash", F.expr(f"inline(transform({runs}, r -> struct({fields})))"))
+def _anchors(windows: DataFrame) -> DataFrame:
+    """The smallest hash of every window's lines, and a hash of its place."""
+    part = F.expr("slice(hashes, first, last - first + 1)")
+    least = F.array_min(part)
+    place = F.xxhash64("doc_id", "text_hash", F.array_position(part, least) + F.col("first"))
+    return windows.select(least.alias("anchor"), place.alias("place"))
 
 
 def _repeats(runs: DataFrame) -> DataFrame:
@@ -133,10 +166,10 @@ def _once(**columns: Column) -> Column:
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS) -> DataFrame:
     """doc_id, text_hash, first, n and place: runs of lines (from 1, blank ones left out) that repeat another, at place."""
-    lines = stored(_lines(docs, min_words))
-    anchors = lines.select(F.explode(F.expr("transform(array_distinct(windows.anchor), a -> element_at(hashes, a))")).alias("anchor"))
-    several = stored(key_bitmap(anchors.groupBy("anchor").count().filter("count > 1"), "anchor", bits))
-    chunks = stored(_repeats(stored(_chunks(lines))))
+    lines = stored(_lines(docs))
+    places = _anchors(_windows(lines.drop("bounds"), min_words)).groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("b"))
+    several = stored(key_bitmap(places.filter("a <> b"), "anchor", bits))
+    chunks = stored(_repeats(stored(_chunks(lines, min_words))))
     # A group holds the chunks of one document, so it is bounded by the document.
     covered = chunks.groupBy(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")).agg(
         F.array_sort(F.collect_set(F.struct("first", "n"))).alias("gone")
@@ -147,14 +180,13 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS
         "flatten(concat(array(array_repeat(0, gone[0].first - 1)), transform(gone, (r, i) -> array_repeat("
         "r.first + r.n - 1, coalesce(get(gone, i + 1).first, size(hashes) + 1) - r.first))))"
     )
-    open_ = F.expr("filter(windows, w -> upto IS NULL OR w.last > get(upto, w.first - 1))")
     # Only texts that may have lost chunks are moved to them.
     marked = mark_possible(lines, "text_hash", stored(key_bitmap(chunks, "text_hash", bits)), bits, "possible")
-    whole = ["doc_id", "text_hash", "hashes", "windows"]
+    whole = ["doc_id", "text_hash", "hashes", "counts"]
     left = marked.filter("possible").join(covered, same, "left").select(*whole, _once(upto=upto)).union(
         marked.filter("NOT possible").select(*whole, F.lit(None).cast("array<int>").alias("upto"))
     )
-    windows = _keyed(left.select("doc_id", "text_hash", "hashes", _once(windows=open_)), "windows", "get(hashes, r.anchor - 1)")
+    windows = _keyed(_windows(left, min_words).filter("upto IS NULL OR last > get(upto, first - 1)"))
     candidates = stored(mark_possible(windows, "least", several, bits, "possible").filter("possible").drop("possible"))
     return _same_bytes(docs, lines, stored(chunks.union(_repeats(candidates))), bits)
 

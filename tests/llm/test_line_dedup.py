@@ -172,3 +172,21 @@ def test_lines_of_one_hash_and_several_texts_stay(spark, monkeypatch):
     # A hash of less than three bits lets lines collide.
     monkeypatch.setattr(line_dedup.F, "xxhash64", lambda *c: F.pmod(F.hash(*c), F.lit(4)).cast("long"))
     assert line_dedup.repeated_lines(docs).count() == 0
+
+
+def test_windows_are_rows_and_equal_a_plain_search(spark):
+    """Windows are not worked out inside arrays, and odd blanks don't change the words of a line."""
+    texts = [
+        "one two three\nfour five\nsix\nseven eight nine ten eleven twelve\n  thirteen\n",
+        "a\tb  c\nd \x0b e\n\n f\r\ng h. i j! k\n", "x\n" * 70 + "y z", "few words", "", "   ", None, "one line of words only",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = line_dedup._windows(line_dedup._lines(docs), 5)
+    expected = []
+    for i, text in enumerate(texts):
+        lines = [n for n in (len(x.split()) for x in re.split(r"\n|(?<=[.!?])\s", text or "")) if n]
+        runs = [(a, b) for a in range(len(lines)) for b in range(a, len(lines)) if sum(lines[a : b + 1]) >= 5]
+        starts = {min(r for r in runs if r[0] == a) for a in {a for a, _ in runs}}
+        ends = {max(r for r in runs if r[1] == b) for b in {b for _, b in runs}}
+        expected += [(i, a + 1, b + 1) for a, b in starts | ends]
+    assert sorted((r.doc_id, r.first, r.last) for r in found.select("doc_id", "first", "last").collect()) == sorted(expected)
