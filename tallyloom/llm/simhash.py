@@ -89,8 +89,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     keys = fps.select("fp", F.explode(F.array(*entries)).alias("e")).select(
         "fp", F.col("e.bit").alias("bit"), F.col("fp").bitwiseAND(F.col("e.mask")).alias("rest")
     )
+    # Spark takes the rows of an explode for as many as went in, and would broadcast 64 times of what it expects.
     return keys.alias("l").join(
-        keys.alias("r"),
+        keys.hint("merge").alias("r"),
         F.expr("l.bit = r.bit AND l.rest = r.rest AND l.fp < r.fp")
         & F.expr(f"bit_count({diff}) <= {max_bits}")
         & F.expr(" OR ".join(first_key)),

@@ -4,6 +4,7 @@ import pytest
 import xxhash
 
 from tallyloom.llm.components import components
+from tallyloom.llm.shared import stored
 from tallyloom.llm.simhash import fingerprint, links, near_duplicates, segments
 
 
@@ -53,6 +54,15 @@ def test_links_equal_brute_force(spark):
     assert len(found) == len(set(found)) and set(found) == expected
 
 
+def test_links_broadcast_no_index(spark):
+    """A stored table of fingerprints is small enough to be broadcast, 64 rows for each of them are not."""
+    fps = stored(spark.range(2000).selectExpr("xxhash64(id) AS fp"))
+    found = links(fps)
+    found.collect()
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "Broadcast" not in text
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(5)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(200, 260)]
