@@ -1,10 +1,11 @@
 """The trigram index: equal rows, and files without the term stay closed."""
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tallyloom.operators.filters import search_reviews
-from tallyloom.sources import search_index
+from tallyloom.sources import layers, search_index
 from tallyloom.sources.layers import open_clean_layer, write_clean_layer
 
 
@@ -43,6 +44,17 @@ def test_files_without_the_term_are_not_read(layer):
     assert layer.indexes[0].files("absent words") == [] and layer.indexes[0].files("ab") is None
 
 
+def test_texts_are_stored_in_the_smaller_codec_and_settings_come_back(spark, raw, tmp_path):
+    names = [*layers.TIDY, *layers.SORTING]
+    before = [spark.conf.get(n, None) for n in names]
+    path = str(tmp_path / "packed")
+    write_clean_layer(raw(*[{"review_text": f"some words of review {i}"} for i in range(50)]), path, cluster_by=["row_id"])
+    assert [spark.conf.get(n, None) for n in names] == before
+    files = [pq.ParquetFile(f) for f in (tmp_path / "packed").glob("data/*/reviews/*.parquet")]
+    texts = [f.metadata.row_group(0).column(f.schema_arrow.names.index("review_text")) for f in files if f.metadata.num_rows]
+    assert texts and {t.compression for t in texts} == {"ZSTD"}
+
+
 def test_layers_without_an_index_are_searched_whole(spark, raw, tmp_path):
     path = str(tmp_path / "plain")
     write_clean_layer(raw({"review_text": "findable"}, {"review_text": "other"}), path)
