@@ -55,6 +55,11 @@ def text_key(c: Column | str) -> Column:
     return F.unhex(F.sha2(F.lower(strip(c)), 256))
 
 
+def spelling(c: Column | str) -> Column:
+    """Digest of a text as it stands, 32 bytes."""
+    return F.unhex(F.sha2(col(c), 256))
+
+
 def haystack(text: Column | str, title: Column | str) -> Column:
     return F.lower(F.concat(col(text), F.lit(" "), col(title)))
 

@@ -10,6 +10,7 @@ from tallyloom.names import (
     TAXONOMY_COLUMNS,
     TEXT_KEY,
     TEXT_PLACEHOLDER,
+    TEXT_SPELLING,
     TITLE_PLACEHOLDER,
     UNKNOWN,
 )
@@ -77,9 +78,15 @@ def clean_rows(raw: DataFrame) -> DataFrame:
     )
 
 
-def clean_reviews(raw: DataFrame) -> DataFrame:
-    """Raw table to clean table, with the duplicate flag."""
-    return raw.transform(clean_rows).transform(flag_duplicate_review_text).drop(TEXT_KEY)
+def clean_reviews(raw: DataFrame, spellings: bool = False) -> DataFrame:
+    """Raw table to clean table, with the duplicate flag.
+
+    ``spellings`` adds a digest of each text as it stands, for views that need it besides the flag.
+    """
+    rows = raw.transform(clean_rows)
+    if spellings:
+        rows = rows.withColumn(TEXT_SPELLING, text.spelling("review_text"))
+    return rows.transform(flag_duplicate_review_text).drop(TEXT_KEY)
 
 
 def clean_dataset(raw: DataFrame) -> tuple[DataFrame, DataFrame]:

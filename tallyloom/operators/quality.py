@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyloom.functions.classify import completeness_band, missing_band
 from tallyloom.functions.numeric import rate
-from tallyloom.functions.text import sample_cell
+from tallyloom.functions.text import sample_cell, spelling
 from tallyloom.names import (
     INDEX_COLUMNS,
     ROW_ID,
     TAXONOMY_COLUMNS,
     TEXT_PLACEHOLDER,
+    TEXT_SPELLING,
     TITLE_PLACEHOLDER,
     UNKNOWN,
 )
@@ -88,7 +89,11 @@ def _level(column: str) -> str:
 
 
 def data_quality_summary(raw: DataFrame, clean: DataFrame) -> DataFrame:
-    """17 counts and rates describing the source table: one row."""
+    """17 counts and rates describing the source table: one row.
+
+    Of a clean table with spellings no text is moved to the duplicate flag.
+    """
+    texts = F.col(TEXT_SPELLING) if TEXT_SPELLING in clean.columns else spelling("review_text")
     unknown = [
         f"count_if({c} = '{UNKNOWN}') AS missing_{_level(c)}" if c in clean.columns else f"0L AS missing_{_level(c)}"
         for c in TAXONOMY_COLUMNS
@@ -102,10 +107,10 @@ def data_quality_summary(raw: DataFrame, clean: DataFrame) -> DataFrame:
             "count_if(NOT valid_rating) AS invalid_ratings",
             "count_if(NOT valid_recommendation) AS invalid_recommendations",
             *unknown,
-            # Spellings count separately here, hence a digest of the text as it stands. All
-            # other texts fall into one group (NULL) before the shuffle.
-            "count(DISTINCT CASE WHEN is_duplicate_review_text THEN sha2(review_text, 256) END) AS texts",
-        )
+        ),
+        # Spellings count separately here, hence a digest of the text as it stands. All
+        # other texts fall into one group (NULL) before the shuffle.
+        F.count_distinct(F.when(F.col("is_duplicate_review_text"), texts)).alias("texts"),
     )
     return counts.withColumn("cells", as_value(completeness_metrics(raw))).selectExpr(
         "total_rows",

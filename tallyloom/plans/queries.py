@@ -51,6 +51,11 @@ class ReviewTables:
     def clean(self) -> DataFrame:
         return cleaning.clean_reviews(self.raw)
 
+    @cached_property
+    def spelled(self) -> DataFrame:
+        """The clean table with digests of the texts, taken before the duplicate flag is joined."""
+        return cleaning.clean_reviews(self.raw, spellings=True)
+
     @staticmethod
     def from_folder(spark: SparkSession, folder: str) -> ReviewTables:
         """The tables of a folder as they are now; nothing is kept from an earlier call."""
@@ -64,7 +69,7 @@ class ReviewTables:
     @staticmethod
     def of(layer: CleanLayer) -> ReviewTables:
         tables = ReviewTables(layer.raw, layer.ledger)
-        tables.__dict__["clean"] = layer.clean
+        tables.__dict__["clean"] = tables.__dict__["spelled"] = layer.clean
         return tables
 
 
@@ -260,7 +265,7 @@ def class_performance_matrix(t):
 
 @query
 def quality_summary(t):
-    return quality.data_quality_summary(t.raw, t.clean).drop("source_columns", "total_columns")
+    return quality.data_quality_summary(t.raw, t.spelled).drop("source_columns", "total_columns")
 
 
 @query

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from tallyloom.functions.numeric import quoted
-from tallyloom.names import INDEX_COLUMNS, REQUIRED_COLUMNS, ROW_ID, TEXT_KEY
+from tallyloom.names import INDEX_COLUMNS, REQUIRED_COLUMNS, ROW_ID, TEXT_KEY, TEXT_SPELLING
 
 
 class DatasetError(RuntimeError):
@@ -39,7 +39,7 @@ class SchemaReport:
 
 def source_columns(df: DataFrame) -> list[str]:
     """The columns that came with the data, without the ones added at ingestion."""
-    return [c for c in df.columns if c not in (ROW_ID, TEXT_KEY)]
+    return [c for c in df.columns if c not in (ROW_ID, TEXT_KEY, TEXT_SPELLING)]
 
 
 def analysis_columns(df: DataFrame) -> list[str]:

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from tallyloom.names import TEXT_SPELLING
 from tallyloom.operators import cleaning, distributions, duplicates, filters, kpis, scenario, segments
 from tallyloom.plans.oracle import ORACLE_SQL
-from tallyloom.plans.queries import QUERIES, WRITES
+from tallyloom.plans.queries import QUERIES, WRITES, ReviewTables
 
 
 def plan(df) -> str:
@@ -75,6 +76,30 @@ def test_no_text_is_shuffled_for_the_layer(spark, raw, tmp_path):
         assert not any(c in line for line in shuffled for c in ("title#", "review_text#"))
 
 
+def shuffled_texts(df) -> list[str]:
+    """Exchanges that move a review's text."""
+    lines = plan(df).split("\n")
+    starts = [i for i, line in enumerate(lines) if re.match(r"\(\d+\) Exchange", line)]
+    return [lines[i + 1] for i in starts if re.search(r"\breview_text#", lines[i + 1])]
+
+
+@pytest.mark.parametrize("name", ["quality_summary"])
+def test_no_text_is_shuffled_for_the_quality_of_a_table(spark, raw, tmp_path, name):
+    """The flag is joined to digests; where the clean table has none, to texts, with equal results."""
+    rows = [{"review_text": t} for t in ("Same", "same", "same", " same", "other", None, "No Review Text")]
+    raw(*rows).write.parquet(str(tmp_path / "raw"))
+    table = ReviewTables(spark.read.parquet(str(tmp_path / "raw")))
+    plain = ReviewTables(table.raw)
+    plain.__dict__["spelled"] = table.clean
+    assert table.spelled.drop(TEXT_SPELLING).columns == table.clean.columns
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not shuffled_texts(QUERIES[name](table)) and shuffled_texts(QUERIES[name](plain))
+        assert QUERIES[name](table).collect() == QUERIES[name](plain).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 SCENARIOS = sorted(n for n in QUERIES if n.startswith("scenario_") or n == "insights_scenario")
 
 
