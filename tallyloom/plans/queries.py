@@ -285,7 +285,7 @@ def completeness_metrics(t):
 
 @query
 def quality_report(t):
-    return quality.data_quality_report(t.raw, t.clean).drop("impact", "treatment")
+    return quality.data_quality_report(t.raw, t.spelled).drop("impact", "treatment")
 
 
 @query

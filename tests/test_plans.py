@@ -83,7 +83,7 @@ def shuffled_texts(df) -> list[str]:
     return [lines[i + 1] for i in starts if re.search(r"\breview_text#", lines[i + 1])]
 
 
-@pytest.mark.parametrize("name", ["quality_summary"])
+@pytest.mark.parametrize("name", ["quality_report", "quality_summary"])
 def test_no_text_is_shuffled_for_the_quality_of_a_table(spark, raw, tmp_path, name):
     """The flag is joined to digests; where the clean table has none, to texts, with equal results."""
     rows = [{"review_text": t} for t in ("Same", "same", "same", " same", "other", None, "No Review Text")]
