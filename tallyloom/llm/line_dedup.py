@@ -236,8 +236,9 @@ def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BIT
     hashed = docs.select(*kept, F.xxhash64(F.coalesce("text", F.lit(""))).alias("__hash"))
     bitmap = stored(key_bitmap(found, "__own_hash", bits))
     marked = mark_possible(hashed, "__hash", bitmap, bits, "__possible")
+    # Merged, as lists of small numbers take many times the memory of their file, by which Spark would broadcast them.
     joined = marked.filter("__possible").join(
-        found, F.col("doc_id").eqNullSafe(F.col("__own_id")) & (F.col("__hash") == F.col("__own_hash")), "left"
+        found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__own_id")) & (F.col("__hash") == F.col("__own_hash")), "left"
     )
     # The numbers of the lines that go, each once.
     # Of a run that the next one, which starts no earlier, reaches beyond only what stands before that is written out.

@@ -190,3 +190,13 @@ def test_windows_are_rows_and_equal_a_plain_search(spark):
         ends = {max(r for r in runs if r[1] == b) for b in {b for _, b in runs}}
         expected += [(i, a + 1, b + 1) for a, b in starts | ends]
     assert sorted((r.doc_id, r.first, r.last) for r in found.select("doc_id", "first", "last").collect()) == sorted(expected)
+
+
+def test_found_lines_are_not_broadcast(spark):
+    """Their lists take many times the memory of the file they are stored in."""
+    passage = " ".join(f"word{i}" for i in range(60)) + "."
+    result = remove_passages(spark.createDataFrame([(1, passage), (2, f"Before. {passage}"), (None, passage)], "doc_id long, text string"))
+    assert sorted(r.text for r in result.collect()) == ["", "Before.", passage]
+    text = result._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in text.split("\n") if "Join" in line and "__own_hash" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
